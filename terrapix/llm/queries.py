@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate, digest
 from .exact_dedup import exact_dedup
 from .html_text import html_text
+from .near_dedup import near_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -57,3 +58,8 @@ with n as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from n window w as (partition by norm)
 """
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
