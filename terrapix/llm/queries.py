@@ -10,6 +10,7 @@ from .decontaminate import decontaminate, digest
 from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .near_dedup import near_dedup
+from .ppm import ppm_score
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -63,3 +64,8 @@ from n window w as (partition by norm)
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score(table(spark, sf_dir, "documents"))
