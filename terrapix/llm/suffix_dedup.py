@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX1, Rolling, bytes_of, documents, merged, passes, prepare, sliding_min, stored
 
-LENGTH, GRAM, BLOCK, SHALLOW = 400, 64, 256, 32
+LENGTH, GRAM, BLOCK, SHALLOW = 400, 64, 8192, 32
 RUNS = "anchor long, chunk long, doc_id long, p int, n int, off int, cnt int"
 
 
@@ -185,8 +184,8 @@ def repeated_strings(texts: list[bytes], offs: np.ndarray, counts: np.ndarray, l
         r[i] = 0
         ok = (r + l >= length) & (np.arange(n) != i)
         if ok.any():
-            pairs = np.unique(np.stack([offs[i] - l[ok], offs[i] + r[ok] - length], 1), axis=0)
-            spans += [(i, int(a), int(b)) for a, b in pairs if a <= b]
+            first, after = merged(offs[i] - l[ok], offs[i] + r[ok] - length + 1)
+            spans += [(i, a, b - 1) for a, b in zip(first.tolist(), after.tolist())]
     return spans
 
 
@@ -276,10 +275,35 @@ def _slices(length: int):
 
 
 def _order_groups(length: int):
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, offs, cnt, chunk = pdf["bytes"].tolist(), pdf["off"].to_numpy(), pdf["cnt"].to_numpy(), pdf["chunk"].to_numpy()
-        found = repeated_strings(texts, offs, cnt, length)
-        return pd.DataFrame({"anchor": pdf["anchor"].iat[0], "chunk": [chunk[i] for i, _, _ in found], "a": [a for _, a, _ in found], "b": [b for _, _, b in found]}).astype({"chunk": "int64", "a": "int32", "b": "int32"})
+    """Over rows in order of their anchor: one group at a time is held, of `block` distinct runs at most."""
+
+    def go(batches):
+        held: list[tuple[int, int, int, int, bytes]] = []
+        out: list[list[int]] = [[], [], [], []]
+
+        def close() -> None:
+            found = repeated_strings([x[4] for x in held], np.array([x[2] for x in held]), np.array([x[3] for x in held]), length)
+            for i, a, b in found:
+                for column, v in zip(out, (held[i][0], held[i][1], a, b)):
+                    column.append(v)
+            held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "chunk", "a", "b"])
+            for column in out:
+                column.clear()
+            return made
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "chunk", "off", "cnt", "bytes"))):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+            yield batch_of()
+        if held:
+            close()
+        yield batch_of()
 
     return go
 
@@ -372,7 +396,8 @@ def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: i
     sizes = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
     large = sizes.where(F.col("kinds") > block).selectExpr("anchor as big")
     cut = stored(cut.join(large, F.col("anchor") == F.col("big"), "left"), "op1-cut")
-    ordered = cut.where("big is null").drop("big").groupBy("anchor").applyInPandas(_order_groups(length), "anchor long, chunk long, a int, b int")
+    groups = cut.where("big is null").drop("big").repartition("anchor").sortWithinPartitions("anchor")
+    ordered = groups.mapInArrow(_order_groups(length), "anchor long, chunk long, a int, b int")
     singles = cut.where("big is not null").drop("big").mapInArrow(_strings(length), "anchor long, chunk long, at int, dist int, h long, cnt int")
     shared = singles.groupBy("anchor", "dist", "h").agg(F.sum("cnt").alias("c")).where("c > 1").drop("c")
     counted = singles.join(shared, ["anchor", "dist", "h"]).selectExpr("anchor", "chunk", "at as a", "at as b")
