@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .near_dedup import near_dedup
 from .ppm import ppm_score
+from .quality import score_quality
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -69,3 +70,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
