@@ -10,6 +10,9 @@ from .decontaminate import decontaminate, digest
 from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .near_dedup import near_dedup
+from .packing import pack
+from .pii import digest as pii_digest
+from .pii import find_pii
 from .ppm import ppm_score
 from .quality import score_quality
 from .suffix_dedup import suffix_dedup
@@ -75,3 +78,13 @@ def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
