@@ -7,9 +7,9 @@ candidates are judged by the joint likelihood of the registers' order given the
 out is verified on the full shingle sets.
 
 No bucket is expanded into pairs. In the first round each bucket compares its members with one pivot only, the member
-that shares most buckets with others (in a group of edited copies, the original). Links join components. Where a bucket
-then still holds several components, further pivots follow; a bucket of few members compares what lies in different
-components at once. Rounds end when every bucket's pairs are compared or lie in one component, so no link that the
+that shares most buckets with others (in a group of edited copies, the original). Links join components. Where the rest
+of a bucket then still lies in several components, more pivots follow, each round `few` times as many, and meet members
+of other components only. Rounds end when each bucket's pairs have met or lie in one component, so no link that the
 bands show is lost.
 """
 
@@ -27,7 +27,7 @@ from .components import components
 
 #: Registers in a band, bands, base, rate and largest value of the sketch; how far below the threshold the estimate of
 #: a pair may lie that is still verified; and members of a bucket that is compared in one round.
-ROWS, BANDS, B, RATE, LARGEST, MARGIN, FEW = 6, 40, 1.001, 20.0, 65535, 0.15, 24
+ROWS, BANDS, B, RATE, LARGEST, MARGIN, FEW = 6, 40, 1.001, 20.0, 65535, 0.15, 256
 
 
 def multipliers(m: int) -> np.ndarray:
@@ -186,44 +186,35 @@ def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = R
     banded = reps.mapInArrow(_bands(rows, bands), "key long, doc_id long")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
     buckets = stored(banded.join(shared, F.col("key") == F.col("key2")).select("key", "doc_id", "c"), "op6-buckets")
-    popular = buckets.groupBy("doc_id").agg(F.sum("c").alias("pop"))
-    buckets = stored(buckets.select("key", "doc_id").join(popular, "doc_id"), "op6-popular")
-
-    links = tested = None
-    comp = None
-    while True:
-        if comp is not None:  # which buckets still hold several components
-            own = comp.selectExpr("node as doc_id", "component")
-            buckets = buckets.drop("component").join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            left = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-            left = left.where("lo < hi").selectExpr("key as key2", "c")
-            buckets = stored(buckets.join(left, F.col("key") == F.col("key2")).drop("key2"), "op6-buckets")
-            if buckets.isEmpty():
-                break
-        # One pivot for each bucket against the rest; all of different components where a bucket has few members.
-        pivot = buckets.groupBy("key").agg(F.max(F.struct("pop", (-F.col("doc_id")).alias("d"))).alias("p")).select(F.col("key").alias("key2"), (-F.col("p.d")).alias("pivot"))
-        pivoted = buckets.join(pivot, F.col("key") == F.col("key2")).drop("key2")
-        pairs = pivoted.where("doc_id <> pivot")
-        if comp is not None:
-            pairs = pairs.where(f"c > {few}")
-        pairs = pairs.selectExpr("least(doc_id, pivot) as a", "greatest(doc_id, pivot) as b")
-        if comp is not None:
-            small = buckets.where(f"c <= {few}")
-            other = small.selectExpr("key", "doc_id as b", "component as cb")
-            cross = small.join(other, "key").where("doc_id < b and component <> cb").selectExpr("doc_id as a", "b")
-            pairs = pairs.unionByName(cross)
-        pairs = pairs.distinct()
+    popular = buckets.groupBy("doc_id").agg(F.sum("c").alias("pop")).join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
+    buckets = stored(buckets.select("key", "doc_id").join(popular, "doc_id").withColumn("component", F.col("doc_id")), "op6-popular")
+
+    links: DataFrame | None = None
+    tested: DataFrame | None = None
+    comp = member.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    pivots = 1
+    while not buckets.isEmpty():
+        # The most popular member of each slice of a bucket meets the members of other components.
+        slices = F.pmod(F.hash("doc_id", F.lit(pivots)), F.lit(pivots))
+        best = buckets.groupBy("key", slices.alias("slice")).agg(F.max(F.struct("pop", (-F.col("doc_id")).alias("less"), "n", "component")).alias("p"))
+        best = stored(best.select(F.col("key").alias("key2"), (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("n2"), F.col("p.component").alias("c2")), "op6-pivots")
+        meet = (F.col("key") == F.col("key2")) & (F.col("component") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        pairs = buckets.join(best, meet).selectExpr("least(doc_id, pivot) as a", "greatest(doc_id, pivot) as b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "op6-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        buckets = pivoted.where("doc_id <> pivot").drop("pivot")
-        if comp is not None:
-            buckets = buckets.where(f"c > {few}")
-        found = _verified(pairs, reps, docs, shingle, percent)
-        links = stored(found if links is None else found.unionByName(links), "op6-links")
-        comp = stored(components(links, "op6-components"), "op6-components")
-
+        found = stored(_verified(pairs, reps, docs, shingle, percent), "op6-links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = stored(components(links, "op6-components"), "op6-components")
+        # What pivots have met is done with; so is a bucket whose other members are all of one component.
+        rest = buckets.join(best.select(F.col("key2").alias("key"), F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        own = comp.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+        rest = rest.drop("component").join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "doc_id")).drop("own")
+        several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("key").alias("key2"))
+        buckets = stored(rest.join(several, F.col("key") == F.col("key2")).drop("key2"), "op6-buckets")
+        pivots *= few
     final = member.join(comp.selectExpr("node as rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("c", "doc_id")

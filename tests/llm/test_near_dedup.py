@@ -44,6 +44,13 @@ def fixture():
                 w[rnd.randrange(size)] = word()
             rows.append((n, " ".join(w)))
             n += 1
+    base = [word() for _ in range(150)]  # near each other, but mostly not near enough
+    for k in range(25):
+        w = list(base)
+        for p in rnd.sample(range(150), rnd.randint(8, 14)):
+            w[p] = word() + str(k)
+        rows.append((n, " ".join(w)))
+        n += 1
     rows += [(n + k, " ".join(word() for _ in range(rnd.randint(1, 50)))) for k in range(40)]
     rnd.shuffle(rows)
     return rows
