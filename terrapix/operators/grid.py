@@ -116,7 +116,7 @@ def downsample(df: DataFrame, factor: int, bands: list[str]) -> DataFrame:
 def bilinear(df: DataFrame, band: str, factor: int) -> DataFrame:
     """A grid `factor` times as fine: each new cell from the four old ones around its centre, those that exist weighted.
 
-    Old cells send their share to the new cells they touch, and shares are summed.
+    Old cells send their share to the new cells they touch, and shares are summed; a new cell lies within an old one that exists.
     """
     out = []
     for name in ("row", "col"):
@@ -125,7 +125,9 @@ def bilinear(df: DataFrame, band: str, factor: int) -> DataFrame:
     weight = lambda new, old: 1 - F.abs((F.col(new) + 0.5) / factor - 0.5 - F.col(old))
     fine = df.where(F.col(band).isNotNull()).select("row", "col", band).withColumn("r", F.explode(out[0])).withColumn("c", F.explode(out[1]))
     fine = fine.withColumn("w", weight("r", "row") * weight("c", "col")).where("w > 0")
-    return fine.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.try_divide(F.sum(F.col(band) * F.col("w")), F.sum("w")).alias(band))
+    within = (F.floor(F.col("r") / factor) == F.col("row")) & (F.floor(F.col("c") / factor) == F.col("col"))
+    made = fine.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.try_divide(F.sum(F.col(band) * F.col("w")), F.sum("w")).alias(band), F.bool_or(within).alias("within"))
+    return made.where("within").drop("within")
 
 
 def mosaic(df: DataFrame, band: str, priority: str) -> DataFrame:

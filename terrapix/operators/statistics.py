@@ -42,11 +42,11 @@ def welch(df: DataFrame, band: str, cls: str) -> DataFrame:
 
 def kruskal_wallis(df: DataFrame, band: str, cls: str) -> DataFrame:
     """H with correction for ties, and its degrees of freedom; H is null for fewer than two classes."""
-    ranks = average_ranks(df.where(F.col(band).isNotNull()), band, cls)
-    groups = ranks.groupBy(cls).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rs"))
+    ranks = average_ranks(df.select(F.col(band).alias("v"), F.col(cls).alias("g")).where("v is not null"), "v", "g")
+    groups = ranks.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rs"))
     one = groups.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("rs") ** 2 / F.col("n")).alias("s"), F.count("*").alias("k"))
     t = F.col("t").cast("double")
-    ties = ranks.select(band, "t").distinct().agg(F.sum(t**3 - t).alias("ties"))
+    ties = ranks.select("v", "t").distinct().agg(F.sum(t**3 - t).alias("ties"))
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n**3 - n))
     return broadcast_row(one, ties).select(F.when(F.col("k") > 1, h).alias("h"), (F.col("k") - 1).alias("df"))

@@ -118,8 +118,8 @@ def resample_average(spark, d):
 @query(
     "resample_bilinear",
     sql(
-        f"select r as row, c as col, {r('sum(b1 * w) / sum(w)')} as b1 from (select f.r, f.c, s.b1, (1 - abs((f.r + 0.5::double) / 2 - 0.5 - s.row)) * (1 - abs((f.c + 0.5::double) / 2 - 0.5 - s.col)) as w "
-        "from spec s, (select unnest(range(-1, 4)) as dr), (select unnest(range(-1, 4)) as dc), lateral (select s.row * 2 + dr as r, s.col * 2 + dc as c) f where f.r >= 0 and f.c >= 0 and abs((f.r + 0.5::double) / 2 - 0.5 - s.row) < 1 and abs((f.c + 0.5::double) / 2 - 0.5 - s.col) < 1) group by r, c",
+        f"select r as row, c as col, {r('sum(b1 * w) / sum(w)')} as b1 from (select f.r, f.c, s.b1, f.r // 2 = s.row and f.c // 2 = s.col as inside, (1 - abs((f.r + 0.5::double) / 2 - 0.5 - s.row)) * (1 - abs((f.c + 0.5::double) / 2 - 0.5 - s.col)) as w "
+        "from spec s, (select unnest(range(-1, 4)) as dr), (select unnest(range(-1, 4)) as dc), lateral (select s.row * 2 + dr as r, s.col * 2 + dc as c) f where f.r >= 0 and f.c >= 0 and abs((f.r + 0.5::double) / 2 - 0.5 - s.row) < 1 and abs((f.c + 0.5::double) / 2 - 0.5 - s.col) < 1) group by r, c having bool_or(inside)",
         "spec",
     ),
 )
