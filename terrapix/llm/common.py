@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored  # noqa: F401  the operators take it from here
+
 #: Bytes of text that a task looks at in one numpy pass; a longer document is a pass of its own.
 PASS_BYTES = 2 << 20
 #: Odd multiplier of the polynomial hashes (mod 2**64) and the constants that mix them.
@@ -30,29 +31,6 @@ def prepare(spark: SparkSession) -> None:
         sys.path.append(root)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        import tempfile
-
-        found = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just id and text (null: empty), whatever else the table holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

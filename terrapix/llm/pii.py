@@ -205,16 +205,18 @@ def estimate(said: np.ndarray, weight: np.ndarray, sure: np.ndarray | None = Non
     yes, no = (said == YES).sum(1), (said == NO).sum(1)
     sure = np.zeros(len(said), bool) if sure is None else sure
     q = np.where(sure, 1.0, (yes + 1) / (yes + no + 2))
-    table, prior = np.full((2, LABELERS, 3), 1 / 3), 0.5
+    table, prior = np.full((2, LABELERS, 2), 1 / 2), 0.5
+    spoke = said != SILENT
     for _ in range(rounds):
         prior = float((weight @ q + 2) / (weight.sum() + 4))
         for c, p in ((0, 1 - q), (1, q)):
             for k in range(LABELERS):
-                n = np.bincount(said[:, k], weight * p, 3)
-                hope = np.array([1.0, 2.0, 1.0]) if c else np.array([2.0, 1.0, 1.0])  # labelers are better than chance
-                table[c, k] = (n + hope) / (n.sum() + hope.sum())
-        logs = [np.log(x) + sum(np.log(table[c, k][said[:, k]]) for k in range(LABELERS)) for c, x in ((0, 1 - prior), (1, prior))]
-        q = np.where(sure, 1.0, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
+                n = np.bincount(said[spoke[:, k], k], (weight * p)[spoke[:, k]], 2)
+                table[c, k] = (n + np.array([2.0, 1.0] if c == 0 else [1.0, 2.0])) / (n.sum() + 3)  # better than chance
+        # Silence is no evidence: a labeler that has nothing to say of a kind tells nothing of its spans.
+        says = lambda c: sum(np.where(spoke[:, k], np.log(table[c, k][np.minimum(said[:, k], 1)]), 0.0) for k in range(LABELERS))
+        odds = np.log(1 - prior) + says(0) - np.log(prior) - says(1)
+        q = np.where(sure, 1.0, 1 / (1 + np.exp(np.clip(odds, -500, 500))))
     return q, table, prior
 
 
