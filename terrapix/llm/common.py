@@ -32,8 +32,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just id and text (null: empty), whatever else the table holds."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Just id and text (null: empty), whatever else the table holds. Rows without an id can't be named: they are left out."""
+    some = df.where(F.col(id_col).isNotNull())
+    return some.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

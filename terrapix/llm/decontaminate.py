@@ -223,13 +223,14 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     maximal runs of hit words, in bytes). A window is `window` consecutive words of an item, or a whole shorter item.
     Words are ASCII letters (lower-cased), digits and all characters past ASCII. Null and empty texts have no words and items without words no
     windows; repeated rows are searched each. At most block_bytes of benchmark text reach a task at once: a larger
-    benchmark is searched block by block. Empty tables give no hits or an empty result; other columns are ignored.
+    benchmark is searched block by block. Empty tables give no hits or an empty result; other columns are ignored. Rows without doc_id and
+    items without item_id are left out.
     """
     spark = df.sparkSession
     prepare(spark)
     docs = documents(df)
     shape = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<s:long,e:long>>"
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     n = int(-(-total // block_bytes)) or 1
     found = []

@@ -21,7 +21,7 @@ def exact_dedup(df: DataFrame) -> DataFrame:
     Returns doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when identical after each run of ASCII
     white space became one space; null counts as empty, so null, "" and no other text form one group. Rows of a group
     that differ from the kept row in spite of equal hashes form groups of their own, by their bytes. An empty table
-    gives an empty result; other columns are ignored. doc_id must be unique.
+    gives an empty result; other columns are ignored. doc_id must be unique. Rows without doc_id are left out.
     """
     prepare(df.sparkSession)
     texts = documents(df).select("doc_id", normalised(F.col("text")).alias("norm"))

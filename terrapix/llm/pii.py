@@ -262,7 +262,7 @@ def find_pii(df: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, s, e in code points, by kind and start) of every document.
 
     base: the agreed patterns' matches. spans: these and what the trained classifier adds. Null and empty texts have
-    none; repeated rows are searched each; an empty table gives an empty result; other columns are ignored.
+    none; repeated rows are searched each; an empty table gives an empty result; other columns are ignored. Rows without doc_id are left out.
     """
     prepare(df.sparkSession)
     found = stored(documents(df).mapInArrow(_find, FOUND), "op10-found")

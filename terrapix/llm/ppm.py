@@ -225,7 +225,7 @@ def ppm_score(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     and its end. Tokens of the base line are words between ASCII white space, A-Z in lower case, and one end each. Words
     are told apart by 62-bit hashes. Null counts as empty: just its end is scored. Without training documents every
     byte has probability 1/256. Repeated rows count and are scored each; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. Rows without doc_id are left out.
     """
     spark = df.sparkSession
     prepare(spark)

@@ -191,7 +191,7 @@ def score_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     Statistics of the whole text are the only inputs. Null and empty texts score as texts of length 0. Without labels of
     both classes every score is 0.5. A document with several labels counts once, by the largest. Repeated rows score
-    alike; an empty table gives an empty result; other columns are ignored.
+    alike; an empty table gives an empty result; other columns are ignored. Rows without doc_id are left out.
     """
     stats = stored(features(df), "op7-statistics")
     scored = stats.mapInArrow(_scores(fit_quality(stats, labels)), "doc_id long, score double")

@@ -88,3 +88,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE["op4_decontaminate"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
+win as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as p from b where len(w) > 0)
+),
+dw as (
+  select doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from win) where len(w) >= n)
+),
+hit as (select dw.doc_id, dw.p, dw.n, win.item_id from dw join win using (n, t)),
+cov as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from (select distinct doc_id, p, n from hit)) group by doc_id),
+it as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov using (doc_id) left join it using (doc_id)
+"""

@@ -371,7 +371,7 @@ def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: i
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of s, e in bytes), kept_text (a character
     of which only a part goes is dropped from the text, not from the digest; null without keep_text). Null and empty
     texts and texts shorter than `length` lose nothing. Equal rows all lose their repeats: strings are judged on the
-    input. An empty table gives an empty result; other columns are ignored. doc_id must be unique.
+    input. An empty table gives an empty result; other columns are ignored. doc_id must be unique. Rows without doc_id are left out.
     """
     spark = df.sparkSession
     prepare(spark)
