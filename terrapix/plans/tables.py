@@ -15,6 +15,7 @@ from ..operators import spatial as sp
 from ..operators import statistics as st
 from ..operators import windows as wi
 from ..operators.grid import sample_raster
+from ..sources.shared import prepare
 from .registry import query
 from .views import change_epochs, cover_wide, dates, pred, proba_stack, pts, px, r, segpx, spec, sql, table
 
@@ -495,3 +496,19 @@ def habitat_change_area(spark, d):
 @query("model_report", sql(f"select fold, count(*) as n, {r('avg(case when truth = pred then 1.0 else 0.0 end)')} as oa from pred group by fold", "pred"))
 def model_report(spark, d):
     return ag.overall(ag.confusion(pred(spark, d), "truth", "pred", ["fold"]), ["fold"]).select("fold", "n", F.round("oa", 6).alias("oa"))
+
+
+@query("welch_pvalue")
+def welch_pvalue(spark, d):
+    from ..functions.tails import t_two_sided
+
+    prepare(spark)
+    return st.welch(px(spark, d), "b1", "cls").select("cls_a", "cls_b", F.round(t_two_sided("t", "df"), 9).alias("p"))
+
+
+@query("kruskal_pvalue")
+def kruskal_pvalue(spark, d):
+    from ..functions.tails import chi2_upper
+
+    prepare(spark)
+    return st.kruskal_wallis(px(spark, d), "b2", "cls").select(F.round(chi2_upper("h", F.col("df").cast("double")), 9).alias("p"))

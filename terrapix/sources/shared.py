@@ -1,7 +1,9 @@
-"""Tables stored between steps, in the folder that driver and executors share."""
+"""What driver and executors share: this package, and tables stored between steps."""
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -9,6 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package where it runs from a checkout and isn't installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if root not in sys.path:
+        sys.path.append(root)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the context's checkpoint folder; one of our own only where neither is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

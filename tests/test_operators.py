@@ -161,3 +161,13 @@ def test_empty_tables(spark):
     assert segments.segment_regions(none, ["v"], 1.0).count() == 0
     assert st.kruskal_wallis(none, "v", "c").first().h is None
     assert ag.overall(ag.confusion(none, "c", "c")).first().oa is None
+
+
+def test_tail_probabilities():
+    from terrapix.functions.tails import beta_tail, gamma_tail
+
+    assert beta_tail(5, 0.5, 10 / (10 + 4)) == pytest.approx(0.0733880, abs=1e-6)  # t = 2, 10 degrees of freedom
+    assert beta_tail(0.5, 0.5, 1 / 2) == pytest.approx(0.5)  # t = 1, one degree: a Cauchy
+    assert gamma_tail(1, 2.5) == pytest.approx(2.718281828459045**-2.5)
+    assert gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
+    assert gamma_tail(1.5, 0.1) == pytest.approx(0.977589, abs=1e-6)
