@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import sys
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored  # noqa: F401  the operators take it from here
+from ..sources.shared import prepare, stored  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a task looks at in one numpy pass; a longer document is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -21,16 +18,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where it runs from a checkout and isn't installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    if root not in sys.path:
-        sys.path.append(root)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just id and text (null: empty), whatever else the table holds. Rows without an id can't be named: they are left out."""
     some = df.where(F.col(id_col).isNotNull())
