@@ -8,9 +8,10 @@ out is verified on the full shingle sets.
 
 No bucket is expanded into pairs. In the first round each bucket compares its members with one pivot only, the member
 that shares most buckets with others (in a group of edited copies, the original). Links join components. Where the rest
-of a bucket then still lies in several components, more pivots follow, each round `few` times as many, and meet members
-of other components only. Rounds end when each bucket's pairs have met or lie in one component, so no link that the
-bands show is lost.
+of a bucket then still lies in several components, it depends on its size. Large ones, joined by their pivot, are cut
+into blocks of members, and blocks meet two by two with their full sets, giving only links between components. In small
+ones more pivots follow, each round `few` times as many, and meet members of other components. Rounds end when each
+bucket's pairs have met or lie in one component, so no link that the bands show is lost.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, mix, passes, prepare, stored, words
-from .components import components
 
+#: Columns of shared shingles that two blocks are compared by at once.
+COLUMNS = 8192
 #: Registers in a band, bands, base, rate and largest value of the sketch; how far below the threshold the estimate of
 #: a pair may lie that is still verified; and members of a bucket that is compared in one round.
-ROWS, BANDS, B, RATE, LARGEST, MARGIN, FEW = 6, 40, 1.001, 20.0, 65535, 0.15, 256
+ROWS, BANDS, B, RATE, LARGEST, MARGIN, FEW, BLOCK = 6, 40, 1.001, 20.0, 65535, 0.15, 64, 400
 
 
 def multipliers(m: int) -> np.ndarray:
@@ -42,7 +45,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
     w = Rolling(low).ranges(starts, ends)
     h = w.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(w))):
         h[: len(w) - j] = mix(h[: len(w) - j] * MIX2 + w[j:])
     first = np.searchsorted(rows, np.arange(len(offsets)))
     out = []
@@ -51,10 +54,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
         if z - a >= k:
             out.append(np.unique(h[a : z - k + 1]))
         elif z > a:
-            one = w[a]
+            one = w[a : a + 1]
             for j in range(a + 1, z):
-                one = mix(np.array([one * MIX2 + w[j]], np.uint64))[0]
-            out.append(np.array([mix(np.array([one + np.uint64(z - a)], np.uint64))[0]]))
+                one = mix(one * MIX2 + w[j : j + 1])
+            out.append(mix(one + np.uint64(z - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -163,13 +166,70 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return full.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("a as u", "b as v")
 
 
-def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, few: int = FEW) -> DataFrame:
+def _compare(percent: int):
+    """Links between the members of two blocks that lie in different components, one for each pair of components."""
+
+    def go(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
+        ids, comp, part = (table.column(c).to_numpy() for c in ("doc_id", "component", "part"))
+        a, b = np.flatnonzero(part == table.column("i")[0].as_py()), np.flatnonzero(part == table.column("j")[0].as_py())
+        sizes = np.diff(lists.offsets.to_numpy())
+        uniq, inv = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        shared = np.ones(len(uniq), bool)
+        for side in (a, b):  # what one block alone holds is in no intersection
+            seen = np.zeros(len(uniq), bool)
+            seen[inv[np.isin(row, side)]] = True
+            shared &= seen
+        column = np.cumsum(shared) - 1
+        keep = np.flatnonzero(shared[inv])
+        keep = keep[np.argsort(column[inv[keep]], kind="stable")]
+        at, row = column[inv[keep]], row[keep]
+        both = np.zeros((len(a), len(b)), np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):
+            x, y = np.searchsorted(at, [low, low + COLUMNS])
+            dense = np.zeros((len(ids), COLUMNS), np.float32)
+            dense[row[x:y], at[x:y] - low] = 1
+            both += dense[a] @ dense[b].T
+        union = sizes[a][:, None] + sizes[b][None, :] - both
+        u, v = np.nonzero((100 * both >= percent * union) & (comp[a][:, None] != comp[b][None, :]))
+        if len(u):
+            pairs = np.sort(np.stack([comp[a[u]], comp[b[v]]], 1), axis=1)
+            first = np.unique(pairs, axis=0, return_index=True)[1]
+            u, v = ids[a[u[first]]], ids[b[v[first]]]
+        return pa.table({"u": pa.array(np.asarray(u, np.int64)), "v": pa.array(np.asarray(v, np.int64))})
+
+    return go
+
+
+def _unsettled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with each one's component and the bucket's size c."""
+    own = comp.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+    named = buckets.drop("component", "c").join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "doc_id")).drop("own")
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
+    several = several.where("lo < hi").select(F.col("key").alias("key2"), "c")
+    return named.join(several, F.col("key") == F.col("key2")).drop("key2")
+
+
+def _block_links(members: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Links within each group of members (grp, doc_id, component), found block by block."""
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    wanted = stored(members.select("doc_id").distinct(), "op6-wanted")
+    sets = stored(docs.join(wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles array<bigint>"), "op6-sets")
+    meet = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = meet.select("grp", "doc_id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return meet.join(sets, "doc_id").groupBy("grp", "i", "j").applyInArrow(_compare(percent), "u long, v long").distinct()
+
+
+def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their sets of `shingle`-word shingles.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (it is the smallest).
     Linked are pairs with 100 * intersection >= percent * union. Words are what ASCII white space divides, A-Z in lower
     case. Null, empty and blank texts have an empty set and are linked with nothing. An empty table gives an empty
-    result; other columns are ignored. doc_id must be unique. At similarity 0.8 the default bands miss a pair with
+    result; other columns are ignored. doc_id must be unique. Rows without doc_id are left out. At similarity 0.8 the default bands miss a pair with
     probability (1 - 0.8 ** 6) ** 40, 5 in a million, and a more similar one less often.
     """
     spark = df.sparkSession
@@ -209,11 +269,17 @@ def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = R
             links = found if links is None else links.unionByName(found)
             comp = stored(components(links, "op6-components"), "op6-components")
         # What pivots have met is done with; so is a bucket whose other members are all of one component.
-        rest = buckets.join(best.select(F.col("key2").alias("key"), F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        own = comp.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-        rest = rest.drop("component").join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "doc_id")).drop("own")
-        several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("key").alias("key2"))
-        buckets = stored(rest.join(several, F.col("key") == F.col("key2")).drop("key2"), "op6-buckets")
+        met = best.select(F.col("key2").alias("key"), F.col("pivot").alias("doc_id"))
+        rest = buckets.join(met, ["key", "doc_id"], "left_anti")
+        buckets = stored(_unsettled(rest, comp), "op6-buckets")
+        large = buckets.where(F.col("c") > few)
+        if pivots == 1 and not large.isEmpty():
+            groups = large.join(best.select("key2", F.col("pivot").alias("grp")), F.col("key") == F.col("key2")).select("grp", "doc_id", "component").distinct()
+            found = stored(_block_links(groups, docs, shingle, percent, block), "op6-links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                comp = stored(components(links, "op6-components"), "op6-components")
+            buckets = stored(_unsettled(buckets.where(F.col("c") <= few), comp), "op6-buckets")
         pivots *= few
     final = member.join(comp.selectExpr("node as rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")

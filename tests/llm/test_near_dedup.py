@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from terrapix.llm.components import components
+from terrapix.operators.components import components
 from terrapix.llm.near_dedup import joint_estimate, multipliers, near_dedup, registers
 
 
@@ -66,9 +66,9 @@ def test_against_brute_force(spark):
     assert run(spark, rows, shingle=2) == brute(rows, 2, 80)
 
 
-def test_large_buckets_go_on_by_pivots(spark):
+def test_large_buckets_meet_in_blocks(spark):
     rows = fixture()
-    assert run(spark, rows, shingle=2, few=2) == brute(rows, 2, 80)
+    assert run(spark, rows, shingle=2, few=2, block=3) == brute(rows, 2, 80)
 
 
 def test_empty_table(spark):
