@@ -10,24 +10,41 @@ powers of two, so that nothing is padded.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, documents, prepare
+from .token_counts import merger
 
 #: Ids of a window, bytes of text in a shard, id that ends a document, and the usual BM25 parameters.
 WINDOW, SHARD_BYTES, END, K1, B = 4096, 8 << 20, 2, 1.2, 0.75
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Fixed value: how this tokenizer splits text into pre-tokens, white space left out; A-Z are lower case by then.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+UPPER = bytes(range(65, 91))
+LOWERED = bytes.maketrans(UPPER, UPPER.lower())
+
+
 class Encoder:
-    """The library's ids, remembered for each stretch between ASCII white space: this tokenizer never joins two."""
+    """The ids that the tokenizers library gives, remembered for each pre-token; no token reaches over two.
+
+    New pre-tokens in lower case are merged together by the file's own ranks, others by the library. Text that
+    normalisation could join or part differently (not in composed form, a dotted capital I, which becomes two
+    characters, or what looks like a special token) goes to the library as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,22 +53,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in two bytes")
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
+        self.merger = merger(path)
+        self.known: dict[str, bytes] = {}
+
+    def split(self, text: bytes) -> list[str] | None:
+        """Pre-tokens, or None where the library is to see the whole text."""
+        if b"<|" in text:
+            return None
+        t = text.translate(LOWERED).decode()
+        if t.isascii():
+            return ASCII_SPLIT.findall(t)
+        return SPLIT.findall(t) if "\u0130" not in t and is_normalized("NFC", t) else None
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self, new: set[str]) -> None:
+        simple = [w for w in new if w.isascii() or (w == w.lower() and "\u03a3" not in w)]
+        for k in range(0, len(simple), 50_000):
+            part = simple[k : k + 50_000]
+            symbols, sizes = self.merger.merge([w.encode() for w in part])
+            packed, ends = symbols.astype("<u2").tobytes(), np.cumsum(2 * sizes).tolist()
+            self.known.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        other = list(new.difference(simple))
+        self.known.update(zip(other, self.ids(other)))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
+        split = [self.split(t) for t in texts]
+        new = set().union(*(x for x in split if x)) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*split)
-        todo = list(new)
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u2").tobytes()
-        get, end = self.known.__getitem__, np.array([END], "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(get, w)) + end, "<u2") for w in split]
+            new = set().union(*(x for x in split if x))
+        self.learn(new)
+        get, end = self.known.__getitem__, array("H", [END]).tobytes()
+        whole = iter(self.ids([t.decode() for t, x in zip(texts, split) if x is None]))
+        return [np.frombuffer((next(whole) if x is None else b"".join(map(get, x))) + end, "<u2") for x in split]
 
 
 @lru_cache(maxsize=2)
@@ -196,7 +232,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
     Returns doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens,
     sequence_id, offset. Each sequence is as long as a power of two, most as the window, so none is padded. Null and
     empty texts are the end's id alone; repeated rows are packed each; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. Rows without doc_id are left out.
     """
     prepare(df.sparkSession)
     docs = documents(df)

@@ -37,49 +37,78 @@ class RankMerger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[c] for c in byte_letters()], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in byte_letters()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        # A table of slots finds most pairs; those whose slot went to another are few and searched for.
+        self.slots = np.zeros(1 << 20, np.int32)
+        slot = self.slot(self.keys)
+        self.slots[slot] = np.arange(len(keys))
+        self.crowded = np.flatnonzero(self.slots[slot] != np.arange(len(keys)))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, int] = {}
 
-    def counts(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols that are left of each non-empty pre-token."""
-        out = np.ones(len(tokens), np.int64)
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs can merge, and where they stand among the merges."""
+        at = self.slots[self.slot(keys)].astype(np.int64)
+        found = self.keys[at] == keys
+        if len(self.crowded):
+            other = np.flatnonzero(~found)
+            rare = self.keys[self.crowded]
+            pos = np.minimum(np.searchsorted(rare, keys[other]), len(rare) - 1)
+            hit = rare[pos] == keys[other]
+            at[other[hit]] = self.crowded[pos[hit]]
+            found[other[hit]] = True
+        return found, at
+
+    def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that are left of non-empty pre-tokens, one after the other, and how many of each."""
         sizes = np.array([len(t) for t in tokens], np.int64)
-        symbols = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        symbols = self.first[raw]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[raw[ends]]
         seq = np.repeat(np.arange(len(tokens)), sizes)
-        none = len(self.keys)
+        none, over = len(self.keys), []
         while len(symbols):
             together = seq[1:] == seq[:-1]
-            key = (symbols[:-1] << 32) | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            found = together & (self.keys[at] == key)
-            rank = np.append(np.where(found, self.rank[at], none), none)
+            found, at = self.find((symbols[:-1] << 32) | symbols[1:])
+            rank = np.append(np.where(found & together, self.rank[at], none), none)
             starts = np.flatnonzero(np.append(True, ~together))
             size = np.diff(np.append(starts, len(symbols)))
             least = np.minimum.reduceat(rank, starts)
-            done = least == none
-            out[seq[starts[done]]] = size[done]
+            done = np.repeat(least == none, size)
+            over.append((seq[done], symbols[done]))
             hit = (rank == np.repeat(least, size)) & (rank < none)
-            if hit[:-1].any():
-                # Pairs of one letter can overlap: of a chain, every other one counts, from the left.
-                chained = np.append(False, hit[:-1]) & hit
-                if chained.any():
-                    begin = np.flatnonzero(hit & ~chained)
-                    hits = np.flatnonzero(hit)
-                    odd = (hits - begin[np.searchsorted(begin, hits, "right") - 1]) % 2 == 1
-                    hit[hits[odd]] = False
-                where = np.flatnonzero(hit)
-                symbols[where] = self.made[at[where]]
-            stay = np.repeat(~done, size)
+            # Pairs of one letter can overlap: of a chain, every other one counts, from the left.
+            chained = np.append(False, hit[:-1]) & hit
+            if chained.any():
+                begin = np.flatnonzero(hit & ~chained)
+                hits = np.flatnonzero(hit)
+                odd = (hits - begin[np.searchsorted(begin, hits, "right") - 1]) % 2 == 1
+                hit[hits[odd]] = False
+            where = np.flatnonzero(hit)
+            symbols[where] = self.made[at[where]]
+            stay = ~done
             stay[1:] &= ~hit[:-1]
             symbols, seq = symbols[stay], seq[stay]
-        return out
+        if not over:
+            return symbols, sizes
+        seq, symbols = (np.concatenate(x) for x in zip(*over))
+        return symbols[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(tokens))
+
+    def counts(self, tokens: list[bytes]) -> np.ndarray:
+        return self.merge(tokens)[1]
 
     def learn(self, tokens: set[str]) -> None:
         batch, size = [], 0
@@ -147,7 +176,7 @@ def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int
 
     tokenizer: a byte-level BPE file of public_tokenizers. Null and empty texts have 0 tokens; repeated rows count
     each; a text without white space is one long sequence and merges like the others. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Rows without doc_id are left out.
     """
     prepare(df.sparkSession)
     return documents(df).mapInArrow(_count(tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
