@@ -6,17 +6,18 @@ their sets overlap. Documents with equal shingle sets are one class from the sta
 candidates are judged by the joint likelihood of the registers' order given the sets' sizes, and what can't be ruled
 out is verified on the full shingle sets.
 
-No bucket is expanded into pairs. In the first round each bucket compares its members with one pivot only, the member
-that shares most buckets with others (in a group of edited copies, the original). Links join components. Where the rest
-of a bucket then still lies in several components, it depends on its size. Large ones, joined by their pivot, are cut
-into blocks of members, and blocks meet two by two with their full sets, giving only links between components. In small
-ones more pivots follow, each round `few` times as many, and meet members of other components. Rounds end when each
-bucket's pairs have met or lie in one component, so no link that the bands show is lost.
+Buckets aren't expanded into pairs. First each bucket compares its members with one pivot only, the member that shares
+most buckets with others (in a group of edited copies, the original). Links join components. Where the rest of a bucket
+then still lies in several components, it depends on its size. Large ones, joined by their pivot, are cut into blocks of
+members, and blocks meet two by two with their full sets, giving only links between components. In small ones, of `few`
+members at most, those of different components are compared. So each bucket's pairs have met or lie in one component,
+and no link that the bands show is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +207,7 @@ def _compare(percent: int):
 def _unsettled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with each one's component and the bucket's size c."""
     own = comp.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-    named = buckets.drop("component", "c").join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "doc_id")).drop("own")
+    named = buckets.join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "doc_id")).drop("own")
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
     several = several.where("lo < hi").select(F.col("key").alias("key2"), "c")
     return named.join(several, F.col("key") == F.col("key2")).drop("key2")
@@ -247,40 +248,33 @@ def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = R
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
     buckets = stored(banded.join(shared, F.col("key") == F.col("key2")).select("key", "doc_id", "c"), "op6-buckets")
     popular = buckets.groupBy("doc_id").agg(F.sum("c").alias("pop")).join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
-    buckets = stored(buckets.select("key", "doc_id").join(popular, "doc_id").withColumn("component", F.col("doc_id")), "op6-popular")
-
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    comp = member.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    pivots = 1
-    while not buckets.isEmpty():
-        # The most popular member of each slice of a bucket meets the members of other components.
-        slices = F.pmod(F.hash("doc_id", F.lit(pivots)), F.lit(pivots))
-        best = buckets.groupBy("key", slices.alias("slice")).agg(F.max(F.struct("pop", (-F.col("doc_id")).alias("less"), "n", "component")).alias("p"))
-        best = stored(best.select(F.col("key").alias("key2"), (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("n2"), F.col("p.component").alias("c2")), "op6-pivots")
-        meet = (F.col("key") == F.col("key2")) & (F.col("component") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        pairs = buckets.join(best, meet).selectExpr("least(doc_id, pivot) as a", "greatest(doc_id, pivot) as b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "op6-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(_verified(pairs, reps, docs, shingle, percent), "op6-links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = stored(components(links, "op6-components"), "op6-components")
-        # What pivots have met is done with; so is a bucket whose other members are all of one component.
-        met = best.select(F.col("key2").alias("key"), F.col("pivot").alias("doc_id"))
-        rest = buckets.join(met, ["key", "doc_id"], "left_anti")
-        buckets = stored(_unsettled(rest, comp), "op6-buckets")
-        large = buckets.where(F.col("c") > few)
-        if pivots == 1 and not large.isEmpty():
-            groups = large.join(best.select("key2", F.col("pivot").alias("grp")), F.col("key") == F.col("key2")).select("grp", "doc_id", "component").distinct()
-            found = stored(_block_links(groups, docs, shingle, percent, block), "op6-links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                comp = stored(components(links, "op6-components"), "op6-components")
-            buckets = stored(_unsettled(buckets.where(F.col("c") <= few), comp), "op6-buckets")
-        pivots *= few
+    buckets = stored(buckets.select("key", "doc_id").join(popular, "doc_id"), "op6-popular")
+
+    # First each bucket's most popular member meets the others.
+    best = buckets.groupBy("key").agg(F.max(F.struct("pop", (-F.col("doc_id")).alias("less"), "n")).alias("p"))
+    best = stored(best.select(F.col("key").alias("key2"), (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("n2")), "op6-pivots")
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else their sizes rule a link out
+    pairs = buckets.join(best, (F.col("key") == F.col("key2")) & (F.col("doc_id") != F.col("pivot")) & near("n", "n2"))
+    tested = stored(pairs.selectExpr("least(doc_id, pivot) as a", "greatest(doc_id, pivot) as b").distinct(), "op6-pairs")
+    links = stored(_verified(tested, reps, docs, shingle, percent), "op6-links")
+    comp = stored(components(links, "op6-components"), "op6-components")
+
+    # Then what is left of buckets that still hold several components: large ones block by block, small ones by pairs.
+    rest = buckets.join(best.select(F.col("key2").alias("key"), F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
+    rest = stored(_unsettled(rest, comp), "op6-unsettled")
+    large, small = rest.where(F.col("c") > few), rest.where(F.col("c") <= few)
+    more = []
+    if not large.isEmpty():
+        groups = large.join(best.select("key2", F.col("pivot").alias("grp")), F.col("key") == F.col("key2")).select("grp", "doc_id", "component").distinct()
+        more.append(stored(_block_links(groups, docs, shingle, percent, block), "op6-links"))
+    if not small.isEmpty():
+        other = small.select("key", F.col("doc_id").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"))
+        cross = small.join(other, "key").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2")) & near("n", "n2"))
+        cross = cross.select(F.col("doc_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
+        more.append(stored(_verified(stored(cross, "op6-pairs"), reps, docs, shingle, percent), "op6-links"))
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        comp = stored(components(reduce(DataFrame.unionByName, more, links), "op6-components"), "op6-components")
     final = member.join(comp.selectExpr("node as rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
