@@ -2,8 +2,10 @@
 
 Each page becomes a small tree. For every node: characters for each tag in its subtree, adjusted by how much of them
 is link text and by the links' own density. The lowest density on the path from body down to the densest node is the
-threshold; among the nodes that reach it, the subtree whose children's densities sum to the most is the content, as is
-every such subtree beside it. What is boilerplate by its element or its name goes before densities are taken.
+threshold, and the subtree whose children's densities sum to the most is the content. Beside it, under the largest
+ancestor that reaches the threshold, stay all blocks that reach it too and, on pages whose text isn't in an article or
+main element, all text that isn't mostly links, with the headings of what stays. What is boilerplate by its element or
+its name goes before densities are taken.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tfoot tr td th", "table"), "thead": ("tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table"), "option": ("option", "select"), "body": ("head", "html")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements, roles and name parts that mark boilerplate.
 DROP = frozenset("script style noscript template head title nav aside footer form button select textarea input iframe object embed svg canvas audio video map dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog".split())
@@ -172,8 +175,14 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def mostly_links(items: list) -> bool:
+    """Whether more than half of the characters are link text."""
+    chars = sum(len("".join(k.split())) if isinstance(k, str) else k.chars for k in items)
+    return 2 * sum(k.link_chars for k in items if isinstance(k, Node)) > chars
+
+
 def content(root: Node) -> set[int]:
-    """ids of the nodes whose whole subtrees are the main text."""
+    """ids of the nodes whose whole subtrees are the main text; what doesn't belong there is taken out of the tree."""
     nodes = measure(root)
     if not root.chars:
         return set()
@@ -182,30 +191,43 @@ def content(root: Node) -> set[int]:
     while x is not None:
         threshold = min(threshold, x.density) if x.density else threshold
         x = x.parent
-    chosen: set[int] = set()
-    best: dict[int, Node] = {}
-    for x in nodes:  # children first: the node of the largest sum in each subtree
-        top = x
-        for k in x.items:
-            if isinstance(k, Node) and best[id(k)].total > top.total:
-                top = best[id(k)]
-        best[id(x)] = top
-    stack = [root]
+    kept = up = whole(max(reversed(nodes), key=lambda x: x.total))
+    path: set[int] = set()
+    while up.parent is not None and up.parent.density >= threshold:
+        up = up.parent
+        path.add(id(up))
+    # Around the winner each block is kept or not by itself. Where elements say what the article is, others must be as
+    # dense as the path; elsewhere, what isn't mostly links belongs to the text, however short.
+    named = kept.tag in ("article", "main")
+    stack = [(up, named)] if path else []
     while stack:
-        x = stack.pop()
-        if x.density < threshold:
-            continue
-        top = best[id(x)]
-        if x is root or x.tag == "body":
-            # From the page as a whole: the subtree of the largest sum, and dense ones beside it.
-            chosen.add(id(whole(top)))
-            up = whole(top)
-            while up.parent is not None:
-                stack.extend(k for k in up.parent.items if isinstance(k, Node) and k is not up and k.tag in ("article", "main", "section", "div") and k.density >= threshold and best[id(k)].total >= 0.5 * top.total)
-                up = up.parent
-        else:
-            chosen.add(id(whole(top)))
-    return chosen
+        x, strict = stack.pop()
+        items: list[Node | str] = []
+        heads: list[Node] = []  # headings go with the block after them
+        run: list[Node | str] = []
+        for k in [*x.items, None]:
+            if isinstance(k, str) or (k is not None and k.tag in INLINE and id(k) not in path and k is not kept):
+                run.append(k)
+                continue
+            if any(not isinstance(i, str) or i.strip() for i in run) and not strict and not mostly_links(run):
+                items += [*heads, *run]
+                heads.clear()
+            run.clear()
+            if k is None:
+                items += [h for h in heads if h.tag == "h1" or not (strict or mostly_links([h]))]
+            elif k.tag in HEADINGS:
+                heads.append(k)
+            elif not k.chars:
+                items.append(k)
+            else:
+                good = id(k) in path or k is kept or k.density >= threshold or ((not strict or k.tag in ("article", "main")) and not mostly_links([k]))
+                items += [h for h in heads if good or h.tag == "h1"]
+                heads.clear()
+                items.append(k)
+                if id(k) in path or not good:
+                    stack.append((k, strict or not good))
+        x.items = items
+    return {id(up)}
 
 
 def whole(x: Node) -> Node:

@@ -26,6 +26,26 @@ def test_main_text(body, want):
     assert main_text(page(body)) == want
 
 
+LINKS = "<div><h3>More</h3><ul>" + "".join(f"<li><a href='/{k}'>Another page of this place {k}</a></li>" for k in range(9)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("n", [4, 40])
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<div><div>{many}</div><div><p>{one}</p></div></div>", "{many}\n{one}"),
+        ("<div>{many}</div><div><p>Short end.</p></div>", "{many}\nShort end."),
+        ("<div><h1>Title</h1><p>Lead.</p><div>{many}</div><p>Loose.</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table><blockquote>Quote.</blockquote></div>", "Title\nLead.\n{many}\nLoose.\nx\ny\n1\n2\nQuote."),
+        ("<h1>Title</h1><div>{many}</div>Bare <b>words</b> after.", "Title\n{many}\nBare words after."),
+        ("<h1><a href='/'>Title</a></h1>{links}<h2><a href='/p'>Part</a></h2><div>{many}</div>{links}", "Title\nPart\n{many}"),
+        ("<a href='/'>Home</a> | <a href='/n'>News</a><div>{many}</div>", "{many}"),
+        ("<h1>Title</h1><article>{many}</article><div><article><p>Short.</p></article></div>{links}", "Title\n{many}\nShort."),
+    ],
+)
+def test_blocks_beside_the_densest(body, want, n):
+    assert main_text(page(body.format(many=f"<p>{PROSE}</p>" * n, one=PROSE, links=LINKS))) == want.format(many="\n".join([PROSE] * n), one=PROSE)
+
+
 @pytest.mark.parametrize("odd", ["", "plain words only", "<", "<p", "<!-- never closed", "<a href='x", "</p></p></div>", "<div>" * 3000 + "deep" + "</div>" * 10, "<script>x", "&#0; &bogus; &#x110000;"])
 def test_odd_input_does_not_fail(odd):
     assert isinstance(main_text(odd), str)
