@@ -25,8 +25,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tfoot tr td th", "table"), "thead": ("tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table"), "option": ("option", "select"), "body": ("head", "html")}
+SECTIONS = "article aside blockquote body details dialog fieldset figure footer form header main nav section table td th"
+CLOSES = {"li": ("li", f"ul ol menu {SECTIONS}"), "dt": ("dt dd", f"dl {SECTIONS}"), "dd": ("dt dd", f"dl {SECTIONS}"), "tr": ("tr td th caption colgroup", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tfoot tr td th caption colgroup", "table"), "thead": ("tbody tr td th caption colgroup", "table"), "tfoot": ("thead tbody tr td th caption colgroup", "table"), "colgroup": ("caption colgroup", "table"), "option": ("option", "select"), "optgroup": ("option optgroup", "select"), "body": ("head", "html")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements, roles and name parts that mark boilerplate.
 DROP = frozenset("script style noscript template head title nav aside footer form button select textarea input iframe object embed svg canvas audio video map dialog menu".split())
@@ -66,15 +68,29 @@ def boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The page's tree without boilerplate; text runs and nodes are each node's items, in page order."""
+    """The page's tree without boilerplate; text runs and nodes are each node's items, in page order.
+
+    A dropped element is a node like others, which ends as others do; only it isn't among its parent's items.
+    """
     root = node = Node("html", None)
-    at, skip, depth = 0, "", 0  # inside a dropped element: its name, and how many of that name are open
-    articles = 0
+    at = articles = 0
     pos, n = 0, len(page)
+
+    def leave(x: Node) -> Node:
+        """x's parent, when x and all within it end."""
+        nonlocal articles
+        k = node
+        while k is not x.parent:
+            articles -= k.tag in ("article", "main")
+            k = k.parent
+        return k
+
     while pos < n:
         m = TOKEN.search(page, pos)
         start = m.start() if m else n
-        if start > at and not skip:
+        if start > at:
+            if node.tag == "head" and not page[at:start].isspace():
+                node = leave(node)
             node.items.append(page[at:start])
         if not m:
             break
@@ -83,29 +99,21 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         tag, closing, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
         if closing:
             x = node
             while x is not root and x.tag != tag:
                 x = x.parent
             if x is not root:
-                while node is not x.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
+                node = leave(x)
             continue
-        if tag == "body" and node is root and root.items:
-            pass
+        if node.tag == "head" and tag not in IN_HEAD:
+            node = leave(node)
         if tag in BLOCK_CLOSES_P:
             x = node
             while x is not root and x.tag in INLINE:
                 x = x.parent
             if x.tag == "p":
-                node = x.parent
+                node = leave(x)
         elif tag in CLOSES:
             ends, stops = CLOSES[tag]
             x, last = node, None
@@ -114,7 +122,7 @@ def parse(page: str) -> Node:
                     last = x
                 x = x.parent
             if last is not None:
-                node = last.parent
+                node = leave(last)
         drop = boilerplate(tag, attrs, articles > 0)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
@@ -129,11 +137,9 @@ def parse(page: str) -> Node:
                 made = Node(tag, node)
                 node.items.append(made)
             continue
-        if drop:
-            skip, depth = tag, 1
-            continue
         made = Node(tag, node)
-        node.items.append(made)
+        if not drop:
+            node.items.append(made)
         node = made
         articles += tag in ("article", "main")
     return root

@@ -46,6 +46,29 @@ def test_blocks_beside_the_densest(body, want, n):
     assert main_text(page(body.format(many=f"<p>{PROSE}</p>" * n, one=PROSE, links=LINKS))) == want.format(many="\n".join([PROSE] * n), one=PROSE)
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><p class='ad'>Buy<p>{one}</p><p>More</p></article>", "{one}\nMore"),
+        ("<article><p>{one}<p class=ad>Buy <b>now<ul><li class='share'>Share<li>x<li>y</ul><p>More</article>", "{one}\nx\ny\nMore"),
+        ("<article><p>{one}<table><caption class=ad>Buy<tr><td class='social'>Share<td>1<tr class=hidden><td>3<tr><td>2</table><p>More</article>", "{one}\n1\n2\nMore"),
+        ("<article><p>{one}<dl><dt class=ad>Buy<dd>x<dd class=ad>Buy<dt>y</dl></article>", "{one}\nx\ny"),
+        ("<div><nav><ul><li>Home</ul></div><div><p>{one}<p>{one}</div>", "{one}\n{one}"),
+        ("<div><div><aside>Aside</div><p>{one}</p><p>More</p></div>", "{one}\nMore"),
+        ("<article><section><div class='ad'>Buy<div>now</div></section><p>{one}</p><select><option>1<option>2</select><p>More</p></article>", "{one}\nMore"),
+        ("<article><ul><li>x <nav><li>Home</nav> z</ul><p>{one}</p></article>", "x z\n{one}"),
+        ("<article><div class='ad'><p>Buy</p><script>'</div>'</script> now</div><p>{one}</p></article>", "{one}"),
+    ],
+)
+def test_dropped_elements_end(body, want):
+    assert main_text(page(body.format(one=PROSE))) == want.format(one=PROSE)
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=x><body>", "<head><title>T</title>", "<html><head>\n<style>p{}</style>\n", "<title>T</title>"])
+def test_head_without_end_tag(head):
+    assert main_text(f"<!DOCTYPE html>{head}<p>{PROSE}<p>More</p>") == f"{PROSE}\nMore"
+
+
 @pytest.mark.parametrize("odd", ["", "plain words only", "<", "<p", "<!-- never closed", "<a href='x", "</p></p></div>", "<div>" * 3000 + "deep" + "</div>" * 10, "<script>x", "&#0; &bogus; &#x110000;"])
 def test_odd_input_does_not_fail(odd):
     assert isinstance(main_text(odd), str)
