@@ -34,23 +34,30 @@ def assign_tiles(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumns({"tile_i": F.floor(F.col("row") / tile).cast("int"), "tile_j": F.floor(F.col("col") / tile).cast("int")})
 
 
-def crop_to_multiple(df: DataFrame, height: int, width: int, size: int) -> DataFrame:
+def crop_to_multiple(df: DataFrame, height: int | Column, width: int | Column, size: int) -> DataFrame:
     """Without the rows and columns past the last whole multiple of `size`."""
     return df.where((F.col("row") < height - height % size) & (F.col("col") < width - width % size))
 
 
-def patches(df: DataFrame, height: int, width: int, size: int, step: int) -> DataFrame:
+def patches(df: DataFrame, height: int | Column, width: int | Column, size: int, step: int) -> DataFrame:
     """Each pixel in every patch that covers it: patch_i, patch_j and its place (pr, pc) there. No join is needed."""
 
-    def covering(at: Column, n: int) -> Column:
+    def covering(at: Column, n: int | Column) -> Column:
         first = F.greatest(F.lit(0), F.ceil((at - size + 1) / step)).cast("int")
-        last = F.least(F.lit((n - size) // step), F.floor(at / step)).cast("int")
+        last = F.least(F.floor((F.lit(n) - size) / step), F.floor(at / step)).cast("int")
         return F.when(first <= last, F.sequence(first, last))
 
     out = df.withColumn("patch_i", F.explode(covering(F.col("row"), height))).withColumn("patch_j", F.explode(covering(F.col("col"), width)))
     return out.withColumns({"pr": (F.col("row") - F.col("patch_i") * step).cast("int"), "pc": (F.col("col") - F.col("patch_j") * step).cast("int")})
 
 
+def patch_origins(meta: DataFrame, height: int, width: int, step_i: int, step_j: int) -> DataFrame:
+    """One row for each whole patch of a raster: patch_i, patch_j and its first corner (x0, y0)."""
+    index = lambda n, size, step: F.explode(F.when(F.col(n) >= size, F.sequence(F.lit(0), F.floor((F.col(n) - size) / step).cast("int"))))
+    t = meta.withColumn("patch_i", index("height", height, step_i)).withColumn("patch_j", index("width", width, step_j))
+    return t.select("raster_id", "patch_i", "patch_j", (F.col("c") + F.col("patch_j") * step_j * F.col("a")).alias("x0"), (F.col("f") + F.col("patch_i") * step_i * F.col("e")).alias("y0"))
+
+
 def sample_raster(raster: DataFrame, points: DataFrame, x: str, y: str, a: float = 1.0, c: float = 0.0, e: float = 1.0, f: float = 0.0) -> DataFrame:
     """Points with the values of the cell they lie in. A point on an edge belongs to the cell right of it or below.
 
