@@ -188,6 +188,13 @@ def gap_clusters(spark, d):
     return pixels.join(F.broadcast(seen), "cls", "left_anti").groupBy("cls").agg(F.round(F.avg(fn.mask(F.col("b1"))), 6).alias("c1"), F.count("*").alias("n"))
 
 
+@query("gap_clusters_all", sql("select cls, avg(nullif(b1, 0)) as c1, count(*) as n from px where cls not in (select x.cls from px x join pts p on x.row = cast(floor(p.y) as bigint) and x.col = cast(floor(p.x) as bigint)) group by cls", "px", "pts").replace("avg(nullif(b1, 0))", "round(avg(nullif(b1, 0)), 6) + 0.0"))
+def gap_clusters_all(spark, d):
+    pixels = px(spark, d)
+    seen = grid.sample_raster(pixels, pts(spark, d), "x", "y").select("cls").distinct()
+    return pixels.join(F.broadcast(seen), "cls", "left_anti").groupBy("cls").agg(F.round(F.avg(fn.mask(F.col("b1"))), 6).alias("c1"), F.count("*").alias("n"))
+
+
 @query("gap_polygons", sql("select poly_id, count(*) as points from pts, polys where len(list_filter(range(1, len(ring) + 1), lambda k: ((ring[k].y > y) <> (ring[k % len(ring) + 1].y > y)) and x < (ring[k % len(ring) + 1].x - ring[k].x) * (y - ring[k].y) / nullif(ring[k % len(ring) + 1].y - ring[k].y, 0) + ring[k].x)) % 2 = 1 group by poly_id", "pts", "polys"))
 def gap_polygons(spark, d):
     return grid.spatial_join(pts(spark, d), polys(spark, d)).groupBy("poly_id").agg(F.count("*").alias("points"))

@@ -181,6 +181,16 @@ def outside_buffer(spark, d):
     return p.select("point_id").join(near, "point_id", "left_anti")
 
 
+# buffer_join, outside_buffer, missing_ids, segment_disjoint_folds and gap_clusters take some points, ids or folds, as their
+# SQL does; the queries named ..._all take all of them.
+
+
+@query("buffer_join_all", sql("select a.point_id as lid, b.point_id as rid from pts a join pts b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4", "pts"))
+def buffer_join_all(spark, d):
+    p = pts(spark, d)
+    return sp.buffer_join(p, p, "point_id", "point_id", 2.0)
+
+
 @query("semi_by_id", sql("select segment_id, tile_id, b1 from segpx where segment_id in (select segment_id from pts)", "segpx", "pts"))
 def semi_by_id(spark, d):
     return segpx(spark, d).join(pts(spark, d), "segment_id", "left_semi").select("segment_id", "tile_id", "b1")
@@ -246,6 +256,12 @@ def missing_ids(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).where("id % 3 = 0").distinct().join(known, "id", "left_anti")
 
 
+@query("missing_ids_all", "select distinct o_custkey as id from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 12)")
+def missing_ids_all(spark, d):
+    known = pts(spark, d).where("segment_id < 12").select(F.col("point_id").alias("id"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(known, "id", "left_anti")
+
+
 # ---- filters, dates, text ----
 
 
@@ -454,6 +470,14 @@ def spatial_buffer_folds(spark, d):
     return sp.buffered_folds(group_folds(spark, d).select("point_id", "x", "y", "fold"), "fold", "point_id", 1.0)
 
 
+@query("outside_buffer_all", sql("select a.point_id, k.fold from pts a, (select distinct fold from f) k where not exists (select 1 from f b where b.fold = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts", extra=f"{_SEG}, {_FOLDED}"))
+def outside_buffer_all(spark, d):
+    """For each fold, the points outside the buffers of all its test points."""
+    f = group_folds(spark, d).select("point_id", "x", "y", "fold")
+    out = sp.buffered_folds(f, "fold", "point_id", 2.0).where("role = 'train'")
+    return out.select("point_id", "fold")
+
+
 @query("test_fold_column", sql("select point_id, min(fold) as test_fold from f group by point_id", "pts", extra=f"{_SEG}, {_FOLDED}"))
 def test_fold_column(spark, d):
     return group_folds(spark, d).groupBy("point_id").agg(F.min("fold").alias("test_fold"))
@@ -467,6 +491,14 @@ def segment_disjoint_folds(spark, d):
     return every.join(test, ["segment_id", "fold"], "left_anti").select("point_id", "fold")
 
 
+@query("segment_disjoint_folds_all", sql("select point_id, k.fold from pts a, (select unnest(range(0, 30))::int as fold) k where not exists (select 1 from p b where b.segment_id = a.segment_id and b.pos % 30 = k.fold)", "pts", extra=_POS))
+def segment_disjoint_folds_all(spark, d):
+    p = fo.positions(pts(spark, d), ["hab_class"], "point_id")
+    test = p.select("segment_id", (F.col("pos") % 30).cast("int").alias("fold")).distinct()
+    every = p.select("point_id", "segment_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("fold"))
+    return every.join(test, ["segment_id", "fold"], "left_anti").select("point_id", "fold")
+
+
 @query("repeated_kfold", sql(" union all ".join(f"select point_id, {s} as repeat, cast((row_number() over (partition by hab_class order by md5(concat('{s}-', cast(point_id as varchar)))) - 1) % 5 as int) as fold from pts" for s in (1, 2, 3)), "pts"))
 def repeated_kfold(spark, d):
     parts = [fo.kfold(pts(spark, d), "point_id", 5, ["hab_class"], s).select("point_id", F.lit(s).alias("repeat"), "fold") for s in (1, 2, 3)]
