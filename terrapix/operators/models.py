@@ -12,7 +12,7 @@ from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import balanced_weights, class_report, class_totals, confusion, overall
@@ -74,23 +74,15 @@ def score(predictions: DataFrame, by: list[str]) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, bands: list[str], cls: str, unique: str, repeats: int = 1) -> DataFrame:
     """Accuracy lost when one band's values are dealt out anew, by two digest orders of the id, within hash groups."""
     base = score(predict(model, df).select(F.col(cls).alias("truth"), "pred"), []).select(F.col("oa").alias("base"))
-    out = []
-    for band in bands:
-        for k in range(repeats):
-            group = F.pmod(F.xxhash64(unique), F.lit(64))
-            order = lambda salt: F.row_number().over(_window(group, F.md5(F.concat(F.lit(f"{salt}-{band}-{k}-"), F.col(unique).cast("string")))))  # noqa: B023, E731
-            a = df.withColumns({"g": group, "p": order("a")}).drop(band)
-            b = df.select(group.alias("g"), order("b").alias("p"), band)
-            moved = a.join(b, ["g", "p"]).drop("g", "p")
-            oa = score(predict(model, moved).select(F.col(cls).alias("truth"), "pred"), [])
-            out.append(oa.select(F.lit(band).alias("band"), F.lit(k).alias("repeat"), "oa"))
-    return reduce(DataFrame.unionByName, out).join(F.broadcast(base)).withColumn("importance", F.col("base") - F.col("oa"))
-
-
-def _window(group, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy(order)
+    by = ["band", "repeat"]
+    cases = F.array(*(F.struct(F.lit(band).alias("band"), F.lit(k).alias("repeat")) for band in bands for k in range(repeats)))
+    rows = df.withColumn("g", F.pmod(F.xxhash64(unique), F.lit(64))).withColumn("case", F.explode(cases)).select("*", "case.*").drop("case")
+    order = lambda salt: F.row_number().over(Window.partitionBy(*by, "g").orderBy(F.md5(F.concat_ws("-", F.lit(salt), *by, unique))))
+    value = F.coalesce(*(F.when(F.col("band") == b, F.col(b)) for b in bands))
+    moved = rows.withColumn("p", order("a")).join(rows.select(*by, "g", order("b").alias("p"), value.alias("value")), [*by, "g", "p"])
+    moved = moved.withColumns({b: F.when(F.col("band") == b, F.col("value")).otherwise(F.col(b)) for b in bands})
+    oa = overall(confusion(predict(model, moved).select(*by, F.col(cls).alias("truth"), "pred"), "truth", "pred", by), by).select(*by, "oa")
+    return oa.join(F.broadcast(base)).withColumn("importance", F.col("base") - F.col("oa"))
 
 
 def importances(spark, model: PipelineModel, bands: list[str]) -> DataFrame:

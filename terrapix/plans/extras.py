@@ -229,7 +229,7 @@ def _classifier(name, kind, **params):
 
 _classifier("rf_classify", "rf")
 _classifier("svm_classify", "svm")
-_classifier("gbt_classify", "gbt", maxIter=2)
+_classifier("gbt_classify", "gbt")
 _classifier("mlp_classify", "mlp")
 _classifier("predict_pixels", "rf", numTrees=10)
 
@@ -266,14 +266,14 @@ def cross_validate(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    return models.grid_search(folded(spark, d), B, "cls", "fold", 3, [5], [3, 5])
+    return models.grid_search(folded(spark, d), B, "cls", "fold", 3, [5, 10, 20], [3, 5])
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     rows = folded(spark, d)
-    model = models.train(rows.where("fold <> 0"), B[:2], "cls", numTrees=5)
-    return models.permutation_importance(model, rows.where("fold = 0"), B[:2], "cls", "id").select("band", "repeat", "importance")
+    model = models.train(rows.where("fold <> 0"), B, "cls", numTrees=5)
+    return models.permutation_importance(model, rows.where("fold = 0"), B, "cls", "id", 10).select("band", "repeat", "importance")
 
 
 @query("feature_importance")

@@ -83,3 +83,13 @@ def test_segment_disjoint_folds_all(spark, tables):
 
 def test_gap_clusters_all(spark, tables):
     assert [(r[0], r[2]) for r in rows(spark, "gap_clusters_all", tables)] == [("far", 500)]
+
+
+def test_permutation_importance_of_every_band(spark):
+    got = QUERIES["permutation_importance"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.band, r.repeat) for r in got) == [(f"b{b}", k) for b in range(1, 5) for k in range(10)]
+
+
+def test_grid_search_over_several_tree_counts(spark):
+    got = QUERIES["grid_search"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.trees, r.depth) for r in got) == [(n, depth) for n in (5, 10, 20) for depth in (3, 5)]
