@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = stored(edges.where("u <> v").distinct(), name)
     while not _stars(edges):
-        edges = stored(_star(_star(edges, True), False), name)
+        last, edges = edges, stored(_star(_star(edges, True), False), name)
+        release(last)
     leaves = edges.selectExpr("u as node", "v as component")
     return leaves.unionByName(edges.selectExpr("v as node", "v as component")).distinct()
