@@ -13,9 +13,11 @@ from ..sources.shared import prepare, stored  # noqa: F401  the operators take t
 
 #: Bytes of text that a task looks at in one numpy pass; a longer document is a pass of its own.
 PASS_BYTES = 2 << 20
-#: Odd multiplier of the polynomial hashes (mod 2**64) and the constants that mix them.
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Prime modulus and base of the polynomial hashes, and the constants that mix 64-bit numbers.
+PRIME, BASE = (1 << 61) - 1, 0x1B3F72E4A9C5D687 % ((1 << 61) - 1)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_P, _S29, _S30, _S31, _S32, _S61 = np.uint64(PRIME), *(np.uint64(x) for x in (29, 30, 31, 32, 61))
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << x) - 1) for x in (29, 30, 31, 32))
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,20 +55,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, of any 64-bit numbers."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    middle = reduced(a1 * b0 + a0 * b1)
+    return reduced(((a1 * b1) << np.uint64(1)) + (middle >> _S30) + ((middle & _LOW30) << _S31) + reduced(a0 * b0))
+
+
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse mod 2**64 for i < n."""
+    """BASE**i and its inverse modulo the prime for i < n; what a usual pass needs is kept."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inv = pow(BASE, -1, 1 << 64)
         made = []
-        for x in (BASE, inv):
-            p = np.full(size, np.uint64(x))
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+        for x in (BASE, pow(BASE, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < max(n, 1 << 16):
+                p = np.concatenate([p, times(p, np.full(1, pow(x, len(p), PRIME), np.uint64))])
+            made.append(p)
         if n > 4 * PASS_BYTES:
             return made[0], made[1]
         _powers = made[0], made[1]
@@ -74,22 +88,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial hashes of any byte range of one buffer."""
+    """Polynomial hashes, modulo a prime of 61 bits, of any byte range of one buffer."""
+
+    STEP = 1 << 23  # bytes whose sums can't pass 64 bits
 
-    def __init__(self, raw: np.ndarray):
-        self.p, self.inv = powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.p[: len(raw)], out=self.sums[1:])
 
-    def all(self, k: int) -> np.ndarray:
-        """Hashes of every k bytes."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:-k]) * self.inv[:n]) if n > 0 else np.zeros(0, np.uint64)
+    def __init__(self, raw: np.ndarray):
+        p, self.inverse = powers(len(raw) + 1)
+        p, x = p[: len(raw)], raw.astype(np.uint64) + np.uint64(1)
+        # Sums of products by the low 32 and the high 29 bits of each power: neither can pass 64 bits.
+        self.low, self.high = np.zeros(len(raw) + 1, np.uint64), np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(x * (p & _LOW32), out=self.low[1:])
+        np.cumsum(x * (p >> _S32), out=self.high[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [start, end), their lengths mixed in."""
-        h = (self.sums[end] - self.sums[start]) * self.inv[start]
-        return mix(h + (end - start).astype(np.uint64) * MIX2)
+        low = high = np.zeros(len(start), np.uint64)
+        for k in range(0, int((end - start).max(initial=1)), self.STEP):
+            a, z = np.minimum(start + k, end), np.minimum(start + k + self.STEP, end)
+            low, high = reduced(low + reduced(self.low[z] - self.low[a])), reduced(high + reduced(self.high[z] - self.high[a]))
+        total = reduced(low + (high >> _S29) + ((high & _LOW29) << _S32))
+        return mix(times(total, self.inverse[start]) + (end - start).astype(np.uint64) * MIX2)
 
 
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:

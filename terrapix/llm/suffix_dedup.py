@@ -3,19 +3,23 @@
 Which strings of `length` bytes repeat is decided in three steps. (1) Every such string picks one anchor inside
 it: its k-gram of least hash (the leftmost of equals). Consecutive strings with the same anchor form a run, and
 equal strings have equal anchors at equal distances, so only runs with equal anchors can hold equal strings. Counts
-by anchor need some 30 bytes for every 170 bytes of text. (2) If all runs of a repeated anchor are the same bytes,
-all their strings repeat. (3) The rest meet in one group by anchor, each distinct run once. There the suffixes from
-the anchor on, and the reversed prefixes before it, are put in order by deep-shallow sorting: multikey quicksort
-to a shallow depth, then blind tries for what still shares a long prefix. Common prefixes of neighbours in both
-orders tell how far each pair agrees to either side, and so which strings repeat. A group with more than `block`
-distinct runs would be one large task, so its strings are counted by their own hashes instead: sums that
-Spark forms before it shuffles.
+by anchor need some 40 bytes for every 170 bytes of text. (2) If all runs of a repeated anchor are the same bytes, by
+their 128-bit cryptographic digests, all their strings repeat. (3) The rest meet in one group by anchor, each distinct
+run once. There the suffixes from the anchor on, and the reversed prefixes before it, are put in order by deep-shallow
+sorting: multikey quicksort to a shallow depth, then blind tries for what still shares a long prefix. Common prefixes
+of neighbours in both orders tell how far each pair agrees to either side, and so which strings repeat. A group with
+more than `block` distinct runs would be one large task, so its strings are counted by their own digests instead, in
+sums that Spark forms before it shuffles; the result is the same.
+
+The same steps, over words in place of bytes, find passages of `passage` words that another document holds too. Both
+kinds travel together; the lowest bit of an anchor tells them apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, Rolling, bytes_of, documents, merged, passes, prepare, sliding_min, stored
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, merged, mix, passes, prepare, sliding_min, stored, words
 
 LENGTH, GRAM, BLOCK, SHALLOW = 400, 64, 8192, 32
-RUNS = "anchor long, chunk long, doc_id long, p int, n int, off int, cnt int"
+#: Words of a passage, words of its anchors, and bytes that stand for a word.
+PASSAGE, WORD_GRAM, CODE = 50, 8, 8
+RUNS = "anchor long, c1 long, c2 long, doc_id long, th long, p int, n int, off int, cnt int"
+SLICES = "anchor long, c1 long, c2 long, doc_id long, off int, cnt int, bytes binary"
 
 
 # ---- deep-shallow sorting -------------------------------------------------------------------------------------
@@ -150,21 +157,21 @@ def _towards(lcps: np.ndarray, at: int) -> np.ndarray:
     return out
 
 
-def repeated_strings(texts: list[bytes], offs: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+def repeated_strings(
+    texts: list[bytes], offs: np.ndarray, counts: np.ndarray, length: int, unit: int = 1, owners: np.ndarray | None = None
+) -> list[tuple[int, int, int]]:
     """(run, first, last): strings of the runs, numbered by start, that occur in another run or in a copy of their own.
 
-    texts: distinct runs with one anchor, at offs in each.
+    texts: distinct runs with one anchor, at offs in each. offs, length and results are in symbols of `unit` bytes. With
+    owners, two runs that have one owner each, and the same, don't count for each other.
     """
     n = len(texts)
-    spans = [(i, 0, len(texts[i]) - length) for i in range(n) if counts[i] > 1]
+    sizes = np.array([len(t) for t in texts]) // unit
+    spans = [(i, 0, int(sizes[i]) - length) for i in range(n) if counts[i] > 1]
     if n < 2:
         return spans
-    rights = [t[o:] for t, o in zip(texts, offs)]
-    lefts = [t[:o][::-1] for t, o in zip(texts, offs)]
-    if n == 2:
-        r, l = common_prefix(rights[0], rights[1]), common_prefix(lefts[0], lefts[1])
-        found = [(i, max(0, int(offs[i]) - l), min(len(texts[i]), int(offs[i]) + r) - length) for i in (0, 1)]
-        return spans + [x for x in found if x[1] <= x[2]]
+    rights = [t[o * unit :] for t, o in zip(texts, offs)]
+    lefts = [t[: o * unit][::-1] for t, o in zip(texts, offs)]
 
     def ranked(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where: dict[bytes, int] = {}
@@ -172,7 +179,7 @@ def repeated_strings(texts: list[bytes], offs: np.ndarray, counts: np.ndarray, l
         order, lcps = deep_shallow_sort(list(where))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return rank[kinds], np.array(lcps, np.int64), np.array([len(s) for s in where], np.int64)[kinds]
+        return rank[kinds], np.array(lcps, np.int64) // unit, np.array([len(s) for s in where], np.int64)[kinds] // unit
 
     right_rank, right_lcp, right_len = ranked(rights)
     left_rank, left_lcp, left_len = ranked(lefts)
@@ -181,27 +188,49 @@ def repeated_strings(texts: list[bytes], offs: np.ndarray, counts: np.ndarray, l
             continue
         r = np.minimum(_towards(right_lcp, right_rank[i])[right_rank], right_len[i])
         l = np.minimum(_towards(left_lcp, left_rank[i])[left_rank], left_len[i])
-        r[i] = 0
-        ok = (r + l >= length) & (np.arange(n) != i)
+        ok = r + l >= length
+        ok[i] = False
+        if owners is not None:
+            ok &= (owners != owners[i]) | (counts > 1)
         if ok.any():
             first, after = merged(offs[i] - l[ok], offs[i] + r[ok] - length + 1)
-            spans += [(i, a, b - 1) for a, b in zip(first.tolist(), after.tolist())]
+            spans += [(i, int(x), int(y) - 1) for x, y in zip(first.tolist(), after.tolist())]
     return spans
 
 
 # ---- runs ---------------------------------------------------------------------------------------------------------
 
 
-def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """Runs of strings that share their anchor: row, anchor and chunk hash, first string, how many, anchor's distance."""
+@lru_cache(maxsize=4)
+def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    odd = int(MIX1)
+    out = []
+    for x in (odd, pow(odd, -1, 1 << 64)):
+        p = np.full(n, np.uint64(x))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every `gram` symbols. It only chooses anchors: where hashes collide, groups grow but results stay."""
+    n = len(units) - gram + 1
+    size = 1 << max(int(len(units)).bit_length(), 16)
+    p, inverse = _odd_powers(size) if size <= 1 << 24 else _odd_powers.__wrapped__(size)
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * p[: len(units)], out=sums[1:])
+    return mix((sums[gram:] - sums[:-gram]) * inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
+def runs_of(units: np.ndarray, offsets: np.ndarray, length: int, gram: int, kind: int = 0) -> dict[str, np.ndarray]:
+    """Runs of strings that share their anchor: row, anchor and digest, first string, how many, anchor's distance."""
     w = length - gram + 1
-    if len(raw) < length:
+    if len(units) < length:
         return {}
-    rolling = Rolling(raw)
-    h = rolling.all(gram)
-    at_bits = np.uint64((1 << 28) - 1)
-    keys = (h & ~at_bits) | np.arange(len(h), dtype=np.uint64)
-    anchor = (sliding_min(keys, w) & at_bits).astype(np.int64)
+    h = gram_hashes(units, gram)
+    at_bits = np.uint64((1 << 32) - 1)
+    anchor = (sliding_min((h & ~at_bits) | np.arange(len(h), dtype=np.uint64), w) & at_bits).astype(np.int64)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[1:][rows])
     if not len(start):
@@ -211,92 +240,119 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dic
     first[1:] = (a[1:] != a[:-1]) | (rows[start[1:]] != rows[start[:-1]])
     at = np.flatnonzero(first)
     p, n, a = start[at], np.diff(np.append(at, len(start))), a[at]
-    chunk = rolling.ranges(p, p + n - 1 + length) ^ ((a - p).astype(np.uint64) * MIX1)
-    row = rows[p]
-    return {"row": row, "anchor": h[a].view(np.int64), "chunk": chunk.view(np.int64), "p": p - offsets[row], "n": n, "off": a - p}
+    data, size, row = memoryview(np.ascontiguousarray(units).view(np.uint8)), units.itemsize, rows[p]
+    digest = np.frombuffer(digests(data, p * size, (p + n - 1 + length) * size), np.int64).reshape(-1, 2)
+    return {
+        "row": row, "anchor": ((h[a] & ~np.uint64(1)) | np.uint64(kind)).view(np.int64), "c1": digest[:, 0],
+        "c2": digest[:, 1] ^ ((a - p).astype(np.uint64) * MIX2).view(np.int64), "p": p - offsets[row], "n": n, "off": a - p,
+    }
+
+
+def digests(data: memoryview, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """128-bit digests of byte ranges, one after the other."""
+    made = hashlib.blake2b
+    return b"".join([made(data[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist())])
 
 
-def _runs(length: int, gram: int):
+def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each word, A-Z in lower case, and the offsets of the rows among them."""
+    low = LOWER[raw]
+    starts, ends, rows = words(low, offsets, NOT_SPACE)
+    codes = Rolling(low).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return codes, np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def _runs(length: int, gram: int, passage: int):
+    def table(r: dict[str, np.ndarray], ids: np.ndarray, th: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        if not r:
+            return
+        n = len(r["p"])
+        order = np.lexsort((r["p"], r["c2"], r["c1"], r["anchor"], r["row"]))
+        row, an, c1, c2 = (r[k][order] for k in ("row", "anchor", "c1", "c2"))
+        new = np.ones(n, bool)
+        new[1:] = (row[1:] != row[:-1]) | (an[1:] != an[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), n))
+        # Bytes: a run that comes twice in its row repeats for sure; one stays for the counts, all as plain intervals.
+        # Words: a row counts once for each of its runs, as only other documents matter.
+        keep = order[new] if kind == 0 else order
+        cnt = np.minimum(size, 2) if kind == 0 else new.astype(np.int64)
+        cols = {k: r[k][keep] for k in ("anchor", "c1", "c2", "p", "n", "off")} | {"row": r["row"][keep], "cnt": cnt}
+        valid = np.ones(len(keep), bool)
+        often = np.repeat(size > 1, size)
+        if kind == 0 and often.any():
+            o = order[often]
+            shift = r["row"][o] << 32
+            s, e = merged(r["p"][o] + shift, r["p"][o] + shift + r["n"][o] - 1 + length)
+            extra = {"p": s & 0xFFFFFFFF, "n": e - s, "row": s >> 32}
+            cols = {c: np.concatenate([v, extra.get(c, np.zeros(len(s), np.int64))]) for c, v in cols.items()}
+            valid = np.concatenate([valid, np.zeros(len(s), bool)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols["anchor"], mask=~valid), *(pa.array(x) for x in (cols["c1"], cols["c2"], ids[cols["row"]], th[cols["row"]]))] + [pa.array(cols[c].astype(np.int32)) for c in ("p", "n", "off", "cnt")],
+            ["anchor", "c1", "c2", "doc_id", "th", "p", "n", "off", "cnt"],
+        )
+
     def go(batches):
         for batch in batches:
             raw, offsets = bytes_of(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
             for i, j in passes(offsets):
-                r = runs_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                if not r:
-                    continue
-                n = len(r["p"])
-                # A run that comes twice in its row repeats for sure: one stays for the counts, all as plain intervals.
-                order = np.lexsort((r["p"], r["chunk"], r["anchor"], r["row"]))
-                row, an, ch = r["row"][order], r["anchor"][order], r["chunk"][order]
-                new = np.ones(n, bool)
-                new[1:] = (row[1:] != row[:-1]) | (an[1:] != an[:-1]) | (ch[1:] != ch[:-1])
-                size = np.diff(np.append(np.flatnonzero(new), n))
-                often = np.repeat(size > 1, size)
-                keep = order[new]
-                cols = {k: r[k][keep] for k in ("anchor", "chunk", "p", "n", "off")}
-                doc, cnt, valid = ids[i:j][r["row"][keep]], np.minimum(size, 2), np.ones(len(keep), bool)
-                if often.any():
-                    o = order[often]
-                    shift = r["row"][o] * (1 << 32)
-                    s, e = merged(r["p"][o] + shift, r["p"][o] + shift + r["n"][o] - 1 + length)
-                    k = len(s)
-                    extra = {"anchor": np.zeros(k, np.int64), "chunk": np.zeros(k, np.int64), "p": s & 0xFFFFFFFF, "n": e - s, "off": np.zeros(k, np.int64)}
-                    cols = {c: np.concatenate([v, extra[c]]) for c, v in cols.items()}
-                    doc = np.concatenate([doc, ids[i:j][s >> 32]])
-                    cnt, valid = np.concatenate([cnt, np.zeros(k, np.int64)]), np.concatenate([valid, np.zeros(k, bool)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols["anchor"], mask=~valid), pa.array(cols["chunk"]), pa.array(doc)] + [pa.array(x.astype(np.int32)) for x in (cols["p"], cols["n"], cols["off"], cnt)],
-                    ["anchor", "chunk", "doc_id", "p", "n", "off", "cnt"],
-                )
+                part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                yield from table(runs_of(part, off, length, gram), ids[i:j], th[i:j], 0)
+                if passage:
+                    yield from table(runs_of(*coded(part, off), passage, min(WORD_GRAM, passage), 1), ids[i:j], th[i:j], 1)
 
     return go
 
 
-def _slices(length: int):
+def _slices(length: int, passage: int):
     """Cut the runs that a group needs out of the text of their document."""
 
     def go(batches):
         for batch in batches:
             raw, offsets = bytes_of(batch.column("text"))
-            out: dict[str, list] = {k: [] for k in ("anchor", "chunk", "off", "cnt", "bytes")}
+            ids = batch.column("doc_id").to_pylist()
             for k, rows in enumerate(batch.column("runs").to_pylist()):
-                text = raw[offsets[k] : offsets[k + 1]].tobytes()
+                own = raw[offsets[k] : offsets[k + 1]]
+                whole = own.tobytes(), coded(own, np.array([0, len(own)]))[0].tobytes() if any(r["anchor"] & 1 for r in rows) else b""
+                cut = []
                 for r in rows:
-                    out["bytes"].append(text[r["p"] : r["p"] + r["n"] - 1 + length])
-                    for c in ("anchor", "chunk", "off", "cnt"):
-                        out[c].append(r[c])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["anchor"], pa.int64()), pa.array(out["chunk"], pa.int64()), pa.array(out["off"], pa.int32()), pa.array(out["cnt"], pa.int32()), pa.array(out["bytes"], pa.binary())],
-                list(out),
-            )
+                    kind = r["anchor"] & 1
+                    unit, most = (CODE, passage) if kind else (1, length)
+                    cut.append(whole[kind][r["p"] * unit : (r["p"] + r["n"] - 1 + most) * unit])
+                col = lambda c, t: pa.array([r[c] for r in rows], t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [col("anchor", pa.int64()), col("c1", pa.int64()), col("c2", pa.int64()), pa.array([ids[k]] * len(rows), pa.int64()), col("off", pa.int32()), col("cnt", pa.int32()), pa.array(cut, pa.binary())],
+                    ["anchor", "c1", "c2", "doc_id", "off", "cnt", "bytes"],
+                )
 
     return go
 
 
-def _order_groups(length: int):
+def _order_groups(length: int, passage: int):
     """Over rows in order of their anchor: one group at a time is held, of `block` distinct runs at most."""
 
     def go(batches):
-        held: list[tuple[int, int, int, int, bytes]] = []
-        out: list[list[int]] = [[], [], [], []]
+        held: list[tuple] = []
+        out: list[list[int]] = [[], [], [], [], []]
 
         def close() -> None:
-            found = repeated_strings([x[4] for x in held], np.array([x[2] for x in held]), np.array([x[3] for x in held]), length)
+            kind = held[0][0] & 1
+            offs, counts, owners = (np.array([x[k] for x in held]) for k in (4, 5, 3))
+            found = repeated_strings([x[6] for x in held], offs, counts, passage if kind else length, CODE if kind else 1, owners if kind else None)
             for i, a, b in found:
-                for column, v in zip(out, (held[i][0], held[i][1], a, b)):
+                for column, v in zip(out, (*held[i][:3], a, b)):
                     column.append(v)
             held.clear()
 
         def batch_of() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "chunk", "a", "b"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "c1", "c2", "a", "b"])
             for column in out:
                 column.clear()
             return made
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "chunk", "off", "cnt", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "doc_id", "off", "cnt", "bytes"))):
                 if held and held[0][0] != row[0]:
                     close()
                 held.append(row)
@@ -308,23 +364,25 @@ def _order_groups(length: int):
     return go
 
 
-def _strings(length: int):
-    """For groups past the block size: one row for each string of a run, by its own hash."""
+def _strings(length: int, passage: int):
+    """For groups past the block size: one row for each string of a run, by its own digest."""
 
     def go(batches):
         for batch in batches:
+            anchors = batch.column("anchor").to_numpy(zero_copy_only=False)
             raw, offsets = bytes_of(batch.column("bytes"))
-            for i, j in passes(offsets, 1 << 19):
-                part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                h = Rolling(part).all(length)
-                n = np.diff(off) - length + 1
+            for i, j in passes(offsets, 1 << 17):
+                unit, most = np.where(anchors[i:j] & 1, CODE, 1), np.where(anchors[i:j] & 1, passage, length)
+                size = np.diff(offsets[i : j + 1])
+                n = size // unit - most + 1
                 row = np.repeat(np.arange(j - i), n)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[i:j][row]
-                dist = (take("off") - at).astype(np.int32)
+                begin = offsets[i:j][row] + at * unit[row]
+                d = np.frombuffer(digests(memoryview(raw), begin, begin + (most * unit)[row]), np.int64).reshape(-1, 2)
+                take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[i:j][row]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(take("anchor")), pa.array(take("chunk")), pa.array(at.astype(np.int32)), pa.array(dist), pa.array(h[off[:-1][row] + at].view(np.int64)), pa.array(take("cnt"))],
-                    ["anchor", "chunk", "at", "dist", "h", "cnt"],
+                    [pa.array(take(c)) for c in ("anchor", "c1", "c2", "doc_id")] + [pa.array(at.astype(np.int32)), pa.array((take("off") - at).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(take("cnt"))],
+                    ["anchor", "c1", "c2", "doc_id", "at", "dist", "h1", "h2", "cnt"],
                 )
 
     return go
@@ -336,73 +394,82 @@ def _finish(keep_text: bool):
             raw, offsets = bytes_of(batch.column("text"))
             spans = batch.column("spans")
             counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
-            flat = spans.flatten()
-            starts, ends = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            kinds, starts, ends = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
             stop = np.cumsum(counts)
-            lens, removed, shas, texts, all_s, all_e, n_spans = np.diff(offsets), [], [], [], [], [], []
+            lens, removed, shared, shas, texts, all_s, all_e, n_spans = np.diff(offsets), [], [], [], [], [], [], []
             for k in range(len(counts)):
                 text = raw[offsets[k] : offsets[k + 1]].tobytes()
-                if counts[k]:
-                    s, e = merged(starts[stop[k] - counts[k] : stop[k]].astype(np.int64), ends[stop[k] - counts[k] : stop[k]].astype(np.int64))
-                    all_s.append(s)
-                    all_e.append(e)
-                    n_spans.append(len(s))
-                    removed.append(int((e - s).sum()))
+                own = slice(stop[k] - counts[k], stop[k])
+                kind, s, e = kinds[own], starts[own].astype(np.int64), ends[own].astype(np.int64)
+                ws, we = merged(s[kind == 1], e[kind == 1])
+                s, e = merged(s[kind == 0], e[kind == 0])
+                shared.append(int((we - ws).sum()))
+                removed.append(int((e - s).sum()))
+                n_spans.append(len(s))
+                all_s.append(s)
+                all_e.append(e)
+                if len(s):
                     text = b"".join(text[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
-                else:
-                    n_spans.append(0)
-                    removed.append(0)
                 shas.append(hashlib.sha256(text).hexdigest())
                 texts.append(text.decode("utf-8", "ignore") if keep_text else None)
             ints = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)) for x in (all_s, all_e)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_spans]).astype(np.int32)), pa.StructArray.from_arrays(ints, ["s", "e"]))
             longs = [pa.array(np.asarray(x, np.int64)) for x in (lens, removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *longs, pa.array(shas, pa.string()), lists, pa.array(texts, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
+                [batch.column("doc_id"), *longs, pa.array(shas, pa.string()), pa.array(np.asarray(shared, np.int64)), lists, pa.array(texts, pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "spans", "kept_text"],
             )
 
     return go
 
 
-def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, spans array<struct<s:int,e:int>>, kept_text string"
+
+
+def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_text: bool = True, passage: int = PASSAGE) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts anywhere else, in any document.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of s, e in bytes), kept_text (a character
-    of which only a part goes is dropped from the text, not from the digest; null without keep_text). Null and empty
-    texts and texts shorter than `length` lose nothing. Equal rows all lose their repeats: strings are judged on the
-    input. An empty table gives an empty result; other columns are ignored. doc_id must be unique. Rows without doc_id are left out.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words (words, between ASCII white space and with
+    A-Z in lower case, that lie in `passage` words in a row which another document holds too; 0 with passage=0), spans
+    (array of s, e in bytes), kept_text (a character of which only a part goes is dropped from the text, not from the
+    digest; null without keep_text). Null and empty texts and texts shorter than `length` lose nothing. Rows may repeat
+    a doc_id, with the same text or another: each row gives a row and all lose their repeats, as strings are judged on
+    the input; for n_shared_words rows of one doc_id are one document. An empty table gives an empty result; other
+    columns are ignored. Rows without doc_id are left out.
     """
     spark = df.sparkSession
     prepare(spark)
-    docs = documents(df)
-    runs = docs.mapInArrow(_runs(length, gram), RUNS)
-    plain = runs.where("anchor is null").selectExpr("doc_id", "p as s", "p + n as e")
+    docs = documents(df).withColumn("th", F.xxhash64("text"))
+    runs = stored(docs.mapInArrow(_runs(length, gram, passage), RUNS), "op1-runs")
+    size = f"if(anchor & 1 = 1, {passage}, {length})"
+    kind = "cast(anchor & 1 as int) as kind"
+    plain = runs.where("anchor is null").selectExpr("doc_id", "th", "0 as kind", "p as s", "p + n as e")
     often = (
         runs.where("anchor is not null")
         .groupBy("anchor")
-        .agg(F.sum("cnt").alias("c"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+        .agg(F.sum("cnt").alias("c"), *(f(x).alias(f"{x}_{f.__name__}") for x in ("c1", "c2") for f in (F.min, F.max)))
         .where("c > 1")
-        .selectExpr("anchor as key", "lo = hi as same")
+        .selectExpr("anchor as key", "c1_min = c1_max and c2_min = c2_max as same")
     )
-    hits = stored(runs.where("anchor is not null").join(often, F.col("anchor") == F.col("key")).drop("key"), "op1-runs")
-    whole = hits.where("same").selectExpr("doc_id", "p as s", f"p + n - 1 + {length} as e")
+    hits = stored(runs.where("anchor is not null").join(often, F.col("anchor") == F.col("key")).drop("key"), "op1-hits")
+    whole = hits.where("same").selectExpr("doc_id", "th", kind, "p as s", f"p + n - 1 + {size} as e")
     mixed = hits.where("not same")
     # One text for each distinct run; copies are counted before anything is shuffled.
-    one = mixed.groupBy("anchor", "chunk").agg(F.sum("cnt").cast("int").alias("cnt"), F.min_by(F.struct("doc_id", "p", "n", "off"), F.struct("doc_id", "p")).alias("r"))
-    wanted = one.select(F.col("r.doc_id").alias("doc_id"), F.struct("anchor", "chunk", "r.p", "r.n", "r.off", "cnt").alias("run"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))  # at most the runs of one document
-    cut = docs.join(wanted, "doc_id").mapInArrow(_slices(length), "anchor long, chunk long, off int, cnt int, bytes binary")
-    sizes = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    large = sizes.where(F.col("kinds") > block).selectExpr("anchor as big")
+    one = mixed.groupBy("anchor", "c1", "c2").agg(F.sum("cnt").cast("int").alias("cnt"), F.min_by(F.struct("doc_id", "th", "p", "n", "off"), F.struct("doc_id", "th", "p")).alias("r"))
+    wanted = one.select("r.doc_id", "r.th", F.struct("anchor", "c1", "c2", "r.p", "r.n", "r.off", "cnt").alias("run"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))  # at most the runs of one document
+    cut = docs.join(wanted, ["doc_id", "th"]).mapInArrow(_slices(length, passage), SLICES)
+    large = one.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > block).selectExpr("anchor as big")
     cut = stored(cut.join(large, F.col("anchor") == F.col("big"), "left"), "op1-cut")
     groups = cut.where("big is null").drop("big").repartition("anchor").sortWithinPartitions("anchor")
-    ordered = groups.mapInArrow(_order_groups(length), "anchor long, chunk long, a int, b int")
-    singles = cut.where("big is not null").drop("big").mapInArrow(_strings(length), "anchor long, chunk long, at int, dist int, h long, cnt int")
-    shared = singles.groupBy("anchor", "dist", "h").agg(F.sum("cnt").alias("c")).where("c > 1").drop("c")
-    counted = singles.join(shared, ["anchor", "dist", "h"]).selectExpr("anchor", "chunk", "at as a", "at as b")
-    parts = ordered.unionByName(counted).withColumnRenamed("anchor", "anchor2").withColumnRenamed("chunk", "chunk2")
-    some = mixed.join(parts, (F.col("anchor") == F.col("anchor2")) & (F.col("chunk") == F.col("chunk2"))).selectExpr("doc_id", "p + a as s", f"p + b + {length} as e")
-    spans = plain.unionByName(whole).unionByName(some).groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    done = docs.join(spans, "doc_id", "left")
-    return done.mapInArrow(_finish(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>, kept_text string")
+    ordered = groups.mapInArrow(_order_groups(length, passage), "anchor long, c1 long, c2 long, a int, b int")
+    singles = cut.where("big is not null").drop("big").mapInArrow(_strings(length, passage), "anchor long, c1 long, c2 long, doc_id long, at int, dist int, h1 long, h2 long, cnt int")
+    same = ["anchor", "dist", "h1", "h2"]
+    shared = singles.groupBy(same).agg(F.sum("cnt").alias("c"), F.max("cnt").alias("most"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    shared = shared.where("c > 1 and (anchor & 1 = 0 or most > 1 or lo < hi)").select(same)
+    counted = singles.join(shared, same).selectExpr("anchor", "c1", "c2", "at as a", "at as b")
+    parts = ordered.unionByName(counted)
+    some = mixed.join(parts, ["anchor", "c1", "c2"]).selectExpr("doc_id", "th", kind, "p + a as s", f"p + b + {size} as e")
+    spans = plain.unionByName(whole).unionByName(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "s", "e")).alias("spans"))
+    done = docs.join(spans, ["doc_id", "th"], "left")
+    return done.mapInArrow(_finish(keep_text), RESULT)

@@ -22,6 +22,24 @@ def brute(rows, length):
     return out
 
 
+def shared_words(rows, k):
+    """Words in k words in a row that another document holds too."""
+    texts = [(i, (t or "").split(" ")) for i, t in rows]
+    texts = [(i, [x.lower() for x in w if x]) for i, w in texts]
+    owners = {}
+    for i, w in texts:
+        for p in range(len(w) - k + 1):
+            owners.setdefault(tuple(w[p : p + k]), set()).add(i)
+    out = []
+    for i, w in texts:
+        hit = set()
+        for p in range(len(w) - k + 1):
+            if len(owners[tuple(w[p : p + k])]) > 1:
+                hit.update(range(p, p + k))
+        out.append((i, len(hit)))
+    return sorted(out)
+
+
 def fixture(seed=3, n=60):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdeéß ") for _ in range(rnd.randint(1, 9)))
@@ -76,3 +94,40 @@ def test_deep_shallow_order():
         while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
         assert n == lcps[k]
+
+
+def passages(spark, rows, k, **kw):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r.doc_id, r.n_shared_words) for r in suffix_dedup(df, length=60, gram=12, passage=k, **kw).collect())
+
+
+def test_passages_of_words(spark):
+    """Against brute force: within blocks and past them; what repeats in one document alone doesn't count."""
+    rnd = random.Random(4)
+    rows = [(i, t and t.replace("  ", " ")) for i, t in fixture(seed=7)]
+    rows += [(100, "x y z " * 40), (101, "x y z " * 3), (102, "Some Words " + "q w e r t " * 12 + "end"), (103, "q w e r t " * 4)]
+    rows += [(200 + k, " ".join(rnd.choice(["u", "v", "vv"]) for _ in range(40))) for k in range(12)]
+    want = shared_words(rows, 9)
+    assert passages(spark, rows, 9) == want and sum(n for _, n in want) > 0 and dict(want)[100] == 120
+    assert passages(spark, rows, 9, block=2) == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, "abcdefgh" * 20 + "x"), (1, "abcdefgh" * 20 + "x"), (1, "other " * 30), (2, "".join(map(chr, range(200, 290)))), (2, "".join(map(chr, range(200, 290)))), (None, "lost")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_shared_words) for r in suffix_dedup(df, length=60, gram=12, passage=5).collect())
+    assert got == [(1, 161, 161, 0), (1, 161, 161, 0), (1, 180, 180, 0), (2, 180, 180, 0), (2, 180, 180, 0)]
+
+
+def thue_morse(n, a="a", b="b"):
+    """The word of n letters and its complement, which polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    for n in (1024, 4096):
+        x, y = thue_morse(n)
+        rows = [(1, "k" * 70 + x + "m" * 70), (2, "k" * 70 + y + "n" * 70), (3, f"one two {x}"), (4, f"one two {y}")]
+        assert run(spark, rows, 600, 64) == brute(rows, 600)
+        assert passages(spark, rows, 3) == [(1, 0), (2, 0), (3, 0), (4, 0)]
