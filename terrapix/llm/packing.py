@@ -10,7 +10,6 @@ powers of two, so that nothing is padded.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -22,28 +21,84 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, prepare
+from .common import LOWER, MIX1, MIX2, bytes_of, documents, mix, passes, prepare
 from .token_counts import merger
 
 #: Ids of a window, bytes of text in a shard, id that ends a document, and the usual BM25 parameters.
 WINDOW, SHARD_BYTES, END, K1, B = 4096, 8 << 20, 2, 1.2, 0.75
-REMEMBERED = 900_000
+#: Pre-tokens that a task remembers, and bytes of text that it looks up together.
+REMEMBERED, TOGETHER = 900_000, 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Kinds of characters as this tokenizer tells them apart: letters, numbers, white space, and all others.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: What it splits off after an apostrophe, by length.
+AFTER_ONE, AFTER_TWO = b"stmd", (b"re", b"ve", b"ll")
+APOSTROPHE = ord("'")
+#: Bytes of a pre-token that are held as numbers; longer ones are found by a dictionary.
+SHORT = 16
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    return out
+
 
-#: Fixed value: how this tokenizer splits text into pre-tokens, white space left out; A-Z are lower case by then.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-UPPER = bytes(range(65, 91))
-LOWERED = bytes.maketrans(UPPER, UPPER.lower())
+def kinds_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of the character that each byte belongs to, and whether the byte begins one."""
+    kind, lead = kinds()[raw], (raw & 0xC0) != 0x80
+    wide = np.flatnonzero(raw >= 0xC0)
+    if len(wide):
+        at = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+        b, tail = at[wide], [at[wide + k] & 0x3F for k in (1, 2, 3)]
+        code = np.where(b < 0xE0, (b & 0x1F) << 6 | tail[0], np.where(b < 0xF0, (b & 0x0F) << 12 | tail[0] << 6 | tail[1], (b & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+        kind[wide] = kinds()[code]
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            some = wide[b >= least]
+            kind[some + k] = kind[some]
+    return kind, lead
+
+
+def pre_tokens(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of pre-tokens: runs of letters, single numbers, runs of other characters, and short endings
+    after an apostrophe that stands alone. None crosses a row."""
+    kind, lead = kinds_of(low)
+    edge = np.empty(len(low) + 1, bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = (kind[1:] != kind[:-1]) | ((kind[1:] == NUMBER) & lead[1:])
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    starts, ends = at[:-1], at[1:]
+    real = kind[starts] != SPACE
+    starts, ends = starts[real], ends[real]
+    lone = np.flatnonzero((low[starts] == APOSTROPHE) & (ends - starts == 1))
+    lone = lone[lone + 1 < len(starts)]
+    lone = lone[(starts[lone + 1] == ends[lone]) & (kind[starts[lone + 1]] == LETTER) & ~np.isin(ends[lone], offsets)]
+    if len(lone):
+        follow = starts[lone + 1]
+        one = np.isin(low[follow], np.frombuffer(AFTER_ONE, np.uint8))
+        pair = low[follow].astype(np.uint16) << 8 | low[np.minimum(follow + 1, len(low) - 1)]
+        two = np.isin(pair, [x[0] << 8 | x[1] for x in AFTER_TWO]) & (ends[lone + 1] - follow >= 2)
+        take = np.where(one, 1, np.where(two, 2, 0))
+        ends[lone] += take
+        starts[lone + 1] += take
+        some = starts < ends
+        starts, ends = starts[some], ends[some]
+    return starts, ends
 
 
 class Encoder:
     """The ids that the tokenizers library gives, remembered for each pre-token; no token reaches over two.
 
-    New pre-tokens in lower case are merged together by the file's own ranks, others by the library. Text that
-    normalisation could join or part differently (not in composed form, a dotted capital I, which becomes two
-    characters, or what looks like a special token) goes to the library as a whole.
+    A pre-token of up to 16 bytes is known by these bytes as two numbers and by its length, so nothing rests on hashes;
+    a table of slots finds it. New pre-tokens in lower case are merged together by the file's own ranks, others by the
+    library. Text that normalisation could join or part differently (not in composed form, a dotted capital I, which
+    becomes two characters, or what looks like a special token) goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -54,40 +109,107 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in two bytes")
         self.merger = merger(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def split(self, text: bytes) -> list[str] | None:
-        """Pre-tokens, or None where the library is to see the whole text."""
-        if b"<|" in text:
-            return None
-        t = text.translate(LOWERED).decode()
-        if t.isascii():
-            return ASCII_SPLIT.findall(t)
-        return SPLIT.findall(t) if "\u0130" not in t and is_normalized("NFC", t) else None
+    def forget(self) -> None:
+        self.n, self.long = 0, {}
+        self.slots = np.full(1 << 22, -1, np.int32)
+        self.first, self.second = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.length, self.begin, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
 
-    def learn(self, new: set[str]) -> None:
-        simple = [w for w in new if w.isascii() or (w == w.lower() and "\u03a3" not in w)]
-        for k in range(0, len(simple), 50_000):
-            part = simple[k : k + 50_000]
-            symbols, sizes = self.merger.merge([w.encode() for w in part])
-            packed, ends = symbols.astype("<u2").tobytes(), np.cumsum(2 * sizes).tolist()
-            self.known.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        other = list(new.difference(simple))
-        self.known.update(zip(other, self.ids(other)))
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        new = set().union(*(x for x in split if x)) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*(x for x in split if x))
-        self.learn(new)
-        get, end = self.known.__getitem__, array("H", [END]).tobytes()
-        whole = iter(self.ids([t.decode() for t, x in zip(texts, split) if x is None]))
-        return [np.frombuffer((next(whole) if x is None else b"".join(map(get, x))) + end, "<u2") for x in split]
+    def add(self, tokens: list[bytes]) -> np.ndarray:
+        """Numbers of new pre-tokens, whose ids go to the pool."""
+        words = [t.decode() for t in tokens]
+        simple = np.array([t.isascii() or (w == w.lower() and "\u03a3" not in w) for t, w in zip(tokens, words)], bool)
+        own: list[bytes] = [b""] * len(tokens)
+        for part in np.array_split(np.flatnonzero(simple), max(1, int(simple.sum()) // 50_000)):
+            if len(part):
+                symbols, sizes = self.merger.merge([tokens[k] for k in part.tolist()])
+                packed, ends = symbols.astype("<u2").tobytes(), np.cumsum(2 * sizes).tolist()
+                for k, x, y in zip(part.tolist(), [0, *ends[:-1]], ends):
+                    own[k] = packed[x:y]
+        rest = np.flatnonzero(~simple).tolist()
+        for k, x in zip(rest, self.ids([words[k] for k in rest])):
+            own[k] = x
+        made = np.frombuffer(b"".join(own), "<u2")
+        sizes = np.array([len(x) // 2 for x in own], np.int64)
+        number = self.n + np.arange(len(tokens))
+        self.pool = grown(self.pool, self.used + len(made))
+        self.pool[self.used : self.used + len(made)] = made
+        for name in ("first", "second", "length", "begin", "size"):
+            setattr(self, name, grown(getattr(self, name), self.n + len(tokens)))
+        self.begin[number], self.size[number] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(made)
+        self.n += len(tokens)
+        return number
+
+    def numbers(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each pre-token."""
+        length = ends - starts
+        padded = np.append(low, np.zeros(SHORT, np.uint8))
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each on
+        masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+        a = eight[starts] & masks[np.minimum(length, 8)]
+        b = eight[np.minimum(starts + 8, len(eight) - 1)] & masks[np.clip(length - 8, 0, 8)]
+        slot = mix(a + b * MIX1 + length.astype(np.uint64) * MIX2) >> np.uint64(42)
+        out = self.slots[slot].astype(np.int64)
+        hit = (out >= 0) & (self.first[out] == a) & (self.second[out] == b) & (self.length[out] == length)
+        hit &= length <= SHORT
+        miss = np.flatnonzero(~hit)
+        if not len(miss):
+            return out
+        # What a slot doesn't have: new pre-tokens, long ones, and those whose slot is another's.
+        data = low.tobytes()
+        words = [data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist())]
+        new = list(dict.fromkeys(w for w in words if w not in self.long))
+        if new:
+            number = self.add(new)
+            self.long.update(zip(new, number.tolist()))
+            where = dict(zip(words, miss.tolist()))
+            at = np.array([where[w] for w in new])
+            self.first[number], self.second[number], self.length[number] = a[at], b[at], length[at]
+            fits = length[at] <= SHORT
+            self.slots[slot[at[fits]]] = number[fits]
+        out[miss] = [self.long[w] for w in words]
+        return out
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text, the end's id after them."""
+        n = len(offsets) - 1
+        whole = np.zeros(n, bool)
+        row_of = lambda at: np.searchsorted(offsets, at, "right") - 1
+        for x, y in ((0x3C, 0x7C), (0xC4, 0xB0)):  # "<|", and the dotted capital I
+            whole[row_of(np.flatnonzero((raw[:-1] == x) & (raw[1:] == y)))] = True
+        past = np.append(0, np.cumsum(raw >= 0x80))
+        wide = past[offsets[1:]] > past[offsets[:-1]]
+        texts = {r: raw[offsets[r] : offsets[r + 1]].tobytes().decode() for r in np.flatnonzero(wide | whole).tolist()}
+        for r in np.flatnonzero(wide & ~whole).tolist():
+            whole[r] = not is_normalized("NFC", texts[r])
+        if self.n > REMEMBERED:
+            self.forget()
+        low = LOWER[raw]
+        starts, ends = pre_tokens(low, offsets)
+        if whole.any():
+            own = ~whole[row_of(starts)]
+            starts, ends = starts[own], ends[own]
+        number = self.numbers(low, starts, ends) if len(starts) else np.zeros(0, np.int64)
+        sizes = self.size[number]
+        stop = np.append(0, np.cumsum(sizes))
+        flat = self.pool[np.repeat(self.begin[number] - stop[:-1], sizes) + np.arange(stop[-1])]
+        cut = stop[np.searchsorted(starts, offsets)]
+        end = np.array([END], np.uint16)
+        rest = np.flatnonzero(whole).tolist()
+        known = dict(zip(rest, self.ids([texts[r] for r in rest])))
+        return [np.append(np.frombuffer(known[r], "<u2") if r in known else flat[cut[r] : cut[r + 1]], end) for r in range(n)]
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries."""
+    return x if len(x) >= n else np.append(x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype))
 
 
 @lru_cache(maxsize=2)
@@ -106,10 +228,8 @@ def _encode(name: str, window: int):
         encode = encoder(public_tokenizers.path(name))
         for batch in batches:
             raw, offsets = bytes_of(batch.column("text"))
-            step = 500
-            for i in range(0, batch.num_rows, step):
-                j = min(i + step, batch.num_rows)
-                ids = encode([raw[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])
+            for i, j in passes(offsets, TOGETHER):
+                ids = encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 full = [len(x) // window for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from terrapix.llm.packing import Bm25, encoder, fill, pack
+from terrapix.llm.common import bytes_of
+from terrapix.llm.packing import Bm25, Encoder, fill, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,8 +25,18 @@ def want_ids(text):
 
 
 def test_ids_are_the_librarys():
-    got = encoder(PATH)([(t or "").encode() for t in texts()])
-    assert [x.tolist() for x in got] == [want_ids(t) for t in texts()]
+    rnd = random.Random(5)
+    bits = ["'", "s", "re", "ll", "d", "x", "É", "é", "ß", "1", "½", "²", " ", "\u00a0", "\u2028", "!", "<|", "日", "😀", "\u0301", "İ", "Σ", "\0", "\x1c", "Ⅷ", "longerthansixteenbytes"]
+    every = texts() + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    every += ["'s", "'sure 'll 'llama 're 'r ''s !'s 'S it'S 'é 's's", "'", "s"]
+    column = pa.array([t or "" for t in every])
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = Encoder(PATH)
+    for _ in range(2):  # new, then remembered
+        got = encode(*bytes_of(column))
+        assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in every]
+    encode.slots[:] = 0  # every slot is another's
+    assert [x.tolist() for x in encode(*bytes_of(column))] == [x.tolist() for x in got]
 
 
 def check(rows, docs, window):
