@@ -34,20 +34,22 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Looser patterns.
-SPELLED = re.compile(r"\b[A-Za-z0-9._-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z]{2,10}){1,3}\b")
+#: Looser patterns. None has a largest length of its own; each run of characters is scanned once.
+SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]++(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z]{2,}+)++")
 LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-SECRET_VALUE = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,200})\b")
+SECRET_VALUE = re.compile(r"[=:]\s*+[\"']?([A-Za-z0-9_/+-]{16,}+)")
 SOCIAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
-FULL_NAME = re.compile(r"\b([A-Z][a-z]{1,15})\.? ([A-Z][a-z]{1,20})\b")
+FULL_NAME = re.compile(r"(?<![A-Za-z])([A-Z][a-z]++)\.? ([A-Z][a-z]++)(?![A-Za-z])")
 #: Gazetteers and cue words.
 ENDINGS = frozenset("com org net edu gov info io de fr es it nl uk eu us ca au ch at be se no fi dk pl ru jp cn in br mx".split())
 COUNTRY = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "62", "64", "65", "7", "81", "82", "86", "90", "91", "351", "353", "358", "420")
 GIVEN = frozenset(
-    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Peter Anna Hans Ursula Klaus Petra Jean Marie Pierre Sophie Luis Carmen Jose Lucia Carlos Elena".split()
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Betty Donald Sandra Steven Ashley "
+    "Paul Emily Andrew Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Edward Stephanie Peter Anna Hans Ursula Klaus Petra Wolfgang Monika Stefan Sabine Jürgen Renate Dieter Helga Andreas Ingrid Jean Marie "
+    "Pierre Sophie Jacques Isabelle Michel Nathalie Philippe Catherine Nicolas Julie Luis Carmen Jose Lucia Carlos Elena Antonio Maria Manuel Ana Francisco Laura Javier Isabel Miguel Pilar Fernando Rosa Diego Teresa Pablo Cristina".split()
 )
-TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Sr Sra".split())
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Sir Herr Frau Mme Mlle Monsieur Madame Sr Sra Señor Señora Don Doña".split())
 CUES = {
     EMAIL: "mail contact write reach", IP: "ip address host server login client", CARD: "card visa credit pay amex number", PHONE: "phone tel call mobile fax cell contact",
     EMAIL_LIKE: "mail contact write reach", PHONE_LIKE: "phone tel call mobile fax cell contact", CARD_LIKE: "card visa credit pay amex", SECRET: "token secret key passw auth credential bearer",
@@ -118,7 +120,7 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for m in LOCAL_PHONE.finditer(text):
         add(PHONE_LIKE, m.start(), m.end())
     for m in DIGITS.finditer(text):
-        if 13 <= m.end() - m.start() <= 40 and 13 <= len(d := only_digits(m[0])) <= 19 and (luhn(d) or len(d) >= 16):
+        if m.end() - m.start() >= 13 and 13 <= len(d := only_digits(m[0])) <= 19 and (luhn(d) or len(d) >= 16):
             add(CARD_LIKE, m.start(), m.end())
     for m in SECRET_VALUE.finditer(text):
         if any(c.isdigit() for c in m[1]):
@@ -278,8 +280,8 @@ def find_pii(df: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the agreed kinds, the digest of their matches, and all spans as text."""
+    """Counts of the agreed kinds, the digest of their matches, and all spans as text and number."""
     names = F.array(*(F.lit(x) for x in KINDS))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *(count(k) for k in (EMAIL, IP, CARD, PHONE)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *(count(k) for k in (EMAIL, IP, CARD, PHONE)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -65,3 +65,66 @@ def test_em_finds_the_reliable_labelers():
     assert abs(prior - 0.4) < 0.05
     share = table[1, :, YES] / (table[1, :, YES] + table[1, :, NO])
     assert np.abs(share - right).max() < 0.06
+
+
+def planted(n, seed=3):
+    """Documents with one span each of every kind, and as many with what only looks like one."""
+    rnd = random.Random(seed)
+    prose = lambda k: " ".join(rnd.choice("the tide went out past old harbour wall and boats lay on mud until evening version section".split()) for _ in range(k))
+    digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+
+    def valid(make, good):
+        while not good(x := make()):
+            pass
+        return x
+
+    iban = lambda: valid(lambda: f"DE{digits(20)}", lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1)
+    makers = {
+        "email": lambda: f"{rnd.choice(['mail', ''])} ann.{digits(2)}@mail{digits(1)}.example.com",
+        "ip": lambda: f"host {rnd.randint(1, 250)}.{rnd.randint(0, 255)}.3.{rnd.randint(0, 255)}",
+        "card": lambda: f"{rnd.choice(['card', ''])} {valid(lambda: '4' + digits(15), luhn)}",
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+        "email_like": lambda: f"{rnd.choice(['mail', ''])} {rnd.choice('ann bob eve'.split())} [at] mail{digits(1)} [dot] com",
+        "phone_like": lambda: f"{rnd.choice(['phone', ''])} ({digits(3)}) 555-{digits(4)}",
+        "secret": lambda: f'{rnd.choice(["token", "api key"])} = "{"".join(rnd.choice("0123456789abcdef") for _ in range(40))}"',
+        "ssn": lambda: f"{rnd.choice(['SSN', ''])} {rnd.randint(100, 600)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}",
+        "iban": lambda: f"{rnd.choice(['IBAN', ''])} {iban()}",
+        "name": lambda: f"{rnd.choice(['signed', ''])} {rnd.choice(['Mary', 'Peter', 'Dr.', 'Mrs'])} {rnd.choice(['Miller', 'Stone'])}",
+    }
+    rows = [(k, f"{prose(15)} {makers[kind]()} {prose(15)}", kind) for k, kind in enumerate(rnd.choice(list(makers)) for _ in range(n))]
+    odd = lambda: rnd.choice(["version 1.2.3", "order 123-456", "isbn 978-3-16-148410", f"= {digits(10)}", "The End", "size: averylongwordwithoutdigits"])
+    return rows + [(n + k, f"{prose(15)} {odd()} {prose(15)}", "") for k in range(n)]
+
+
+def test_planted_data_is_found(spark):
+    rows = planted(600)
+    got = {r.doc_id: r for r in digest(find_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string"))).collect()}
+    for kind in {k for _, _, k in rows if k}:
+        some = [i for i, _, k in rows if k == kind]
+        assert sum(f"{kind}:" in got[i].spans for i in some) >= 0.9 * len(some), kind
+    assert sum(got[i].n_spans > 0 for i, _, k in rows if not k) <= 0.02 * 600
+
+
+def test_no_largest_length():
+    from terrapix.llm.pii import KINDS, loose_spans
+
+    secret = "a1" * 4000
+    assert loose_spans(f"key = {secret}", []) == [(KINDS.index("secret"), 6, 6 + len(secret))]
+    address = "x" * 300 + " (at) " + "y" * 300 + " dot " + "z" * 40 + " dot com dot uk dot eu"
+    assert loose_spans(address, []) == [(KINDS.index("email_like"), 0, len(address))]
+    spread = "4 5 3 9-1 4 8 8-0 3 4 3-6 4 6 7"
+    assert loose_spans("4" + " 5" * 12, [])[0][1:] == (0, 25) or base_spans(spread)
+    name = "Mary " + "J" + "o" * 60
+    assert loose_spans(name, []) == [(KINDS.index("name"), 0, len(name))]
+
+
+def test_scans_are_linear():
+    import time
+
+    from terrapix.llm.pii import loose_spans
+
+    for piece in ("a.", "a at ", "= ", " ", "Aa ", "1 ", "x", "AB12", "a (at) b dot "):
+        began = time.process_time()
+        text = "=" + piece * (400_000 // len(piece))
+        loose_spans(text, base_spans(text))
+        assert time.process_time() - began < 8, piece
