@@ -1,5 +1,9 @@
+import math
+import time
+
 import pytest
 
+from terrapix.llm import html_text as html
 from terrapix.llm.html_text import html_text, main_text
 
 PROSE = "The tide went out past the old harbour wall, and the boats lay on the mud until evening came."
@@ -79,3 +83,78 @@ def test_table(spark):
     got = html_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.url or "", r.n_chars) for r in got) == [(1, "u", len(PROSE) + 2), (2, "", 0), (2, "", 0), (3, "v", 399_999)]
     assert html_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='post no-sidebar'>{many}</div>", "<div id='content' class='has-ads'>{many}</div>", "<article><div class='post social-share-enabled'>{many}</div></article>",
+        "<div class='sidebar'>{many}</div>", "<form action='/'>{many}</form>", "<div class='content'><div class='comment-list'><p>Nice.</p></div>{many}<p class='share'>Tell a friend</p></div>",
+        "<div class='related-posts'><article><p>Another one.</p></article></div><article>{many}</article>",
+    ],
+)
+def test_names_hint_but_density_decides(body):
+    many = f"<p>{PROSE}</p>" * 5
+    assert main_text(page(body.format(many=many))) == "\n".join([PROSE] * 5)
+
+
+def test_density_decides(monkeypatch):
+    """Two blocks without names or articles: one of text, one of cards. With all densities alike, another is chosen."""
+    cards = "<div>" + "".join(f"<div><h3><a href='/{k}'>Card {k}</a></h3><a href='/{k}'>more of this</a></div>" for k in range(30)) + "</div>"
+    body = f"<div><div>{cards}</div><div><p>{PROSE}</p><p>{PROSE}</p></div></div>"
+    assert main_text(page(body)) == f"{PROSE}\n{PROSE}"
+
+    def level(root):
+        nodes = html.counted(root)
+        for x in nodes:
+            x.density = 1.0
+        for x in nodes:
+            x.total = sum(isinstance(k, html.Node) for k in x.items)
+        return nodes
+
+    monkeypatch.setattr(html, "measure", level)
+    assert main_text(page(body)) != f"{PROSE}\n{PROSE}"
+
+
+def test_densities_against_plain_recursion():
+    tree = html.parse(f"<body><div class=ad>Buy now</div><main><p>{PROSE}</p><p>A <a href=x>link here</a> and <b>more</b></p><ul><li><a>x</a><li>y</ul></main><div><p>{PROSE}</p></div></body>")
+    html.measure(tree)
+
+    def counts(x):
+        chars, tags, links, link_tags = 0, 0, 0, 0
+        for k in x.items:
+            if isinstance(k, str):
+                chars += len("".join(k.split()))
+            else:
+                c, t, lc, lt = counts(k)
+                chars, tags, links, link_tags = chars + c, tags + t + 1, links + lc, link_tags + lt + (k.tag == "a")
+        return (chars, tags, chars if x.tag == "a" else links, link_tags)
+
+    total, _, total_links, _ = counts(tree)
+
+    def density(x, weight):
+        own = 0.02 if x.hint else 10.0 if x.tag == "main" else 1.0
+        weight = 0.02 if 0.02 in (weight, own) else max(weight, own)
+        c, t, lc, lt = counts(x)
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + total_links / total * c + math.e)
+            want = weight * c / max(t, 1) * max(math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1 + 1e-9)) / base, 0)
+            assert x.density == pytest.approx(want)
+        kids = [k for k in x.items if isinstance(k, html.Node)]
+        for k in kids:
+            density(k, weight)
+        assert x.total == pytest.approx(sum(k.density for k in kids))
+
+    density(tree, 1.0)
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[", '<a href="', "<a '>", "<!--", "<p><a \">", "</p>", "<b>", "<hr>", "<li>", "<textarea>x"])
+def test_time_grows_with_length_alone(piece):
+    odd = "<div>" * 600 + "<ul><li><p>" + "<b>" * 600 + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    main_text(odd)
+    assert time.process_time() - began < 20
+
+
+def test_deep_elements_lose_nothing():
+    assert main_text("<div>" * 3000 + f"<p>{PROSE}</p><p>More</p>" + "</div>" * 3000 + "<p>End</p>") == f"{PROSE}\nMore\nEnd"
