@@ -9,13 +9,14 @@ occurrences are located by walking to sampled suffix positions and merge into re
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Rolling, bytes_of, documents, merged, passes, prepare, words
+from .common import ALNUM, LOWER, Rolling, bytes_of, documents, merged, passes, prepare, stored, words
 
 #: Words of a window, bytes of text in a shard, bytes of benchmark text held at once, every how many positions are kept.
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 4 << 20, 8
@@ -107,6 +108,7 @@ class Windows:
         ends = np.cumsum(sizes)
         hashes = Rolling(np.frombuffer(blob, np.uint8)).ranges(ends - sizes, ends) if len(sizes) else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
+        self.blob, self.begin, self.size = np.frombuffer(blob, np.uint8), (ends - sizes)[order], sizes[order]
         self.hashes, self.symbols = hashes[order], (order + 2).astype(np.int64)  # 0 ends the sequence, 1 separates
         self.shortest = min(map(len, found), default=window)
         self.by_length = []
@@ -116,6 +118,14 @@ class Windows:
             self.by_length.append((np.array(some, np.int64) + 2, np.array([len(x) for x in owners]), np.array([i for x in owners for i in x], np.int64)))
 
 
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ranges of two buffers, of the same positive sizes, hold the same bytes."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    differ = a[ranges(a_starts, sizes)] != b[ranges(b_starts, sizes)]
+    return ~np.logical_or.reduceat(differ, np.cumsum(sizes) - sizes)
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -132,7 +142,9 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nda
         return out
     h = Rolling(low).ranges(starts, ends)
     at = np.minimum(np.searchsorted(w.hashes, h), len(w.hashes) - 1)
-    known = w.hashes[at] == h
+    known = (w.hashes[at] == h) & (w.size[at] == ends - starts)
+    some = np.flatnonzero(known)
+    known[some] = same_bytes(low, starts[some], w.blob, w.begin[at[some]], w.size[at[some]])  # hashes only find them
     # Stretches of known words of one row, as long as the shortest window at least.
     brk = np.ones(len(known) + 1, bool)
     brk[1:-1] = (known[1:] != known[:-1]) | (rows[1:] != rows[:-1])
@@ -177,7 +189,7 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nda
 SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def _search(items: list[tuple[str, str]], window: int):
+def _search(items: list[tuple[str, str]], window: int, keys: bool = False):
     def go(batches):
         w = Windows(items, window)
         for batch in batches:
@@ -191,8 +203,9 @@ def _search(items: list[tuple[str, str]], window: int):
                 for row, s, e in spans.tolist():
                     where[row].append({"s": s, "e": e})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(where, SPANS)],
-                    ["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(where, SPANS)]
+                    + [batch.column("th").slice(i, j - i)] * keys,
+                    ["doc_id", "n_words", "n_hit", "items", "spans"] + ["th"] * keys,
                 )
 
     return go
@@ -201,17 +214,18 @@ def _search(items: list[tuple[str, str]], window: int):
 def _merge(batches):
     """Spans and items that several blocks of the benchmark gave for one document, as one."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        raw, offsets = bytes_of(batch.column("text"))
+        n_words = np.bincount(words(LOWER[raw], offsets, ALNUM)[2], minlength=batch.num_rows)
         n_hit, items, spans = [], [], []
-        for text, names, where in zip(texts, batch.column("items").to_pylist(), batch.column("spans").to_pylist()):
+        for k, (names, where) in enumerate(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist())):
             items.append(sorted({x for some in names or [] for x in some}))
             flat = np.array([(x["s"], x["e"]) for some in where or [] for x in some], np.int64).reshape(-1, 2)
             s, e = merged(flat[:, 0], flat[:, 1])
-            low = (text or "").encode().translate(LOWERED)
+            low = raw[offsets[k] : offsets[k + 1]].tobytes().translate(LOWERED) if len(s) else b""
             n_hit.append(sum(len(WORD.findall(low[a:b])) for a, b in zip(s.tolist(), e.tolist())))
             spans.append([{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)],
+            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)],
             ["doc_id", "n_words", "n_hit", "items", "spans"],
         )
 
@@ -222,28 +236,26 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     Returns doc_id, n_words, n_hit, items (the ids, as strings, of items with occurring windows), spans (array of s, e:
     maximal runs of hit words, in bytes). A window is `window` consecutive words of an item, or a whole shorter item.
     Words are ASCII letters (lower-cased), digits and all characters past ASCII. Null and empty texts have no words and items without words no
-    windows; repeated rows are searched each. At most block_bytes of benchmark text reach a task at once: a larger
-    benchmark is searched block by block. Empty tables give no hits or an empty result; other columns are ignored. Rows without doc_id and
+    windows; repeated rows, of the same text or another, are searched each. At most block_bytes of benchmark text reach
+    the driver or a task at once: a larger benchmark is searched block by block, each block's hits are stored before the
+    next is taken, and the documents are read once for each, with the same results. Empty tables give no hits or an empty result; other columns are ignored. Rows without doc_id and
     items without item_id are left out.
     """
     spark = df.sparkSession
     prepare(spark)
-    docs = documents(df)
+    docs = documents(df).withColumn("th", F.xxhash64("text"))
     shape = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<s:long,e:long>>"
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     n = int(-(-total // block_bytes)) or 1
+    if n == 1:
+        return docs.mapInArrow(_search([tuple(r) for r in items.collect()], window), shape)
     found = []
     for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        found.append(docs.mapInArrow(_search([tuple(r) for r in block.collect()], window), shape))
-    if n == 1:
-        return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-    return docs.join(every, "doc_id").mapInArrow(_merge, shape)
+        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        found.append(stored(docs.mapInArrow(_search(block, window, keys=True), f"{shape}, th long").where("n_hit > 0").drop("n_words", "n_hit"), "op4-hits"))
+    every = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
+    return docs.join(every, ["doc_id", "th"], "left").mapInArrow(_merge, shape)
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op8_exact_dedup"] = r"""
 with n as (
-  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents where doc_id is not null
 )
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from n window w as (partition by norm)
@@ -92,8 +92,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 ORACLE["op4_decontaminate"] = f"""
-with d as (select doc_id, {_WORDS} as w from documents),
-b as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
+with d as (select doc_id, {_WORDS} as w from documents where doc_id is not null),
+b as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark where item_id is not null),
 win as (
   select distinct item_id, least(len(w), 10) as n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') as t
   from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as p from b where len(w) > 0)

@@ -77,3 +77,33 @@ def test_fm_index():
         for p, a, b in zip(pats, l, r):
             want = [k for k in range(len(t) - n + 1) if (t[k : k + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Each is searched for itself, whether the benchmark fits one block or not."""
+    items = [("a", "one two three four five six"), ("b", "seven eight nine ten eleven")]
+    docs = [(1, "x one two three four five y"), (1, "seven eight nine ten eleven and more"), (1, "x one two three four five y"), (2, None), (None, "one two three four five")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (None, "x")], "item_id string, text string")
+    want = [(1, 7, 5, ["a"]), (1, 7, 5, ["a"]), (1, 7, 5, ["b"]), (2, 0, 0, [])]
+    for size in (1 << 20, 20):
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate(d, b, 5, block_bytes=size).collect())
+        assert got == want, size
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    for n in (1024, 4096):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        x, y = "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+        docs = [(1, f"q {x} r"), (2, f"q {y} r")]
+        assert run(spark, docs, [(7, x)], 1) == brute(docs, [(7, x)], 1)
+
+
+def test_known_words_are_compared_by_their_bytes():
+    from terrapix.llm.decontaminate import Windows, shard_hits
+
+    w = Windows([("a", "one two three")], 3)
+    w.hashes = np.sort(w.hashes)
+    raw, offsets = np.frombuffer(b"one two three", np.uint8), np.array([0, 13])
+    assert shard_hits(raw, offsets, w)[1].tolist() == [3]
+    w.blob = np.frombuffer(b"xnetwothree", np.uint8)  # as if another word had this hash
+    assert shard_hits(raw, offsets, w)[1].tolist() == [0]
