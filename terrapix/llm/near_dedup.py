@@ -230,17 +230,30 @@ def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = R
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (it is the smallest).
     Linked are pairs with 100 * intersection >= percent * union. Words are what ASCII white space divides, A-Z in lower
     case. Null, empty and blank texts have an empty set and are linked with nothing. An empty table gives an empty
-    result; other columns are ignored. doc_id must be unique. Rows without doc_id are left out. At similarity 0.8 the default bands miss a pair with
-    probability (1 - 0.8 ** 6) ** 40, 5 in a million, and a more similar one less often.
+    result; other columns are ignored. Rows that repeat a doc_id, with the same text or another, are documents of their
+    own: each is linked by its own text and gives a row. Rows without doc_id are left out. At similarity 0.8 the default
+    bands miss a pair with probability (1 - 0.8 ** 6) ** 40, 5 in a million, and a more similar one less often.
     """
     spark = df.sparkSession
     prepare(spark)
     docs = documents(df)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty():
+        return _groups(docs, shingle, percent, rows, bands, few, block)
+    keyed = stored(docs.withColumn("row", F.monotonically_increasing_id()), "op6-keyed")
+    found = _groups(keyed.select(F.col("row").alias("doc_id"), "text"), shingle, percent, rows, bands, few, block)
+    found = stored(found.withColumnRenamed("doc_id", "row").join(keyed.select("row", "doc_id"), "row"), "op6-found")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("c")).withColumnRenamed("component_id", "c2")
+    found = found.join(least, F.col("component_id") == F.col("c2"))
+    return found.select("doc_id", "n_shingles", F.col("c").alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int, few: int, block: int) -> DataFrame:
+    """near_dedup of documents with distinct ids."""
     sketches = stored(docs.mapInArrow(_sketch(shingle, rows * bands), "doc_id long, n_shingles long, sig binary, regs binary"), "op6-sketches")
     some = sketches.where("n_shingles > 0")
-    classes = some.groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumnRenamed("sig", "sig2")
-    member = some.select("doc_id", "sig").join(classes, F.col("sig") == F.col("sig2")).select("doc_id", "rep")
-    member = stored(member, "op6-members")
+    classes = some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep")
+    classes = stored(classes, "op6-equal")  # so the join sees how large each side is, and can split hot groups
+    member = stored(some.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "op6-members")
     firsts = member.where("doc_id = rep").select("doc_id")
     reps = stored(some.join(firsts, "doc_id").select("doc_id", "n_shingles", "regs"), "op6-classes")
 

@@ -90,3 +90,18 @@ def test_joint_estimate():
         r = registers([a, b], multipliers(1024))
         est = joint_estimate(r[:1], r[1:], np.array([float(n)]), np.array([float(n)]))[0]
         assert abs(est - len(set(a) & set(b)) / len(every)) < 0.06
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(4, a), (4, b), (4, a), (2, a + " end"), (7, b), (5, "alone at last"), (None, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
+    assert got == [(2, 60, 2, True), (4, 59, 2, False), (4, 59, 2, False), (4, 59, 4, True), (5, 2, 5, True), (7, 59, 4, False)]
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    for n in (1024, 4096):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        x, y = "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+        rows = [(1, f"one {x}"), (2, f"one {y}"), (3, f"one {x}")]
+        assert run(spark, rows, shingle=2) == brute(rows, 2, 80)
