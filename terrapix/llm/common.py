@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import prepare, stored  # noqa: F401  the operators take them from here
+from ..sources.shared import prepare, release, stored  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a task looks at in one numpy pass; a longer document is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 #: Prime modulus and base of the polynomial hashes, and the constants that mix 64-bit numbers.
 PRIME, BASE = (1 << 61) - 1, 0x1B3F72E4A9C5D687 % ((1 << 61) - 1)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

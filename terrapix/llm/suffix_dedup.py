@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, merged, mix, passes, prepare, sliding_min, stored, words
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, merged, mix, passes, prepare, release, sliding_min, stored, words
 
 LENGTH, GRAM, BLOCK, SHALLOW = 400, 64, 8192, 32
 #: Words of a passage, words of its anchors, and bytes that stand for a word.
 PASSAGE, WORD_GRAM, CODE = 50, 8, 8
-RUNS = "anchor long, c1 long, c2 long, doc_id long, th long, p int, n int, off int, cnt int"
+RUNS = "anchor long, c1 long, c2 long, doc_id long, th long, p int, n int, off int, cnt int, more array<int>"
 SLICES = "anchor long, c1 long, c2 long, doc_id long, off int, cnt int, bytes binary"
 
 
@@ -272,23 +272,24 @@ def _runs(length: int, gram: int, passage: int):
         new = np.ones(n, bool)
         new[1:] = (row[1:] != row[:-1]) | (an[1:] != an[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
         size = np.diff(np.append(np.flatnonzero(new), n))
-        # Bytes: a run that comes twice in its row repeats for sure; one stays for the counts, all as plain intervals.
-        # Words: a row counts once for each of its runs, as only other documents matter.
-        keep = order[new] if kind == 0 else order
-        cnt = np.minimum(size, 2) if kind == 0 else new.astype(np.int64)
-        cols = {k: r[k][keep] for k in ("anchor", "c1", "c2", "p", "n", "off")} | {"row": r["row"][keep], "cnt": cnt}
-        valid = np.ones(len(keep), bool)
+        keep = order[new]
+        cols = {k: r[k][keep] for k in ("row", "anchor", "c1", "c2", "p", "n", "off")} | {"cnt": np.minimum(size, 2) if kind == 0 else np.ones(len(keep), np.int64)}
+        valid, more = np.ones(len(keep), bool), pa.nulls(len(keep), pa.list_(pa.int32()))
         often = np.repeat(size > 1, size)
-        if kind == 0 and often.any():
+        if often.any() and kind == 0:  # a run that comes twice in its row repeats for sure: one counts, all are intervals
             o = order[often]
             shift = r["row"][o] << 32
             s, e = merged(r["p"][o] + shift, r["p"][o] + shift + r["n"][o] - 1 + length)
             extra = {"p": s & 0xFFFFFFFF, "n": e - s, "row": s >> 32}
             cols = {c: np.concatenate([v, extra.get(c, np.zeros(len(s), np.int64))]) for c, v in cols.items()}
             valid = np.concatenate([valid, np.zeros(len(s), bool)])
+            more = pa.nulls(len(valid), pa.list_(pa.int32()))
+        elif often.any():  # of words only other documents' runs matter: one counts and brings the places of all
+            rest = pa.array(r["p"][order[~new]].astype(np.int32))
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size - 1)).astype(np.int32)), rest)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols["anchor"], mask=~valid), *(pa.array(x) for x in (cols["c1"], cols["c2"], ids[cols["row"]], th[cols["row"]]))] + [pa.array(cols[c].astype(np.int32)) for c in ("p", "n", "off", "cnt")],
-            ["anchor", "c1", "c2", "doc_id", "th", "p", "n", "off", "cnt"],
+            [pa.array(cols["anchor"], mask=~valid), *(pa.array(x) for x in (cols["c1"], cols["c2"], ids[cols["row"]], th[cols["row"]]))] + [pa.array(cols[c].astype(np.int32)) for c in ("p", "n", "off", "cnt")] + [more],
+            ["anchor", "c1", "c2", "doc_id", "th", "p", "n", "off", "cnt", "more"],
         )
 
     def go(batches):
@@ -452,7 +453,10 @@ def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: i
         .selectExpr("anchor as key", "c1_min = c1_max and c2_min = c2_max as same")
     )
     hits = stored(runs.where("anchor is not null").join(often, F.col("anchor") == F.col("key")).drop("key"), "op1-hits")
-    whole = hits.where("same").selectExpr("doc_id", "th", kind, "p as s", f"p + n - 1 + {size} as e")
+    plain = stored(plain, "op1-plain")
+    release(runs)
+    places = "explode(if(more is null, array(p), concat(array(p), more))) as at"
+    whole = hits.where("same").selectExpr("*", places).selectExpr("doc_id", "th", kind, "at as s", f"at + n - 1 + {size} as e")
     mixed = hits.where("not same")
     # One text for each distinct run; copies are counted before anything is shuffled.
     one = mixed.groupBy("anchor", "c1", "c2").agg(F.sum("cnt").cast("int").alias("cnt"), F.min_by(F.struct("doc_id", "th", "p", "n", "off"), F.struct("doc_id", "th", "p")).alias("r"))
@@ -469,7 +473,7 @@ def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, block: i
     shared = shared.where("c > 1 and (anchor & 1 = 0 or most > 1 or lo < hi)").select(same)
     counted = singles.join(shared, same).selectExpr("anchor", "c1", "c2", "at as a", "at as b")
     parts = ordered.unionByName(counted)
-    some = mixed.join(parts, ["anchor", "c1", "c2"]).selectExpr("doc_id", "th", kind, "p + a as s", f"p + b + {size} as e")
+    some = mixed.selectExpr("*", places).join(parts, ["anchor", "c1", "c2"]).selectExpr("doc_id", "th", kind, "at + a as s", f"at + b + {size} as e")
     spans = plain.unionByName(whole).unionByName(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "s", "e")).alias("spans"))
     done = docs.join(spans, ["doc_id", "th"], "left")
     return done.mapInArrow(_finish(keep_text), RESULT)
