@@ -50,9 +50,9 @@ def remap(cls: Column, to: dict[int, int | None]) -> Column:
 
 
 def change_code(before: Column, after: Column, cls: str) -> Column:
-    """1 stayed, 2 lost, 3 gained, 0 neither."""
-    was, now = F.coalesce(before == cls, F.lit(False)), F.coalesce(after == cls, F.lit(False))
-    return F.when(was & now, 1).when(was, 2).when(now, 3).otherwise(0)
+    """1 stayed, 2 lost, 3 gained, 0 neither; 0 too where either has no data."""
+    was, now = before == cls, after == cls
+    return F.when(before.isNull() | after.isNull(), 0).when(was & now, 1).when(was, 2).when(now, 3).otherwise(0)
 
 
 def over_threshold(p: Column, t: float) -> Column:

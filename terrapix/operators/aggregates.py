@@ -50,9 +50,12 @@ def describe_long(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> Data
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles, max of columns, one row for each column."""
-    one = lambda c: df.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
-    long = reduce(DataFrame.unionByName, map(one, cols))
+    """count, mean, std, min, quartiles, max of columns, one row for each column, in one scan.
+
+    Meant for tables of results, such as accuracies of folds: exact quartiles hold a column's distinct values. Of large
+    tables take windows.quantiles.
+    """
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], list(cols), "metric", "v")
     q = lambda p: F.percentile("v", F.lit(p))
     return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("v").alias("max"))
 

@@ -70,3 +70,12 @@ def outlines(seg: DataFrame) -> DataFrame:
     side = lambda dr, dc: some.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), "segment_id")
     inner = some.join(side(1, 0).unionByName(side(0, 1)), ["row", "col", "segment_id"]).groupBy("segment_id").agg(F.count("*").alias("inner"))
     return shape.join(inner, "segment_id", "left").withColumn("outline", 4 * F.col("cells") - 2 * F.coalesce("inner", F.lit(0))).drop("inner")
+
+
+def edges(seg: DataFrame) -> DataFrame:
+    """(segment_id, row, col, side): the cell edges on every segment's outline, where the next cell is of another or none."""
+    some = seg.where("segment_id <> 0")
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for s, dr, dc in (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))))
+    each = some.select("segment_id", "row", "col", F.explode(sides).alias("x")).select("segment_id", "row", "col", "x.side", (F.col("row") + F.col("x.dr")).alias("r2"), (F.col("col") + F.col("x.dc")).alias("c2"))
+    next_to = some.select(F.col("row").alias("r2"), F.col("col").alias("c2"), "segment_id")
+    return each.join(next_to, ["r2", "c2", "segment_id"], "left_anti").select("segment_id", "row", "col", "side")

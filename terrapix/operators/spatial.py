@@ -17,6 +17,24 @@ def buffer_join(left: DataFrame, right: DataFrame, lid: str, rid: str, radius: f
     return a.join(b, ["gx", "gy"]).where(close).select("lid", "rid")
 
 
+def few(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The distinct values of a key, of which there may be `most`."""
+    values = df.select(key).distinct()
+    if values.limit(most + 1).count() > most:
+        raise ValueError(f"{key} has more than {most} values")
+    return values
+
+
+def leave_one_out(points: DataFrame, key: str, unique: str, most: int = 1000) -> DataFrame:
+    """(unique, fold, role): each value of the key is a fold, which its rows test and all others train.
+
+    The result has a row for each row and fold, so more than `most` folds are an error.
+    """
+    folds = few(points, key, most).withColumnRenamed(key, "fold")
+    every = points.select(unique, key).join(F.broadcast(folds))
+    return every.select(unique, "fold", F.when(F.col(key) == F.col("fold"), "test").otherwise("train").alias("role"))
+
+
 def blocked_cells(points: DataFrame, tests: DataFrame, fold: str, unique: str, radius: float) -> DataFrame:
     """(unique, fold) of points within `radius` of a test point of that fold; equal places of one fold are one."""
     places = tests.select(fold, "x", "y").distinct()
@@ -24,9 +42,12 @@ def blocked_cells(points: DataFrame, tests: DataFrame, fold: str, unique: str, r
     return pairs.select(F.col("lid").alias(unique), F.col(f"rid.{fold}").alias(fold)).distinct()
 
 
-def buffered_folds(points: DataFrame, fold: str, unique: str, radius: float) -> DataFrame:
-    """(unique, fold, role): a point tests its own fold and trains every fold none of whose test points is near it."""
-    folds = points.select(fold).distinct()
+def buffered_folds(points: DataFrame, fold: str, unique: str, radius: float, most: int = 1000) -> DataFrame:
+    """(unique, fold, role): a point tests its own fold and trains every fold none of whose test points is near it.
+
+    The result has a row for each point and fold, so more than `most` folds are an error.
+    """
+    folds = few(points, fold, most)
     test = points.select(unique, fold, F.lit("test").alias("role"))
     every = points.select(unique).join(F.broadcast(folds))  # folds are few by construction: the caller sets their number
     train = every.join(blocked_cells(points, points, fold, unique, radius), [unique, fold], "left_anti")

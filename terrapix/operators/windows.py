@@ -10,9 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .folds import digest as seeded_digest
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds n (rows with these keys) and is_dup. Counts are formed before the shuffle, so a hot key is no one task's load."""
+    """Adds n (rows with these keys) and is_dup.
+
+    Counts are formed before they are shuffled. Rows then meet their key's count in a join, which Spark broadcasts where
+    the counts are small enough; else all rows of a key meet in one task.
+    """
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return df.join(counts, list(keys)).withColumn("is_dup", F.col("n") > 1)
 
@@ -47,33 +53,60 @@ def first_rows(df: DataFrame, keys: Sequence[str], unique: str) -> DataFrame:
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels numbered from 1; the window runs over distinct labels."""
-    return df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy(label)))
+    """Sorted distinct labels numbered from 1."""
+    labels = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("one", F.lit(1))
+    return running_total(labels, label, "one", "code").select(label, F.col("code").cast("int").alias("code"))
 
 
 def sample_per_class(df: DataFrame, cls: str, unique: Column, n: int, seed: int = 42) -> DataFrame:
     """At most n rows of each class, in the order of a seeded digest of their id.
 
-    A first cut by the digest's leading part keeps the window small where a class is large: it holds the n least rows.
+    A first cut by the digest's leading part keeps the window small where a class is large: counts of 4096 prefixes for
+    each class tell which prefixes hold the n least rows, and rows of others go before anything is sorted.
+    """
+    keyed = df.withColumn("dg", seeded_digest(unique, seed)).withColumn("pre", F.substring("dg", 1, 3))
+    counts = keyed.groupBy(cls, "pre").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy(cls).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+    low = counts.withColumn("before", before).where(F.col("before") < n).select(F.col(cls).alias("c2"), F.col("pre").alias("p2"))
+    some = keyed.join(low, F.col(cls).eqNullSafe(F.col("c2")) & (F.col("pre") == F.col("p2")), "left_semi")
+    return some.withColumn("rn", F.row_number().over(Window.partitionBy(cls).orderBy("dg"))).where(F.col("rn") <= n).drop("rn", "dg", "pre")
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of value over all rows up to each, in the order of a column without equals.
+
+    Rows are cut into ranges and stored with their range's number, so that both uses below see the same cut; sums of
+    earlier ranges come from a table of one row for each range, so no window runs over all rows.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}-"), unique.cast("string")))
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(cls).orderBy(digest))).where(F.col("rn") <= n).drop("rn")
+    ranged = stored(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("part").agg(F.sum(value).alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
+    own = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("own", F.sum(value).over(own)).join(F.broadcast(before), "part").withColumn(out, F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row, q: an array of exact quantiles, linear between neighbours, of the values that aren't null.
+
+    Distinct values are counted before they are shuffled and ranked range by range, so no buffer holds all of them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
+    ranked = running_total(counts, "v", "t", "cum")
+    n = ranked.agg(F.sum("t")).first()[0] or 0
+    at = lambda k: F.max(F.when((F.col("cum") - F.col("t") <= k) & (k < F.col("cum")), F.col("v")))
+    places = [p * (n - 1) for p in shares]
+    cut = lambda p: at(int(p)) + (p - int(p)) * (at(min(int(p) + 1, n - 1)) - at(int(p)))
+    return ranked.agg(F.array(*(cut(p) if n else F.lit(None).cast("double") for p in places)).alias("q"))
 
 
 def average_ranks(df: DataFrame, value: str, cls: str) -> DataFrame:
     """Distinct values with counts per class and their average rank, ties shared.
 
-    Counts of distinct values are cut into ranges; sums of earlier ranges come from a table of one row for each range, so
-    no window runs over all values.
+    Counts of distinct values are summed up range by range, so no window runs over all values.
     """
     counts = df.groupBy(value, cls).agg(F.count("*").alias("c"))
     totals = counts.groupBy(value).agg(F.sum("c").alias("t"))
-    ranged = totals.repartitionByRange(value).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.sum("t").alias("size"))
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
-    own = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranged.withColumn("cum", F.sum("t").over(own)).join(F.broadcast(before), "part")
-    ranks = ranks.select(value, "t", (F.col("before") + F.col("cum") - (F.col("t") - 1) / 2).alias("rank"))
+    ranks = running_total(totals, value, "t", "cum").select(value, "t", (F.col("cum") - (F.col("t") - 1) / 2).alias("rank"))
     return counts.join(ranks, value)
 
 

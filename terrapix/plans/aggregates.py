@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands as fn
 from ..operators import aggregates as ag
+from ..operators.windows import quantiles
 from .registry import query
 from .views import change_epochs, cover_wide, dates, pred, proba_stack, pts, px, segpx, spec, sql
 from .views import r as _round
@@ -157,7 +158,7 @@ def mean_prediction(spark, d):
 )
 def percentile_area(spark, d):
     mean = proba_stack(spark, d).groupBy("row", "col", "class").agg(F.avg("proba").alias("proba"))
-    cuts = mean.agg(F.percentile("proba", F.array(*(F.lit(x) for x in (0.75, 0.8, 0.85, 0.9)))).alias("t")).select(F.posexplode("t").alias("k", "t"))
+    cuts = quantiles(mean, "proba", [0.75, 0.8, 0.85, 0.9]).select(F.posexplode("q").alias("k", "t"))
     cuts = cuts.select((75 + 5 * F.col("k")).alias("p"), "t")
     hit = mean.where("class = 'A'").join(F.broadcast(cuts)).groupBy("p", "t").agg(F.count_if(F.col("proba") >= F.col("t")).alias("cells"))
     return hit.select("p", F.round("t", 9).alias("threshold"), "cells", F.round(F.col("cells") * 100 / 10000.0, 9).alias("hectares"))

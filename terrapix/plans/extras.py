@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands as fn
 from ..operators import aggregates as ag
 from ..operators import folds as fo
 from ..operators import grid, models, segments
+from ..operators import statistics as st
 from ..operators import windows as wi
+from ..operators.spatial import few
 from ..sources import tables as src
 from ..sources.shared import shared_dir
 from .registry import query
@@ -79,9 +83,14 @@ def scan_points(spark, d):
     return src.points_from_xy(pts(spark, d), "x", "y").select("point_id", "geometry.x", "geometry.y")
 
 
-@query("scan_polygons", sql("select poly_id, label, len(ring) as corners, list_min([p.x for p in ring]) as minx, list_max([p.y for p in ring]) as maxy from polys", "polys").replace("len(ring)", "cast(len(ring) as int)"))
+@query("scan_polygons", "select s_suppkey as poly_id, concat('n', cast(s_nationkey as varchar)) as label, 4 as corners, (s_suppkey * 3) % 90 + 0.0::double as minx, (s_suppkey * 7) % 8 + 1.0::double as maxy from supplier")
 def scan_polygons(spark, d):
-    b = grid.with_bounds(polys(spark, d))
+    """Rectangles that follow from the suppliers, written as polygons and scanned."""
+    path = scratch(spark, "polygons")
+    x, y, w = "double(s_suppkey * 3 % 90)", "double(s_suppkey * 7 % 8)", "double(1 + s_nationkey % 5)"
+    corners = ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in ((x, y), (f"{x} + {w}", y), (f"{x} + {w}", f"{y} + 1D"), (x, f"{y} + 1D")))
+    table(spark, d, "supplier").selectExpr("s_suppkey as poly_id", "concat('n', s_nationkey) as label", "'Polygon' as type", f"array({corners}) as ring").write.parquet(path)
+    b = grid.with_bounds(src.scan_polygons(spark, path))
     return b.select("poly_id", "label", F.size("ring").alias("corners"), "minx", "maxy")
 
 
@@ -151,6 +160,54 @@ def earth_sun_distance(spark, d):
     return px(spark, d).select("row", "col", F.round(fn.earth_sun_distance(F.col("ts")), 6).alias("au"))
 
 
+#: A scene's metadata as text, as image suppliers deliver it: calibration of four bands, the sun's height and the time.
+SCENE = [("b1", 0.0123, 0.054), ("b2", 0.0151, 0.063), ("b3", 0.0098, 0.057), ("b8", 0.0121, 0.098)]
+SCENE_SSI = {"b1": 1974.24, "b2": 1856.41, "b3": 1559.46, "b8": 1069.73}
+_CHAIN_BANDS = list(SCENE_SSI)
+_SCENE = "s as (select * from (values " + ", ".join(f"('{b}', {a}::double, {w}::double, {SCENE_SSI[b]}::double)" for b, a, w in SCENE) + ") as t(band, abscal, width, ssi))"
+_AU = r(f"1.00014::double - 0.01671::double * cos(radians({_G})) - 0.00014::double * cos(radians(2 * {_G}))", 12)
+_CHAIN = ", ".join(
+    [
+        _SCENE,
+        f"au as (select {_AU} as d from (select timestamp '2019-07-14 10:12:30' as ts, 2019 as y, 7 as m))",
+        "dn as (select row, col, unnest(['b1', 'b2', 'b3', 'b8']) as band, unnest([b1, b2, b3, b8]) * 10000 as dn from spec)",
+        "refl as (select row, col, band, case when dn <> 0 then 1000 * dn * (abscal / width) * d * d * pi() / (ssi * cos(radians(90 - 52.5::double))) end as v from dn join s using (band), au)",
+        "bin as (select band, cast(floor(v) as int) as bin, count(*) as n from refl where v > 0 group by all)",
+        "sec as (select band, n as f from (select *, row_number() over (partition by band order by bin) as k from bin) where k = 2)",
+        "thr as (select band, min(bin) as t from bin join sec using (band) where bin > 0 and n >= 1.5 * f group by band)",
+        "dos as (select row, col, max(v) filter (where band = 'b1') as b1, max(v) filter (where band = 'b2') as b2, max(v) filter (where band = 'b3') as b3, max(v) filter (where band = 'b8') as b8 from (select row, col, refl.band, case when v <> 0 then case when t is null then 0 else greatest(v - t, 0) end end as v from refl left join thr on refl.band = thr.band) group by row, col)",
+        "g as (select " + ", ".join(f"regr_slope({b}, b8) as s_{b}" for b in ("b1", "b2", "b3")) + ", min(b8) as m from dos where b8 < 40)",
+    ]
+)
+
+
+@query("radiometry", sql("select row, col, " + ", ".join(f"{r(f'case when {b} - s_{b} * (b8 - m) >= 0 then {b} - s_{b} * (b8 - m) end', 5)} as {b}" for b in ("b1", "b2", "b3")) + f", {r('b8 - m', 5)} as b8 from dos, g", "spec", extra=_CHAIN))
+def radiometry(spark, d):
+    """From digital numbers to water reflectance, in thousandths: metadata, radiance, reflectance, dark objects, glint."""
+    text = [x for b, a, w in SCENE for x in (f"BEGIN_GROUP = BAND_{b}", f"\tabsCalFactor = {a};", f"\teffectiveBandwidth = {w};", f"END_GROUP = BAND_{b}")]
+    text += ["BEGIN_GROUP = IMAGE_1", "\tmeanSunEl = 52.5;", '\tfirstLineTime = "2019-07-14 10:12:30";', "END_GROUP = IMAGE_1", "END;"]
+    lines = spark.createDataFrame([("scene", k, x) for k, x in enumerate(text)], "file string, line int, text string")
+    meta = src.grouped_metadata(lines)
+    ssi = spark.createDataFrame(list(SCENE_SSI.items()), "band string, ssi double")
+    band = F.regexp_extract("grp", "^BAND_(.+)$", 1).alias("band")
+    value = lambda key: F.max(F.when(F.col("key") == key, F.col("number")))
+    cal = meta.groupBy(band).agg(value("absCalFactor").alias("abscal"), value("effectiveBandwidth").alias("width")).join(ssi, "band")
+    time = F.to_timestamp(F.max(F.when(F.col("key") == "firstLineTime", F.col("value"))))
+    image = meta.agg(value("meanSunEl").alias("elevation"), F.round(fn.earth_sun_distance(time), 12).alias("au"))
+
+    long = spec(spark, d).unpivot(["row", "col"], _CHAIN_BANDS, "band", "v").join(F.broadcast(cal), "band")  # a row for each band
+    rad = fn.radiance(F.col("v") * 10000, F.lit(1.0), F.lit(0.0), F.col("abscal"), F.col("width"))
+    refl = fn.toa_reflectance(rad, F.col("au"), F.col("ssi"), fn.solar_zenith(F.col("elevation"))) * 1000
+    long = ag.broadcast_row(long, image).select("row", "col", "band", refl.alias("v"))
+    pixels = long.groupBy("row", "col").pivot("band", _CHAIN_BANDS).agg(F.max("v"))
+    for b in _CHAIN_BANDS:
+        dark = wi.dark_threshold(pixels, b, 1.5).select(F.col("threshold").alias("dark"))
+        less = F.when(F.col("dark").isNull(), F.lit(0.0)).otherwise(F.greatest(F.col(b) - F.col("dark"), F.lit(0.0)))
+        pixels = ag.broadcast_row(pixels, dark).withColumn(b, F.when(F.col(b) != 0, less)).drop("dark")
+    out = st.glint_apply(pixels, pixels.where("b8 < 40"), ["b1", "b2", "b3"], "b8", [])
+    return out.select("row", "col", *(F.round(b, 5).alias(b) for b in _CHAIN_BANDS))
+
+
 # ---- segments ----
 
 _BINS = "n as (select row, col, row * 100000 + col as id, cast(floor(b1 / 0.02) as int) as k from spec), e as (select a.id as u, b.id as v from n a join n b on a.k = b.k and ((a.row = b.row and a.col + 1 = b.col) or (a.col = b.col and a.row + 1 = b.row))), s as (select u, v from e union all select v, u from e), reach as (select id, id as seen from n union select reach.id, s.v from reach join s on reach.seen = s.u)"
@@ -161,9 +218,35 @@ def segment_regions(spark, d):
     return segments.segment_regions(spec(spark, d), ["b1"], 0.02)
 
 
-@query("vectorize_segments", sql("select (lo // 100000) * 4294967296 + lo % 100000 + 1 as segment_id, count(*) as cells, min(row) as min_row, max(row) as max_row, min(col) as min_col, max(col) as max_col from (select n.row, n.col, n.id, min(reach.seen) as lo from n join reach on n.id = reach.id group by all) group by lo", "spec", extra=_BINS))
+_LABELLED = f"{_BINS}, lab as (select n.row, n.col, min(reach.seen) as lo from n join reach on n.id = reach.id group by n.row, n.col, n.id), inn as (select a.lo, count(*) as k from lab a join lab b on a.lo = b.lo and ((a.row = b.row and a.col + 1 = b.col) or (a.col = b.col and a.row + 1 = b.row)) group by a.lo)"
+
+
+@query(
+    "vectorize_segments",
+    sql(
+        "select (lo // 100000) * 4294967296 + lo % 100000 + 1 as segment_id, count(*) as cells, min(row) as min_row, max(row) as max_row, min(col) as min_col, max(col) as max_col, "
+        f"{r('avg(row + 0.5::double)')} as center_row, {r('avg(col + 0.5::double)')} as center_col, 4 * count(*) - 2 * coalesce(any_value(k), 0) as outline from lab left join inn using (lo) group by lo",
+        "spec",
+        extra=_LABELLED,
+    ),
+)
 def vectorize_segments(spark, d):
-    return segments.outlines(segments.segment_regions(spec(spark, d), ["b1"], 0.02)).select("segment_id", "cells", "min_row", "max_row", "min_col", "max_col")
+    shapes = segments.outlines(segments.segment_regions(spec(spark, d), ["b1"], 0.02))
+    return shapes.withColumns({c: F.round(c, 6) for c in ("center_row", "center_col")})
+
+
+@query(
+    "segment_edges",
+    sql(
+        "select (e.lo // 100000) * 4294967296 + e.lo % 100000 + 1 as segment_id, e.row, e.col, e.side from (select lo, row, col, unnest(['bottom', 'left', 'right', 'top']) as side, unnest([1, 0, 0, -1]) as dr, unnest([0, -1, 1, 0]) as dc from lab) e "
+        "where not exists (select 1 from lab b where b.lo = e.lo and b.row = e.row + e.dr and b.col = e.col + e.dc)",
+        "spec",
+        extra=_LABELLED,
+    ),
+)
+def segment_edges(spark, d):
+    """The outline of every segment, edge by edge."""
+    return segments.edges(segments.segment_regions(spec(spark, d), ["b1"], 0.02))
 
 
 @query("refine_segments")
@@ -181,11 +264,12 @@ def segment_training_table(spark, d):
     return segpx(spark, d).dropna(subset=["b3"]).join(labels, "segment_id").select("segment_id", "b1", "b2", "hab_class")
 
 
-@query("gap_clusters", sql("select cls, avg(nullif(b1, 0)) as c1, count(*) as n from px where cls not in (select x.cls from px x join pts p on x.row = cast(floor(p.y) as bigint) and x.col = cast(floor(p.x) as bigint) where p.point_id < 3) group by cls", "px", "pts").replace("avg(nullif(b1, 0))", "round(avg(nullif(b1, 0)), 6) + 0.0"))
+@query("gap_clusters", sql("select cls, b2, round(avg(nullif(b1, 0)), 6) + 0.0 as c1, count(*) as n from px where not exists (select 1 from px x join pts p on x.row = cast(floor(p.y) as bigint) and x.col = cast(floor(p.x) as bigint) where x.cls = px.cls and x.b2 = px.b2) group by cls, b2", "px", "pts"))
 def gap_clusters(spark, d):
+    """Clusters, here of one class and one value of the second band, that no point lies in."""
     pixels = px(spark, d)
-    seen = grid.sample_raster(pixels, pts(spark, d).where("point_id < 3"), "x", "y").select("cls").distinct()
-    return pixels.join(F.broadcast(seen), "cls", "left_anti").groupBy("cls").agg(F.round(F.avg(fn.mask(F.col("b1"))), 6).alias("c1"), F.count("*").alias("n"))
+    seen = grid.sample_raster(pixels, pts(spark, d), "x", "y").select("cls", "b2").distinct()
+    return pixels.join(seen, ["cls", "b2"], "left_anti").groupBy("cls", "b2").agg(F.round(F.avg(fn.mask(F.col("b1"))), 6).alias("c1"), F.count("*").alias("n"))
 
 
 @query("gap_clusters_all", sql("select cls, avg(nullif(b1, 0)) as c1, count(*) as n from px where cls not in (select x.cls from px x join pts p on x.row = cast(floor(p.y) as bigint) and x.col = cast(floor(p.x) as bigint)) group by cls", "px", "pts").replace("avg(nullif(b1, 0))", "round(avg(nullif(b1, 0)), 6) + 0.0"))
@@ -281,15 +365,29 @@ def feature_importance(spark, d):
     return models.importances(spark, models.train(labelled(spark, d), B, "cls", numTrees=10), B)
 
 
-@query("sort_importance", sql(f"select k, {r('share')} as share, rank() over (order by share desc) as place from (select k, v / sum(v) over () as share from (" + " union all ".join(f"select {k} as k, var_pop(b{k}) as v from spec" for k in range(1, 11)) + "))", "spec"))
+_ETA = " union all ".join(f"select {k} as k, (select sum(n * power(m - (select avg(b{k}) from spec), 2)) from (select count(*) as n, avg(b{k}) as m from spec group by cls)) / (select var_pop(b{k}) * count(*) from spec) as eta from (select 1)" for k in range(1, 11))
+
+
+@query("sort_importance", sql(f"select k, {r('eta')} as importance, rank() over (order by eta desc) as place from ({_ETA})", "spec"))
 def sort_importance(spark, d):
+    """Bands by how much of their variance lies between classes."""
+    from pyspark.sql import Window
+
+    pixels, bands = spec(spark, d), range(1, 11)
+    means = pixels.groupBy("cls").agg(F.count("*").alias("n"), *(F.avg(f"b{k}").alias(f"m{k}") for k in bands))
+    whole = pixels.agg(*(F.avg(f"b{k}").alias(f"a{k}") for k in bands), *((F.var_pop(f"b{k}") * F.count("*")).alias(f"t{k}") for k in bands))
+    between = ag.broadcast_row(means, whole).agg(*((F.sum(F.col("n") * (F.col(f"m{k}") - F.col(f"a{k}")) ** 2) / F.first(f"t{k}")).alias(f"e{k}") for k in bands))
+    rows = between.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"e{k}").alias("eta")) for k in bands))).alias("x")).select("x.*")
+    return rows.select("k", F.round("eta", 6).alias("importance"), F.rank().over(Window.orderBy(F.desc("eta"))).cast("long").alias("place"))  # ten rows
+
+
+@query("importance_ranking")
+def importance_ranking(spark, d):
+    """A forest's impurity importances, largest first."""
     from pyspark.sql import Window
 
-    one = spec(spark, d).agg(*(F.var_pop(f"b{k}").alias(f"v{k}") for k in range(1, 11)))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v")) for k in range(1, 11)))).alias("x")).select("x.*")
-    total = ag.broadcast_row(rows, rows.agg(F.sum("v").alias("t")))
-    share = total.select("k", (F.col("v") / F.col("t")).alias("share"))
-    return share.select("k", F.round("share", 6).alias("share"), F.rank().over(Window.orderBy(F.desc("share"))).cast("long").alias("place"))
+    found = models.importances(spark, models.train(labelled(spark, d), B, "cls", numTrees=10), B)
+    return found.withColumn("place", F.rank().over(Window.orderBy(F.desc("importance"))).cast("long"))  # a row for each band
 
 
 @query("model_roundtrip")
@@ -305,8 +403,10 @@ def model_roundtrip(spark, d):
 @query("model_by_zone")
 def model_by_zone(spark, d):
     rows = labelled(spark, d).withColumn("zone", F.ceil(F.col("b3") * 40).cast("int"))
-    parts = [models.predict(models.train(rows.where(F.col("zone") == z), B, "cls", numTrees=5), rows.where(F.col("zone") == z)).select("zone", "row", "col", "pred") for z in (2, 3)]
-    return parts[0].unionByName(parts[1])
+    zones = [x.zone for x in few(rows, "zone", 20).orderBy("zone").collect()]  # a model for each, so there may be few
+    one = lambda z: rows.where(F.col("zone") == z)
+    parts = [models.predict(models.train(one(z), B, "cls", numTrees=5), one(z)).select("zone", "row", "col", "pred") for z in zones]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("compare_models", sql(f"select case when fold < 5 then 'a' else 'b' end as model, {r('avg(ok)')} as oa, count(*) as n from (select fold, case when truth = pred then 1.0 else 0.0 end as ok from pred) group by 1", "pred"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid
 from ..operators.aggregates import broadcast_row
-from .registry import query
+from .registry import ORACLE, query
 from .views import change_epochs, polys, pts, px, r, spec, sql
 
 
@@ -38,52 +38,33 @@ def assign_tiles(spark, d):
     return grid.assign_tiles(px(spark, d), 32).select("row", "col", "tile_i", "tile_j")
 
 
-@query("crop_modulo", sql("select row, col, b1 from px where row < 10 - 10 % 8 and col < 100 - 100 % 8", "px"))
-def crop_modulo(spark, d):
-    return grid.crop_to_multiple(px(spark, d), 10, 100, 8).select("row", "col", "b1")
-
-
-@query(
-    "patchify",
-    sql("select row, col, cast(i as int) as patch_i, cast(j as int) as patch_j, cast(row - i * 6 as int) as pr, cast(col - j * 6 as int) as pc from px, range(0, 2) ti(i), range(0, 16) tj(j) where row < 16 and row >= i * 6 and row < i * 6 + 8 and col >= j * 6 and col < j * 6 + 8", "px"),
-)
-def patchify(spark, d):
-    return grid.patches(px(spark, d).where("row < 16"), 16, 100, 8, 6).select("row", "col", "patch_i", "patch_j", "pr", "pc")
-
-
-@query("patch_transform", sql("select cast(i as int) as patch_i, cast(j as int) as patch_j, c + j * 12 * a as x0, f + i * 3 * e as y0 from meta, range(0, 3) ti(i), range(0, 7) tj(j)", "px", extra=META))
-def patch_transform(spark, d):
-    i = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("patch_i")
-    m = meta(spark, d).select("*", i).select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("patch_j"))
-    return m.select("patch_i", "patch_j", (F.col("c") + F.col("patch_j") * 12 * F.col("a")).alias("x0"), (F.col("f") + F.col("patch_i") * 3 * F.col("e")).alias("y0"))
-
-
-# The three queries above take a fixed piece, as their SQL does; these take the raster as large as it is.
-
-
 def sized(spark, d):
     """Every pixel with the raster's height and width."""
     return broadcast_row(px(spark, d), meta(spark, d).select("height", "width"))
 
 
-@query("crop_modulo_raster", sql("select row, col, b1 from px, meta where row < height - height % 8 and col < width - width % 8", "px", extra=META))
-def crop_modulo_raster(spark, d):
+@query("crop_modulo", sql("select row, col, b1 from px, meta where row < height - height % 8 and col < width - width % 8", "px", extra=META))
+def crop_modulo(spark, d):
     return grid.crop_to_multiple(sized(spark, d), F.col("height"), F.col("width"), 8).select("row", "col", "b1")
 
 
 @query(
-    "patchify_raster",
+    "patchify",
     sql("select row, col, cast(i as int) as patch_i, cast(j as int) as patch_j, cast(row - i * 6 as int) as pr, cast(col - j * 6 as int) as pc from px, range(0, (select cast((height - 8) // 6 + 1 as bigint) from meta)) ti(i), range(0, (select cast((width - 8) // 6 + 1 as bigint) from meta)) tj(j) where row >= i * 6 and row < i * 6 + 8 and col >= j * 6 and col < j * 6 + 8", "px", extra=META),
 )
-def patchify_raster(spark, d):
+def patchify(spark, d):
     return grid.patches(sized(spark, d), F.col("height"), F.col("width"), 8, 6).select("row", "col", "patch_i", "patch_j", "pr", "pc")
 
 
-@query("patch_transform_raster", sql("select cast(i as int) as patch_i, cast(j as int) as patch_j, c + j * 12 * a as x0, f + i * 3 * e as y0 from meta, range(0, (select cast((height - 4) // 3 + 1 as bigint) from meta)) ti(i), range(0, (select cast((width - 24) // 12 + 1 as bigint) from meta)) tj(j)", "px", extra=META))
-def patch_transform_raster(spark, d):
+@query("patch_transform", sql("select cast(i as int) as patch_i, cast(j as int) as patch_j, c + j * 12 * a as x0, f + i * 3 * e as y0 from meta, range(0, (select cast((height - 4) // 3 + 1 as bigint) from meta)) ti(i), range(0, (select cast((width - 24) // 12 + 1 as bigint) from meta)) tj(j)", "px", extra=META))
+def patch_transform(spark, d):
     return grid.patch_origins(meta(spark, d), 4, 24, 3, 12).select("patch_i", "patch_j", "x0", "y0")
 
 
+for _f in (crop_modulo, patchify, patch_transform):  # under both names that they had
+    query(f"{_f.__name__}_raster", ORACLE[_f.__name__])(_f)
+
+
 @query("sample_raster", sql("select p.point_id, x.row, x.col, x.b1, x.b2 from pts p join px x on x.row = cast(floor(p.y) as bigint) and x.col = cast(floor(p.x) as bigint)", "pts", "px"))
 def sample_raster(spark, d):
     return grid.sample_raster(px(spark, d), pts(spark, d), "x", "y").select("point_id", "row", "col", "b1", "b2")
@@ -188,7 +169,7 @@ def clahe_tiles(spark, d):
     return grid.equalise_tiles(px(spark, d), "b2", 25, 128).select("row", "col", "equalised")
 
 
-@query("class_change", sql("select coalesce(a.cell, b.cell) as cell, case when a.cls = 'N' and b.cls = 'N' then 1 when a.cls = 'N' then 2 when b.cls = 'N' then 3 else 0 end as code from (select * from change_epochs where epoch = 1) a full join (select * from change_epochs where epoch = 2) b on a.cell = b.cell", "change_epochs"))
+@query("class_change", sql("select coalesce(a.cell, b.cell) as cell, case when a.cls is null or b.cls is null then 0 when a.cls = 'N' and b.cls = 'N' then 1 when a.cls = 'N' then 2 when b.cls = 'N' then 3 else 0 end as code from (select * from change_epochs where epoch = 1) a full join (select * from change_epochs where epoch = 2) b on a.cell = b.cell", "change_epochs"))
 def class_change(spark, d):
     from ..functions.rules import change_code
 

@@ -11,12 +11,13 @@ from ..functions import bands as fn
 from ..functions import rules
 from ..operators import aggregates as ag
 from ..operators import folds as fo
+from ..operators import models
 from ..operators import spatial as sp
 from ..operators import statistics as st
 from ..operators import windows as wi
 from ..operators.grid import sample_raster
 from ..sources.shared import prepare
-from .registry import query
+from .registry import ORACLE, query
 from .views import change_epochs, cover_wide, dates, pred, proba_stack, pts, px, r, segpx, spec, sql, table
 
 DG = "md5(concat('42-', cast({} as varchar)))"
@@ -51,9 +52,9 @@ def drop_duplicates(spark, d):
     return wi.first_rows(pts(spark, d), ["x", "y"], "point_id").select("point_id", "x", "y")
 
 
-@query("drop_all_duplicates", sql("select segment_id, hab_class, min(point_id) as point_id from pts group by all having count(*) = 1", "pts"))
+@query("drop_all_duplicates", sql("select segment_id, hab_class, x, min(point_id) as point_id from pts group by all having count(*) = 1", "pts"))
 def drop_all_duplicates(spark, d):
-    return wi.duplicates(pts(spark, d), ["segment_id", "hab_class"]).where("n = 1").select("segment_id", "hab_class", "point_id")
+    return wi.duplicates(pts(spark, d), ["segment_id", "hab_class", "x"]).where("n = 1").select("segment_id", "hab_class", "x", "point_id")
 
 
 _C = [f"c{k}" for k in range(1, 8)]
@@ -77,25 +78,37 @@ def rowwise_max(spark, d):
     return cover_wide(spark, d).select("obs_id", F.greatest(*_C).alias("most"))
 
 
-_VAR = "v as (select k, 100 * s / sum(s) over () as share from (" + " union all ".join(f"select {k} as k, var_pop(b{k}) * {11 - k} as s from spec" for k in range(1, 11)) + "))"
+#: The two variances along the principal axes of two bands, in closed form, as shares in %.
+_VAR = (
+    "m as (select var_samp(b1) as a, var_samp(b2) as c, covar_samp(b1, b2) as b from spec where b1 <> 0 and b2 <> 0), "
+    "v as (select unnest([1, 2]) as k, unnest([50 + 100 * h / (a + c), 50 - 100 * h / (a + c)]) as share from (select *, sqrt((a - c) * (a - c) / 4 + b * b) as h from m))"
+)
+
+
+def explained(spark, d, bands):
+    """(k, share): the variance that each principal component explains, in %."""
+    shares = models.pca(spec(spark, d).select("row", "col", *bands), bands, len(bands))[1]
+    return spark.createDataFrame([(k + 1, 100 * x) for k, x in enumerate(shares)], "k int, share double")
 
 
-def variances(spark, d):
-    """Shares of ten weighted band variances, as a stand-in of explained variances."""
-    one = spec(spark, d).agg(*(F.var_pop(f"b{k}").alias(f"v{k}") for k in range(1, 11)))
-    total = reduce(lambda a, b: a + b, (F.col(f"v{k}") * (11 - k) for k in range(1, 11)))
-    rows = F.array(*(F.struct(F.lit(k).alias("k"), (100 * F.col(f"v{k}") * (11 - k) / total).alias("share")) for k in range(1, 11)))
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+def cumulated(spark, d, bands):
+    return wi.running_sum(explained(spark, d, bands), "k", "share", "cumulative").select("k", F.round("cumulative", 6).alias("cumulative"))
 
 
 @query("cumulative_variance", sql(f"select k, {r('sum(share) over (order by k rows unbounded preceding)')} as cumulative from v", "spec", extra=_VAR))
 def cumulative_variance(spark, d):
-    return wi.running_sum(variances(spark, d), "k", "share", "cumulative").select("k", F.round("cumulative", 6).alias("cumulative"))
+    return cumulated(spark, d, ["b1", "b2"])
 
 
-@query("pca_elbow", sql("select min(k) as components from v where share < 5 and k > 1", "spec", extra=_VAR))
+@query("pca_elbow", sql("select min(k) as components from v where share < 50 and k > 1", "spec", extra=_VAR))
 def pca_elbow(spark, d):
-    return wi.elbow(wi.running_sum(variances(spark, d), "k", "share", "cumulative"), "k", "cumulative", 5.0)
+    return wi.elbow(cumulated(spark, d, ["b1", "b2"]), "k", "cumulative", 50.0)
+
+
+@query("cumulative_variance_all")
+def cumulative_variance_all(spark, d):
+    """Of all ten bands; eigenvalues are past SQL, so a test works them out."""
+    return cumulated(spark, d, [f"b{k}" for k in range(1, 11)])
 
 
 _DOS = "select min(bin) as threshold from h, (select n as f from (select n, row_number() over (order by bin) as k from h) where k = 2) where bin > 0 and n >= 1.01 * f"
@@ -133,7 +146,7 @@ def first_per_segment(spark, d):
 @query("label_encode", sql("select point_id, hab_class, cast(dense_rank() over (order by hab_class) as int) as int_class from pts", "pts"))
 def label_encode(spark, d):
     p = pts(spark, d)
-    return p.join(F.broadcast(wi.label_codes(p, "hab_class")), "hab_class").select("point_id", "hab_class", F.col("code").alias("int_class"))
+    return p.join(wi.label_codes(p, "hab_class"), "hab_class").select("point_id", "hab_class", F.col("code").alias("int_class"))
 
 
 @query("class_by_label", sql("select cast(code as int) as int_class, label from (select label, row_number() over (order by label) as code from (select distinct hab_class as label from pts)) where label like 'M%'", "pts"))
@@ -168,27 +181,13 @@ def join_point_attrs(spark, d):
     return pts(spark, d).select("point_id").join(o, "point_id")
 
 
-@query("buffer_join", sql("select a.point_id as lid, b.point_id as rid from pts a join pts b on b.point_id % 20 = 0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4", "pts"))
+@query("buffer_join", sql("select a.point_id as lid, b.point_id as rid from pts a join pts b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4", "pts"))
 def buffer_join(spark, d):
     p = pts(spark, d)
-    return sp.buffer_join(p, p.where("point_id % 20 = 0"), "point_id", "point_id", 2.0)
-
-
-@query("outside_buffer", sql("select point_id from pts a where not exists (select 1 from pts b where b.point_id % 50 = 0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts"))
-def outside_buffer(spark, d):
-    p = pts(spark, d)
-    near = sp.buffer_join(p, p.where("point_id % 50 = 0"), "point_id", "point_id", 2.0).select(F.col("lid").alias("point_id"))
-    return p.select("point_id").join(near, "point_id", "left_anti")
-
-
-# buffer_join, outside_buffer, missing_ids, segment_disjoint_folds and gap_clusters take some points, ids or folds, as their
-# SQL does; the queries named ..._all take all of them.
+    return sp.buffer_join(p, p, "point_id", "point_id", 2.0)
 
 
-@query("buffer_join_all", sql("select a.point_id as lid, b.point_id as rid from pts a join pts b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4", "pts"))
-def buffer_join_all(spark, d):
-    p = pts(spark, d)
-    return sp.buffer_join(p, p, "point_id", "point_id", 2.0)
+query("buffer_join_all", ORACLE["buffer_join"])(buffer_join)
 
 
 @query("semi_by_id", sql("select segment_id, tile_id, b1 from segpx where segment_id in (select segment_id from pts)", "segpx", "pts"))
@@ -216,7 +215,7 @@ def segment_sizes(spark, d):
 def segment_global_id(spark, d):
     p = segpx(spark, d).select("tile_id", "segment_id").distinct()
     tops = p.groupBy("tile_id").agg(F.max("segment_id").alias("m"))
-    before = tops.select("tile_id", F.coalesce(F.sum("m").over(Window.orderBy("tile_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    before = wi.running_total(tops, "tile_id", "m", "upto").select("tile_id", (F.col("upto") - F.col("m")).alias("off"))
     return p.join(before, "tile_id").select("tile_id", "segment_id", (F.col("segment_id") + F.col("off")).alias("global_id"))
 
 
@@ -225,11 +224,15 @@ def class_pairs(spark, d):
     return st.pairs(px(spark, d).groupBy("cls").agg(F.count("*").alias("n")), "cls").select("cls_a", "cls_b")
 
 
-@query("zones_in_buffer", sql("select a.point_id, count(distinct b.segment_id) as zones from pts a join pts b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1 group by a.point_id having count(distinct b.segment_id) <= 3", "pts"))
+_ZONE = "cast(floor(x / 5) as bigint) * 10 + cast(floor(y / 5) as bigint)"
+
+
+@query("zones_in_buffer", sql(f"select a.point_id, count(distinct b.zone) as zones from pts a join (select *, {_ZONE} as zone from pts) b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 group by a.point_id having count(distinct b.zone) = 1", "pts"))
 def zones_in_buffer(spark, d):
+    """Points all of whose neighbours within the buffer lie in one zone of 5 x 5."""
     p = pts(spark, d)
-    places = p.select("x", "y", "segment_id").distinct().withColumn("place", F.struct("x", "y", "segment_id"))
-    return sp.buffer_join(p, places, "point_id", "place", 1.0).groupBy(F.col("lid").alias("point_id")).agg(F.count_distinct("rid.segment_id").alias("zones")).where("zones <= 3")
+    places = p.selectExpr("x", "y", f"{_ZONE} as zone").distinct().withColumn("place", F.struct("x", "y", "zone"))
+    return sp.buffer_join(p, places, "point_id", "place", 2.0).groupBy(F.col("lid").alias("point_id")).agg(F.count_distinct("rid.zone").alias("zones")).where("zones = 1")
 
 
 @query("union_tiles", sql("select tile_id, count(*) as n from (select tile_id from segpx where tile_id % 2 = 0 union all select tile_id from segpx where tile_id % 2 = 1) group by tile_id", "segpx"))
@@ -250,16 +253,13 @@ def cluster_gap(spark, d):
     return segpx(spark, d).select("segment_id").distinct().join(pts(spark, d), "segment_id", "left_anti")
 
 
-@query("missing_ids", "select distinct o_custkey as id from orders where o_custkey % 3 = 0 and o_custkey not in (select c_custkey from customer where c_nationkey < 12)")
+@query("missing_ids", "select distinct o_custkey as id from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 12)")
 def missing_ids(spark, d):
     known = pts(spark, d).where("segment_id < 12").select(F.col("point_id").alias("id"))
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).where("id % 3 = 0").distinct().join(known, "id", "left_anti")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(known, "id", "left_anti")
 
 
-@query("missing_ids_all", "select distinct o_custkey as id from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 12)")
-def missing_ids_all(spark, d):
-    known = pts(spark, d).where("segment_id < 12").select(F.col("point_id").alias("id"))
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(known, "id", "left_anti")
+query("missing_ids_all", ORACLE["missing_ids"])(missing_ids)
 
 
 # ---- filters, dates, text ----
@@ -372,19 +372,19 @@ def kruskal_wallis(spark, d):
     return st.kruskal_wallis(px(spark, d), "b2", "cls").select(F.round("h", 4).alias("h"), "df")
 
 
-_GLINT = " union all ".join(f"select 'b{k}' as band, regr_slope(b{k}, b8) as slope, regr_intercept(b{k}, b8) as intercept, regr_r2(b{k}, b8) as r2, (select min(b8) from spec where row < 20) as nir_min from spec where row < 20" for k in (1, 2, 3))
+_GLINT = " union all ".join(f"select 'b{k}' as band, regr_slope(b{k}, b8) as slope, regr_intercept(b{k}, b8) as intercept, regr_r2(b{k}, b8) as r2, (select min(b8) from spec where b8 < 0.06) as nir_min from spec where b8 < 0.06" for k in (1, 2, 3))
 
 
 @query("deglint_fit", sql(f"select band, {r('slope')} as slope, {r('intercept')} as intercept, {r('r2')} as r2, {r('nir_min')} as nir_min from ({_GLINT})", "spec"))
 def deglint_fit(spark, d):
-    fit = st.glint_fit(spec(spark, d).where("row < 20"), ["b1", "b2", "b3"], "b8")
+    fit = st.glint_fit(spec(spark, d).where("b8 < 0.06"), ["b1", "b2", "b3"], "b8")
     return fit.select("band", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2", "nir_min")))
 
 
-@query("deglint_apply", sql(f"select row, col, {', '.join(f'''{r(f'case when b{k} - s{k} * (b8 - m) >= 0 then b{k} - s{k} * (b8 - m) end')} as b{k}''' for k in (1, 2, 3))}, {r('b8 - m')} as b8 from spec, (select {', '.join(f'regr_slope(b{k}, b8) as s{k}' for k in (1, 2, 3))}, min(b8) as m from spec where row < 20)", "spec"))
+@query("deglint_apply", sql(f"select row, col, {', '.join(f'''{r(f'case when b{k} - s{k} * (b8 - m) >= 0 then b{k} - s{k} * (b8 - m) end')} as b{k}''' for k in (1, 2, 3))}, {r('b8 - m')} as b8 from spec, (select {', '.join(f'regr_slope(b{k}, b8) as s{k}' for k in (1, 2, 3))}, min(b8) as m from spec where b8 < 0.06)", "spec"))
 def deglint_apply(spark, d):
     pixels = spec(spark, d)
-    out = st.glint_apply(pixels, pixels.where("row < 20"), ["b1", "b2", "b3"], "b8", [])
+    out = st.glint_apply(pixels, pixels.where("b8 < 0.06"), ["b1", "b2", "b3"], "b8", [])
     return out.select("row", "col", *(F.round(c, 6).alias(c) for c in ("b1", "b2", "b3", "b8")))
 
 
@@ -409,6 +409,27 @@ def sdb_predict(spark, d):
     return ag.broadcast_row(pixels, fit).select("row", "col", F.round(fn.clamp_low(F.col("slope") * F.col("lr") + F.col("intercept")), 4).alias("depth"))
 
 
+_CHAIN = (
+    f"{_LOGBR}, q as (select quantile_cont(lr, 0.25) as a, quantile_cont(lr, 0.75) as b from x), "
+    "kept as (select x.* from x, q where lr between a - 1.5 * (b - a) and b + 1.5 * (b - a)), "
+    "fit as (select regr_slope(depth, lr) as m, regr_intercept(depth, lr) as c from kept), "
+    "scored as (select 1 - sum(power(depth - (m * lr + c), 2)) / (var_pop(depth) * count(*)) as r2, sqrt(avg(power(depth - (m * lr + c), 2))) as rmse from kept, fit)"
+)
+
+
+@query("bathymetry", sql(f"select row, col, {r('case when m * lr + c >= 0 then m * lr + c end', 4)} as depth, {r('r2', 4)} as r2, {r('rmse', 4)} as rmse from (select row, col, ln(b1 * 1000) / ln(b2 * 1000) as lr from spec where b1 > 0 and b2 > 0), fit, scored", "pts", "spec", extra=_CHAIN))
+def bathymetry(spark, d):
+    """Depth of every pixel from the log ratio of two bands: sampled at points in a range of depths, outliers taken out,
+    fitted, scored on the points and applied, with the fit's scores beside each pixel."""
+    sample = st.iqr_filter(_log_ratios(spark, d), "lr", 1.5)
+    fit = ag.linear_fit(sample, "depth", "lr").select("slope", "intercept")
+    guess = F.col("slope") * F.col("lr") + F.col("intercept")
+    scores = ag.regression_scores(ag.broadcast_row(sample, fit).withColumn("guess", guess), "depth", "guess").select("r2", "rmse")
+    pixels = spec(spark, d).select("row", "col", fn.log_ratio(F.col("b1"), F.col("b2")).alias("lr")).where("lr is not null")
+    out = ag.broadcast_row(ag.broadcast_row(pixels, fit), scores)
+    return out.select("row", "col", F.round(fn.clamp_low(guess), 4).alias("depth"), F.round("r2", 4).alias("r2"), F.round("rmse", 4).alias("rmse"))
+
+
 @query("band_correlation", sql(f"select cls, {r('corr(b1, b2)')} as r12, {r('corr(b1, b3)')} as r13, {r('corr(b2, b3)')} as r23 from spec group by cls", "spec"))
 def band_correlation(spark, d):
     return spec(spark, d).groupBy("cls").agg(*(F.round(F.corr(f"b{a}", f"b{b}"), 6).alias(f"r{a}{b}") for a, b in ((1, 2), (1, 3), (2, 3))))
@@ -456,9 +477,9 @@ def stratified_group_kfold(spark, d):
     return group_folds(spark, d).select("point_id", "segment_id", "fold")
 
 
-@query("loo_folds", sql("select segment_id as fold, point_id from pts", "pts"))
+@query("loo_folds", sql("select point_id, fold, case when segment_id = fold then 'test' else 'train' end as role from pts, (select distinct segment_id as fold from pts)", "pts"))
 def loo_folds(spark, d):
-    return pts(spark, d).select(F.col("segment_id").alias("fold"), "point_id")
+    return sp.leave_one_out(pts(spark, d), "segment_id", "point_id")
 
 
 _FOLDED = "f as (select point_id, x, y, cast(pos % 5 as int) as fold from pts join g using (segment_id))"
@@ -470,6 +491,13 @@ def spatial_buffer_folds(spark, d):
     return sp.buffered_folds(group_folds(spark, d).select("point_id", "x", "y", "fold"), "fold", "point_id", 1.0)
 
 
+@query("outside_buffer", sql("select a.point_id, k.fold from pts a, (select distinct cast(floor(x / 20) as int) as fold from pts) k where not exists (select 1 from pts b where cast(floor(b.x / 20) as int) = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts"))
+def outside_buffer(spark, d):
+    """For each block of the area, the points outside the buffers of all points in it."""
+    f = pts(spark, d).select("point_id", "x", "y", F.floor(F.col("x") / 20).cast("int").alias("fold"))
+    return sp.buffered_folds(f, "fold", "point_id", 2.0).where("role = 'train'").select("point_id", "fold")
+
+
 @query("outside_buffer_all", sql("select a.point_id, k.fold from pts a, (select distinct fold from f) k where not exists (select 1 from f b where b.fold = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts", extra=f"{_SEG}, {_FOLDED}"))
 def outside_buffer_all(spark, d):
     """For each fold, the points outside the buffers of all its test points."""
@@ -483,22 +511,17 @@ def test_fold_column(spark, d):
     return group_folds(spark, d).groupBy("point_id").agg(F.min("fold").alias("test_fold"))
 
 
-@query("segment_disjoint_folds", sql("select point_id, k.fold from pts a, (select unnest(range(0, 3))::int as fold) k where not exists (select 1 from p b where b.segment_id = a.segment_id and b.pos % 30 = k.fold)", "pts", extra=_POS))
+@query("segment_disjoint_folds", sql("select point_id, k.fold from pts a, (select unnest(range(0, 30))::int as fold) k where not exists (select 1 from p b where b.segment_id = a.segment_id and b.pos % 30 = k.fold)", "pts", extra=_POS))
 def segment_disjoint_folds(spark, d):
-    p = fo.positions(pts(spark, d), ["hab_class"], "point_id")
-    test = p.where("pos % 30 < 3").select("segment_id", (F.col("pos") % 30).cast("int").alias("fold")).distinct()
-    every = p.select("point_id", "segment_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold"))
-    return every.join(test, ["segment_id", "fold"], "left_anti").select("point_id", "fold")
-
-
-@query("segment_disjoint_folds_all", sql("select point_id, k.fold from pts a, (select unnest(range(0, 30))::int as fold) k where not exists (select 1 from p b where b.segment_id = a.segment_id and b.pos % 30 = k.fold)", "pts", extra=_POS))
-def segment_disjoint_folds_all(spark, d):
     p = fo.positions(pts(spark, d), ["hab_class"], "point_id")
     test = p.select("segment_id", (F.col("pos") % 30).cast("int").alias("fold")).distinct()
     every = p.select("point_id", "segment_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("fold"))
     return every.join(test, ["segment_id", "fold"], "left_anti").select("point_id", "fold")
 
 
+query("segment_disjoint_folds_all", ORACLE["segment_disjoint_folds"])(segment_disjoint_folds)
+
+
 @query("repeated_kfold", sql(" union all ".join(f"select point_id, {s} as repeat, cast((row_number() over (partition by hab_class order by md5(concat('{s}-', cast(point_id as varchar)))) - 1) % 5 as int) as fold from pts" for s in (1, 2, 3)), "pts"))
 def repeated_kfold(spark, d):
     parts = [fo.kfold(pts(spark, d), "point_id", 5, ["hab_class"], s).select("point_id", F.lit(s).alias("repeat"), "fold") for s in (1, 2, 3)]
@@ -517,7 +540,7 @@ def class_separability(spark, d):
     return w.join(st.jeffries_matusita(p, "b1", "cls").select("cls_a", "cls_b", F.round("jm", 6).alias("jm")), ["cls_a", "cls_b"])
 
 
-@query("habitat_change_area", sql("select code, count(*) as cells, round(count(*) * 100 / 10000.0, 6) + 0.0 as hectares from (select case when a.cls = 'R' and b.cls = 'R' then 1 when a.cls = 'R' then 2 when b.cls = 'R' then 3 else 0 end as code from (select * from change_epochs where epoch = 1) a full join (select * from change_epochs where epoch = 2) b on a.cell = b.cell) group by code", "change_epochs"))
+@query("habitat_change_area", sql("select code, count(*) as cells, round(count(*) * 100 / 10000.0, 6) + 0.0 as hectares from (select case when a.cls is null or b.cls is null then 0 when a.cls = 'R' and b.cls = 'R' then 1 when a.cls = 'R' then 2 when b.cls = 'R' then 3 else 0 end as code from (select * from change_epochs where epoch = 1) a full join (select * from change_epochs where epoch = 2) b on a.cell = b.cell) group by code", "change_epochs"))
 def habitat_change_area(spark, d):
     epochs = change_epochs(spark, d)
     a, b = (epochs.where(F.col("epoch") == k).select("cell", F.col("cls").alias(f"c{k}")) for k in (1, 2))

@@ -48,6 +48,18 @@ def points_from_xy(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("geometry", F.when(ok, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
 
 
+def scan_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Stored polygons: poly_id, label and ring, closed or not; any other geometry is an error.
+
+    type and ring columns are read from Parquet; ids are the stored ones, so that no order over all rows is needed.
+    """
+    df = spark.read.schema("poly_id long, label string, type string, ring array<struct<x:double,y:double>>").parquet(path)
+    odd = df.where((F.col("type") != "Polygon") | (F.size("ring") < 3)).limit(1).collect()
+    if odd:
+        raise ValueError(f"not a polygon: {odd[0].poly_id}")
+    return df.drop("type")
+
+
 def grouped_metadata(lines: DataFrame) -> DataFrame:
     """(file, line, text) of 'BEGIN_GROUP = X / key = value; / END_GROUP' files as (file, grp, key, value, number).
 
