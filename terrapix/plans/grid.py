@@ -142,13 +142,15 @@ def mosaic(spark, d):
     return grid.mosaic(one.unionByName(two), "v", "src")
 
 
-@query("augment_patches", None)
+_DRAW = "cast(concat('0x', substr(md5(concat_ws('-', '42{}', cast(row // 10 as varchar), cast(col // 10 as varchar))), 1, 6)) as integer) / 16777216.0::double"
+
+
+@query("augment_patches", sql(f"select row, col, cast(row // 10 as int) as tile_i, cast(col // 10 as int) as tile_j, cast(case when {_DRAW.format('f')} < 0.5 then 9 - col % 10 else col % 10 end as int) as pc, {r('least(greatest(b2 / 100 + (' + _DRAW.format('b') + ' - 0.5::double), 0), 1)')} as v from px", "px"))
 def augment_patches(spark, d):
     p = grid.assign_tiles(px(spark, d), 10).withColumns({"pc": F.expr("cast(col % 10 as int)"), "v": F.col("b2") / 100})
     return grid.augment(p, 10, 42, ["tile_i", "tile_j"], ["v"]).select("row", "col", "tile_i", "tile_j", "pc", F.round("v", 6).alias("v"))
 
 
-
 @query("reproject_points", None)
 def reproject_points(spark, d):
     p = pts(spark, d).select("point_id", (24.0 + F.col("x") / 50).alias("lon"), (60.0 + F.col("y") / 10).alias("lat"))
