@@ -31,3 +31,10 @@ def test_against_brute_force(spark):
 def test_collisions_are_told_apart_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(module.F, "md5", lambda c: F.lit("00112233445566778899aabbccddeeff"))
     assert run(spark, ROWS) == brute(ROWS)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(3, "a b"), (3, "a b"), (3, "c"), (5, "a  b"), (4, "c"), (None, "c"), (2, "d"), (2, "d")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(2, 2, 2, True)] * 2 + [(3, 3, 2, True), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 2, False), (5, 3, 3, False)]
+    assert len({r.text_sha256 for r in got}) == 3
