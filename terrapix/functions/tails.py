@@ -54,11 +54,11 @@ def gamma_tail(a: float, x: float) -> float:
 
 @pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Probability of a |t| at least as large; null where t or df is."""
+    """Probability of a |t| at least as large; null where t or df is. Meant for test results: a row for each pair of classes."""
     return pd.Series([None if pd.isna(a) or pd.isna(v) else beta_tail(v / 2, 0.5, v / (v + a * a)) for a, v in zip(t, df)], dtype="float64")
 
 
 @pandas_udf(DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
-    """Probability of a chi squared at least as large; null where x or df is."""
+    """Probability of a chi squared at least as large; null where x or df is. Meant for test results, of a row each."""
     return pd.Series([None if pd.isna(a) or pd.isna(v) else gamma_tail(v / 2, a / 2) for a, v in zip(x, df)], dtype="float64")

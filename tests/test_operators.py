@@ -1,5 +1,8 @@
 """Hand-made tables of a few rows for what the given tables don't hold: no data, ties, constants, edges."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +174,63 @@ def test_tail_probabilities():
     assert gamma_tail(1, 2.5) == pytest.approx(2.718281828459045**-2.5)
     assert gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
     assert gamma_tail(1.5, 0.1) == pytest.approx(0.977589, abs=1e-6)
+
+
+def test_quantiles_and_running_totals_are_exact(spark):
+    rnd = np.random.default_rng(2)
+    values = np.round(rnd.gamma(2.0, 3.0, 500), 1)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(7)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    assert wi.quantiles(df, "v", shares).first().q == pytest.approx(np.quantile(values, shares).tolist())
+    assert wi.quantiles(df.where("v < 0"), "v", [0.5]).first().q == [None]
+    got = rows(wi.running_total(spark.createDataFrame([(k, k % 3) for k in range(100)], "k int, n int"), "k", "n", "total").select("k", "total"))
+    assert sorted(got) == [(k, sum(j % 3 for j in range(k + 1))) for k in range(100)]
+
+
+def test_average_ranks_share_ties(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (2.0, "b"), (2.0, "b"), (5.0, "a")], "v double, g string")
+    assert sorted(rows(wi.average_ranks(df, "v", "g").select("v", "g", "c", "rank"))) == [(1.0, "a", 1, 1.0), (2.0, "a", 1, 3.0), (2.0, "b", 2, 3.0), (5.0, "a", 1, 5.0)]
+
+
+def test_sample_per_class_takes_the_least_digests(spark):
+    import hashlib
+
+    ids = {"a": range(300), "b": range(300, 303), None: range(400, 420)}
+    df = spark.createDataFrame([(k, c) for c, ks in ids.items() for k in ks], "id int, c string")
+    got = wi.sample_per_class(df, "c", F.col("id"), 10).collect()
+    for c, ks in ids.items():
+        want = sorted(ks, key=lambda k: hashlib.md5(f"42-{k}".encode()).hexdigest())[:10]
+        assert sorted(r.id for r in got if r.c == c) == sorted(want)
+
+
+def test_leave_one_out_and_its_bound(spark):
+    df = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "id int, k string")
+    assert rows(spatial.leave_one_out(df, "k", "id")) == [(1, "p", "test"), (1, "q", "train"), (2, "p", "test"), (2, "q", "train"), (3, "p", "train"), (3, "q", "test")]
+    with pytest.raises(ValueError, match="more than 1"):
+        spatial.leave_one_out(df, "k", "id", most=1)
+
+
+def test_only_polygons_are_scanned(spark, tmp_path):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}]
+    shape = "poly_id long, label string, type string, ring array<struct<x:double,y:double>>"
+    spark.createDataFrame([(1, "a", "Polygon", ring)], shape).write.parquet(f"{tmp_path}/good")
+    assert [r.poly_id for r in src.scan_polygons(spark, f"{tmp_path}/good").collect()] == [1]
+    for k, row in enumerate([(2, "b", "Point", ring), (3, "c", "Polygon", ring[:2])]):
+        spark.createDataFrame([row], shape).write.parquet(f"{tmp_path}/bad{k}")
+        with pytest.raises(ValueError, match="not a polygon"):
+            src.scan_polygons(spark, f"{tmp_path}/bad{k}")
+
+
+def test_edges_of_segments(spark):
+    seg = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 0, 2), (1, 1, 0)], "row long, col long, segment_id long")
+    got = rows(segments.edges(seg).select("segment_id", "row", "col", "side"))
+    assert sorted(got) == sorted([(1, 0, 0, s) for s in ("top", "bottom", "left")] + [(1, 0, 1, s) for s in ("top", "bottom", "right")] + [(2, 1, 0, s) for s in ("top", "bottom", "left", "right")])
+    assert sorted(Counter(r[0] for r in got).items()) == sorted((r.segment_id, r.outline) for r in segments.outlines(seg).collect())
+
+
+def test_zscore_steps_see_what_the_last_kept(spark):
+    values = [(float(k % 10), float(k)) for k in range(50)] + [(100.0, 25.0), (5.0, 500.0)]
+    got = {r.b for r in st.zscore_filter(spark.createDataFrame(values, "a double, b double"), ["a", "b"], 3.0).collect()}
+    a = np.array(values)
+    a = a[np.abs(a[:, 0] - a[:, 0].mean()) / a[:, 0].std() < 3]
+    assert got == set(a[np.abs(a[:, 1] - a[:, 1].mean()) / a[:, 1].std() < 3, 1])
