@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import ChainMap
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -115,7 +116,7 @@ class Encoder:
         self.n, self.long = 0, {}
         self.slots = np.full(1 << 22, -1, np.int32)
         self.first, self.second = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
-        self.length, self.begin, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.length, self.begin, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -162,19 +163,21 @@ class Encoder:
         miss = np.flatnonzero(~hit)
         if not len(miss):
             return out
-        # What a slot doesn't have: new pre-tokens, long ones, and those whose slot is another's.
+        # What a slot doesn't have: new pre-tokens, and those of the dictionary, long or with a slot that is another's.
         data = low.tobytes()
         words = [data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist())]
-        new = list(dict.fromkeys(w for w in words if w not in self.long))
-        if new:
-            number = self.add(new)
-            self.long.update(zip(new, number.tolist()))
-            where = dict(zip(words, miss.tolist()))
-            at = np.array([where[w] for w in new])
+        where = {w: k for w, k in zip(words, miss.tolist()) if w not in self.long}
+        met = self.long
+        if where:
+            number, at = self.add(list(where)), np.fromiter(where.values(), np.int64)
             self.first[number], self.second[number], self.length[number] = a[at], b[at], length[at]
-            fits = length[at] <= SHORT
+            fits = (length[at] <= SHORT) & (self.slots[slot[at]] < 0)
             self.slots[slot[at[fits]]] = number[fits]
-        out[miss] = [self.long[w] for w in words]
+            own = self.slots[slot[at]] == number
+            met = dict(zip(where, number.tolist()))
+            self.long.update((w, n) for (w, n), x in zip(met.items(), own.tolist()) if not x)
+            met = ChainMap(met, self.long)
+        out[miss] = [met[w] for w in words]
         return out
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

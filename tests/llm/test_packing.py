@@ -35,6 +35,7 @@ def test_ids_are_the_librarys():
     for _ in range(2):  # new, then remembered
         got = encode(*bytes_of(column))
         assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in every]
+    assert len(encode.long) < encode.n / 4
     encode.slots[:] = 0  # every slot is another's
     assert [x.tolist() for x in encode(*bytes_of(column))] == [x.tolist() for x in got]
 
