@@ -143,17 +143,21 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nda
     h = Rolling(low).ranges(starts, ends)
     at = np.minimum(np.searchsorted(w.hashes, h), len(w.hashes) - 1)
     known = (w.hashes[at] == h) & (w.size[at] == ends - starts)
-    some = np.flatnonzero(known)
-    known[some] = same_bytes(low, starts[some], w.blob, w.begin[at[some]], w.size[at[some]])  # hashes only find them
-    # Stretches of known words of one row, as long as the shortest window at least.
-    brk = np.ones(len(known) + 1, bool)
-    brk[1:-1] = (known[1:] != known[:-1]) | (rows[1:] != rows[:-1])
-    edge = np.flatnonzero(brk)
-    first, size = edge[:-1], np.diff(edge)
-    good = known[first] & (size >= w.shortest)
-    first, size = first[good], size[good]
-    if not len(first):
-        return out
+    while True:  # hashes only find words; those of a stretch are compared by their bytes
+        # Stretches of known words of one row, as long as the shortest window at least.
+        brk = np.ones(len(known) + 1, bool)
+        brk[1:-1] = (known[1:] != known[:-1]) | (rows[1:] != rows[:-1])
+        edge = np.flatnonzero(brk)
+        first, size = edge[:-1], np.diff(edge)
+        good = known[first] & (size >= w.shortest)
+        first, size = first[good], size[good]
+        if not len(first):
+            return out
+        some = ranges(first, size)
+        right = same_bytes(low, starts[some], w.blob, w.begin[at[some]], w.size[at[some]])
+        if right.all():
+            break
+        known[some[~right]] = False
     word = np.full(size.sum() + len(first) + 1, -1, np.int64)
     place = ranges(np.cumsum(size + 1) - size - 1, size)
     word[place] = ranges(first, size)
