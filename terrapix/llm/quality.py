@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, Rolling, bytes_of, documents, passes, prepare, stored, words
 
-#: Shrinkage of a class's covariance to the pooled one and of that to its diagonal; ridge; temperature of the logistic.
-TO_POOLED, TO_DIAGONAL, RIDGE, TEMPERATURE = 0.2, 0.1, 1e-3, 4.0
+#: Shrinkage of a class's covariance to the pooled one and of that to its diagonal; ridge.
+TO_POOLED, TO_DIAGONAL, RIDGE = 0.2, 0.1, 1e-3
+#: Bins of the histogram that log-density differences are calibrated by: so many to a unit of their inverse hyperbolic sine.
+BINS = 50
 
 #: Classes of bytes that are counted, by a bit each.
 UPPER, LOWERCASE, DIGIT, SPACE, LINE, MARK, SIGN, WIDE = (1 << k for k in range(8))
@@ -98,15 +100,32 @@ class Discriminant:
     centre: np.ndarray
     scale: np.ndarray
     classes: list[tuple[float, np.ndarray, np.ndarray]]
-    temperature: float
+    temperature: float = 1.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1; 0.5 where a class is missing from the labels."""
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """Log density and prior of class 1 less those of class 0; 0 where a class is missing from the labels."""
         if len(self.classes) < 2:
-            return np.full(len(x), 0.5)
+            return np.zeros(len(x))
         z = (x - self.centre) / self.scale
         log0, log1 = (c - 0.5 * (((z - mean) @ inverse.T) ** 2).sum(1) for c, mean, inverse in self.classes)
-        return 1 / (1 + np.exp(-np.clip((log1 - log0) / self.temperature, -500, 500)))
+        return log1 - log0
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Probability of class 1."""
+        return 1 / (1 + np.exp(-np.clip(self.difference(x) / self.temperature, -500, 500)))
+
+
+def calibrated(d: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """The temperature of largest likelihood for differences d with n0 and n1 rows of each class.
+
+    Each class's rows count as (n + 1) / (n + 2) sure of it, so that classes far apart don't ask for certainty.
+    """
+    t0, t1 = 1 / (n0.sum() + 2), (n1.sum() + 1) / (n1.sum() + 2)
+    grid = np.exp(np.linspace(np.log(0.1), np.log(1000.0), 400))
+    z = np.clip(d[:, None] / grid[None, :], -500, 500)
+    low, high = np.logaddexp(0, -z), np.logaddexp(0, z)  # minus the logs of p and 1 - p
+    loss = (n0[:, None] * (t0 * low + (1 - t0) * high) + n1[:, None] * (t1 * low + (1 - t1) * high)).sum(0)
+    return float(grid[loss.argmin()])
 
 
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL) -> Discriminant:
@@ -114,7 +133,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float
     p = len(NAMES)
     total = sum(n for n, _, _ in sums.values())
     if len(sums) < 2 or total < 2:
-        return Discriminant(np.zeros(p), np.ones(p), [], TEMPERATURE)
+        return Discriminant(np.zeros(p), np.ones(p), [])
     centre = sum(s for _, s, _ in sums.values()) / total
     scale = np.sqrt(np.maximum(np.diag(sum(q for _, _, q in sums.values())) / total - centre**2, 1e-6))
     means, covs = {}, {}
@@ -129,7 +148,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float
         cov = (1 - to_pooled) * covs[k] + to_pooled * pooled + RIDGE * np.eye(p)
         factor = np.linalg.cholesky(cov)
         classes.append((np.log(sums[k][0] / total) - np.log(np.diag(factor)).sum(), means[k], np.linalg.inv(factor)))
-    return Discriminant(centre, scale, classes, TEMPERATURE)
+    return Discriminant(centre, scale, classes)
 
 
 def _statistics(batches):
@@ -155,6 +174,18 @@ def _moments(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["quality", "at", "v"])
 
 
+def _histogram(model: Discriminant):
+    """Binned differences of labelled rows, counted by class; their number follows the bins, not the rows."""
+
+    def go(batches):
+        for batch in batches:
+            d = model.difference(batch.column("x").flatten().to_numpy().reshape(-1, len(NAMES)))
+            bins = np.clip(np.rint(np.arcsinh(d) * BINS), -20 * BINS, 20 * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("quality")], ["bin", "quality"])
+
+    return go
+
+
 def features(df: DataFrame) -> DataFrame:
     """doc_id and its statistics."""
     prepare(df.sparkSession)
@@ -167,14 +198,20 @@ def in_training(doc_id: Column) -> Column:
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on every labelled row that may teach; just sums of fixed size reach the driver."""
+    """Fit and calibrate on every labelled row that may teach; just sums of fixed size reach the driver."""
     known = labels.where(in_training(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    sums = stats.join(known, "doc_id").select("x", "quality").mapInArrow(_moments, "quality int, at int, v double").groupBy("quality", "at").agg(F.sum("v").alias("v"))
+    taught = stats.join(known, "doc_id").select("x", "quality")
+    sums = taught.mapInArrow(_moments, "quality int, at int, v double").groupBy("quality", "at").agg(F.sum("v").alias("v"))
     p = len(NAMES)
     flat = {k: np.zeros(1 + p + p * p) for k in (0, 1)}
     for r in sums.collect():
         flat[r.quality][r.at] = r.v
-    return fit({k: (v[0], v[1 : 1 + p], v[1 + p :].reshape(p, p)) for k, v in flat.items() if v[0] > 0})
+    model = fit({k: (v[0], v[1 : 1 + p], v[1 + p :].reshape(p, p)) for k, v in flat.items() if v[0] > 0})
+    if model.classes:
+        counts = taught.mapInArrow(_histogram(model), "bin int, quality int").groupBy("bin").agg(*(F.count_if(F.col("quality") == k).alias(f"n{k}") for k in (0, 1))).collect()
+        bins, n0, n1 = (np.array([r[k] for r in counts], float) for k in ("bin", "n0", "n1"))
+        model.temperature = calibrated(np.sinh(bins / BINS), n0, n1)
+    return model
 
 
 def _scores(model: Discriminant):
@@ -212,7 +249,12 @@ def _keep(model: Discriminant):
 def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier, fitted on df's labelled rows, predicts as 1, with all their columns.
 
-    Rows are scored where they are read; only the labelled ones' statistics are shuffled.
+    Rows are scored where they are read; just the labelled ones' texts are shuffled, and their statistics stored. Null
+    and empty texts are scored as texts of length 0, so such rows stay or go like others; ties at 0.5 stay; repeated
+    rows stay or go alike; rows without doc_id are scored too. Without labels of both classes every row stays. An empty
+    table gives an empty result.
     """
     prepare(df.sparkSession)
-    return df.mapInArrow(_keep(fit_quality(stored(features(df), "quality-statistics"), labels)), df.schema)
+    known = labels.where(in_training(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    labelled = documents(df).join(known, "doc_id", "left_semi")
+    return df.mapInArrow(_keep(fit_quality(stored(features(labelled), "quality-statistics"), labels)), df.schema)

@@ -84,3 +84,38 @@ def test_stages_against_brute_force(spark, folder):
     for r in pieces:
         size[r.doc_id] = size.get(r.doc_id, 0) + r.length
     assert size == {r.doc_id: r.doc_tokens for r in pieces} and size.keys() == rows.keys()
+
+
+def edge_tables(spark, d, docs, labels, items):
+    extra = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, quality string, score string, h string"
+    spark.createDataFrame(docs, extra).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+
+def stage_ids(spark, d):
+    """The ids that each stage keeps, and the columns that it returns."""
+    frame, out = spark.read.parquet(f"{d}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = corpus_pipeline.stored(stage(spark, frame, d), "test")
+        assert frame.columns == corpus_pipeline.COLUMNS
+        out.append(sorted((r.doc_id for r in frame.collect()), key=lambda x: (x is not None, x)))
+    return out, corpus_pipeline.STAGES[-1][1](spark, frame, d).collect()
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, no labels of one class, clashing columns, items without words."""
+    passage = prose(12)
+    row = lambda i, t: (i, t, None, None, None, 7, "x", "y", None)
+    long = prose(40_000)
+    docs = [row(5, None), row(3, ""), row(4, long), row(9, long), row(6, "one two"), row(6, "one two"), row(7, "One Two"), row(8, f"a {passage} b"), row(None, "lost"), row(2, "one  two")]
+    edge_tables(spark, str(tmp_path), docs, [(4, 1, 0), (None, 0, 0), (6, None, 0)], [(1, passage), (2, None), (3, "...")])
+    (quality, exact, near, clean), pieces = stage_ids(spark, str(tmp_path))
+    assert quality == [None, 2, 3, 4, 5, 6, 6, 7, 8, 9]
+    assert exact == [2, 3, 4, 7, 8] and near == [2, 3, 4, 8] and clean == [2, 3, 4]
+    assert {r.doc_id for r in pieces} == {2, 3, 4}
+
+
+def test_empty_tables(spark, tmp_path):
+    edge_tables(spark, str(tmp_path), [], [], [])
+    assert stage_ids(spark, str(tmp_path)) == ([[], [], [], []], [])

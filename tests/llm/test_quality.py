@@ -76,3 +76,26 @@ def test_statistics_do_not_depend_on_neighbours():
     for k, t in enumerate(texts):
         assert np.allclose(both[k], statistics(*bytes_of(pa.array([t])))[0])
     assert both.shape == (5, len(NAMES)) and np.isfinite(both).all()
+
+
+def test_temperature_makes_scores_as_sure_as_they_are_right():
+    from terrapix.llm.quality import calibrated
+
+    d = np.array([-40.0, -10.0, 10.0, 40.0])
+    t = calibrated(d, np.array([90.0, 70.0, 30.0, 10.0]), np.array([10.0, 30.0, 70.0, 90.0]))  # right as often as 1 / (1 + exp(-d / 16))
+    assert 10 < t < 25
+    apart = calibrated(d, np.array([50.0, 50.0, 0.0, 0.0]), np.array([0.0, 0.0, 50.0, 50.0]))
+    assert 0.9 < 1 / (1 + np.exp(-10 / apart)) < 0.9999
+
+
+def test_repeated_rows_and_ties(spark):
+    """Rows that repeat score alike and stay or go alike; rows without an id stay or go by their text."""
+    docs, labels = fixture(200)
+    d, y = frames(spark, docs + [docs[40], docs[40], (None, docs[40][1]), (None, docs[41][1])], labels)
+    got = {}
+    for r in score_quality(d, y).collect():
+        got.setdefault(r.doc_id, set()).add(round(r.score, 9))
+    assert None not in got and all(len(x) == 1 for x in got.values())
+    kept = [(r.doc_id, r.text) for r in keep_good(d, y).collect()]
+    assert kept.count((40, docs[40][1])) in (0, 3) and ((None, docs[41][1]) in kept) == ((41, docs[41][1]) in kept)
+    assert len(keep_good(d, y.limit(0)).collect()) == len(docs) + 4 and keep_good(d.limit(0), y).isEmpty()
