@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrapix.llm.common import stored
+from terrapix.llm.common import release, stored
 from terrapix.llm.decontaminate import decontaminate
 from terrapix.llm.exact_dedup import exact_dedup
 from terrapix.llm.near_dedup import near_dedup
@@ -69,8 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder; each but the last is written and read again, then deleted."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
