@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, mix, passes, prepare, stored, words
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, mix, passes, prepare, release, stored, words
 
 #: Columns of shared shingles that two blocks are compared by at once.
 COLUMNS = 8192
@@ -155,7 +155,7 @@ def _sets(k: int):
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that are similar: by sizes, by joint likelihood, then on full shingle sets."""
+    """Of candidate pairs (a, b) those that are similar: by sizes, by joint likelihood, then on full shingle sets. Stored."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ra", "rb")
@@ -164,7 +164,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     sets = stored(docs.join(wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles array<bigint>"), "op6-sets")
     one = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     full = likely.join(one("b"), "b").join(one("a"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return full.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("a as u", "b as v")
+    links = stored(full.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("a as u", "b as v"), "op6-links")
+    release(likely, wanted, sets)
+    return links
 
 
 def _compare(percent: int):
@@ -214,14 +216,16 @@ def _unsettled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Links within each group of members (grp, doc_id, component), found block by block."""
+    """Links within each group of members (grp, doc_id, component), found block by block. Stored."""
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     wanted = stored(members.select("doc_id").distinct(), "op6-wanted")
     sets = stored(docs.join(wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles array<bigint>"), "op6-sets")
     meet = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meet = meet.select("grp", "doc_id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return meet.join(sets, "doc_id").groupBy("grp", "i", "j").applyInArrow(_compare(percent), "u long, v long").distinct()
+    links = stored(meet.join(sets, "doc_id").groupBy("grp", "i", "j").applyInArrow(_compare(percent), "u long, v long").distinct(), "op6-links")
+    release(wanted, sets)
+    return links
 
 
 def near_dedup(df: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -259,9 +263,10 @@ def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int,
 
     banded = reps.mapInArrow(_bands(rows, bands), "key long, doc_id long")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
-    buckets = stored(banded.join(shared, F.col("key") == F.col("key2")).select("key", "doc_id", "c"), "op6-buckets")
-    popular = buckets.groupBy("doc_id").agg(F.sum("c").alias("pop")).join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
-    buckets = stored(buckets.select("key", "doc_id").join(popular, "doc_id"), "op6-popular")
+    crowded = stored(banded.join(shared, F.col("key") == F.col("key2")).select("key", "doc_id", "c"), "op6-buckets")
+    popular = crowded.groupBy("doc_id").agg(F.sum("c").alias("pop")).join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
+    buckets = stored(crowded.select("key", "doc_id").join(popular, "doc_id"), "op6-popular")
+    release(crowded)
 
     # First each bucket's most popular member meets the others.
     best = buckets.groupBy("key").agg(F.max(F.struct("pop", (-F.col("doc_id")).alias("less"), "n")).alias("p"))
@@ -269,7 +274,7 @@ def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int,
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else their sizes rule a link out
     pairs = buckets.join(best, (F.col("key") == F.col("key2")) & (F.col("doc_id") != F.col("pivot")) & near("n", "n2"))
     tested = stored(pairs.selectExpr("least(doc_id, pivot) as a", "greatest(doc_id, pivot) as b").distinct(), "op6-pairs")
-    links = stored(_verified(tested, reps, docs, shingle, percent), "op6-links")
+    links = _verified(tested, reps, docs, shingle, percent)
     comp = stored(components(links, "op6-components"), "op6-components")
 
     # Then what is left of buckets that still hold several components: large ones block by block, small ones by pairs.
@@ -279,15 +284,17 @@ def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int,
     more = []
     if not large.isEmpty():
         groups = large.join(best.select("key2", F.col("pivot").alias("grp")), F.col("key") == F.col("key2")).select("grp", "doc_id", "component").distinct()
-        more.append(stored(_block_links(groups, docs, shingle, percent, block), "op6-links"))
+        more.append(_block_links(groups, docs, shingle, percent, block))
     if not small.isEmpty():
         other = small.select("key", F.col("doc_id").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"))
         cross = small.join(other, "key").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("c2")) & near("n", "n2"))
         cross = cross.select(F.col("doc_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more.append(stored(_verified(stored(cross, "op6-pairs"), reps, docs, shingle, percent), "op6-links"))
-    more = [x for x in more if not x.isEmpty()]
-    if more:
+        cross = stored(cross, "op6-pairs")
+        more.append(_verified(cross, reps, docs, shingle, percent))
+        release(cross)
+    if any(not x.isEmpty() for x in more):
         comp = stored(components(reduce(DataFrame.unionByName, more, links), "op6-components"), "op6-components")
+    release(classes, reps, buckets, best, tested, rest, links, *more)
     final = member.join(comp.selectExpr("node as rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
