@@ -111,6 +111,17 @@ class Rolling:
         return mix(times(total, self.inverse[start]) + (end - start).astype(np.uint64) * MIX2)
 
 
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges in order, neither starts nor ends falling; taken together some PASS_BYTES at a time."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + PASS_BYTES)))
+        out[i:j] = Rolling(raw[a : ends[j - 1]]).ranges(starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive keys (block prefix and suffix minima)."""
     n = len(keys) - w + 1

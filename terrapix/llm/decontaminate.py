@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Rolling, bytes_of, documents, merged, passes, prepare, stored, words
+from .common import ALNUM, LOWER, bytes_of, documents, merged, passes, prepare, stored, words
+from .common import hashes as hashes_of
 
 #: Words of a window, bytes of text in a shard, bytes of benchmark text held at once, every how many positions are kept.
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 4 << 20, 8
@@ -106,7 +107,7 @@ class Windows:
                 found.setdefault(tuple(w[p : p + window]), set()).add(k)
         blob, sizes = b"".join(vocabulary), np.array([len(x) for x in vocabulary], np.int64)
         ends = np.cumsum(sizes)
-        hashes = Rolling(np.frombuffer(blob, np.uint8)).ranges(ends - sizes, ends) if len(sizes) else np.zeros(0, np.uint64)
+        hashes = hashes_of(np.frombuffer(blob, np.uint8), ends - sizes, ends)
         order = np.argsort(hashes)
         self.blob, self.begin, self.size = np.frombuffer(blob, np.uint8), (ends - sizes)[order], sizes[order]
         self.hashes, self.symbols = hashes[order], (order + 2).astype(np.int64)  # 0 ends the sequence, 1 separates
@@ -140,7 +141,7 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nda
     out = n_words, np.zeros(n_rows, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, 3), np.int64)
     if not len(starts) or not len(w.hashes):
         return out
-    h = Rolling(low).ranges(starts, ends)
+    h = hashes_of(low, starts, ends)
     at = np.minimum(np.searchsorted(w.hashes, h), len(w.hashes) - 1)
     known = (w.hashes[at] == h) & (w.size[at] == ends - starts)
     while True:  # hashes only find words; those of a stretch are compared by their bytes

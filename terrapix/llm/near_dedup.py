@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, mix, passes, prepare, release, stored, words
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, bytes_of, documents, hashes, mix, passes, prepare, release, stored, words
 
 #: Columns of shared shingles that two blocks are compared by at once.
 COLUMNS = 8192
@@ -44,7 +44,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
     starts, ends, rows = words(low, offsets, NOT_SPACE)
     if not len(starts):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    w = Rolling(low).ranges(starts, ends)
+    w = hashes(low, starts, ends)
     h = w.copy()
     for j in range(1, min(k, len(w))):
         h[: len(w) - j] = mix(h[: len(w) - j] * MIX2 + w[j:])

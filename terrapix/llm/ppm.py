@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, mix, passes, prepare, release, stored, words
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, hashes, mix, passes, prepare, release, stored, words
 
 ORDER, BLOCK_BYTES, HELD = 4, 16 << 20, 200_000
 #: A cut follows one in so many pairs of words.
@@ -61,8 +61,7 @@ def word_keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Keys of words (A-Z in lower case) and the row of each."""
     low = LOWER[raw]
     starts, ends, rows = words(low, offsets, NOT_SPACE)
-    h = Rolling(low).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return (h >> np.uint64(3)).view(np.int64) | WORD_KEY, rows
+    return (hashes(low, starts, ends) >> np.uint64(3)).view(np.int64) | WORD_KEY, rows
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, MIX2, NOT_SPACE, Rolling, bytes_of, documents, merged, mix, passes, prepare, release, sliding_min, stored, words
+from .common import LOWER, MIX1, MIX2, NOT_SPACE, bytes_of, documents, hashes, merged, mix, passes, prepare, release, sliding_min, stored, words
 
 LENGTH, GRAM, BLOCK, SHALLOW = 400, 64, 8192, 32
 #: Words of a passage, words of its anchors, and bytes that stand for a word.
@@ -258,8 +258,7 @@ def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """One number for each word, A-Z in lower case, and the offsets of the rows among them."""
     low = LOWER[raw]
     starts, ends, rows = words(low, offsets, NOT_SPACE)
-    codes = Rolling(low).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return codes, np.searchsorted(rows, np.arange(len(offsets)))
+    return hashes(low, starts, ends), np.searchsorted(rows, np.arange(len(offsets)))
 
 
 def _runs(length: int, gram: int, passage: int):
