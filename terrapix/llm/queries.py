@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate, digest
 from .exact_dedup import exact_dedup
 from .html_text import html_text
+from .licenses import digest as license_digest
+from .licenses import scan_licenses
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import digest as pii_digest
@@ -85,6 +87,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
