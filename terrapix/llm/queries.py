@@ -16,6 +16,7 @@ from .packing import pack
 from .pii import digest as pii_digest
 from .pii import find_pii
 from .ppm import ppm_score
+from .prefix_trie import conversation_trie
 from .quality import score_quality
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -92,6 +93,43 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of decimal text: a byte is mixed in, then eight shifts follow.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({}, ''), lambda x: list_concat([ord(x)::bigint], [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))), "
+    "lambda c, o: case when o >= 0 then xor(c, o) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295::bigint)"
+)
+ORACLE["op12_prefix_trie"] = f"""
+with own as (
+  select conv_id, n_bytes, t, row_number() over (partition by conv_id order by turn nulls first, t[:32]) as pos
+  from (select conv_id, turn, strlen(coalesce(text, '')) as n_bytes, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as t from conversations where conv_id is not null)
+),
+ids as (select conv_id, conv_id - conv_id % 5 as source, {_CRC.format("conv_id::varchar")} % 9 as h from (select distinct conv_id from own)),
+built as (
+  select i.conv_id, o.pos, o.t, o.n_bytes from ids i join own o on o.conv_id = i.source and o.pos <= i.h
+  union all select i.conv_id, o.pos, o.t, o.n_bytes from ids i join own o on o.conv_id = i.conv_id and o.pos > i.h
+),
+placed as (select conv_id, t, n_bytes, row_number() over (partition by conv_id order by pos) as depth from built),
+path as (
+  select conv_id, depth, n_bytes, string_agg(t, '') over (partition by conv_id order by depth rows unbounded preceding) as k from placed
+  union all select conv_id, 0, 0, '' from ids
+),
+node as (select k, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n_bytes) as n_bytes from path group by k),
+ends as (select k, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as e from (select conv_id, max_by(k, depth) as k from path group by conv_id) group by k),
+child as (select k[: greatest(64 * (depth - 1), 0)] as k, count(*) as n from node where depth > 0 group by all),
+below as (
+  select p.k, count(*) filter (where c.n is null) as n_leaves, sum((q.n_convs - 1) * q.n_bytes) as saved
+  from node q join path p on p.conv_id = q.conv_id and p.depth <= q.depth left join child c on c.k = q.k group by p.k
+)
+select n.conv_id, cast(n.depth as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, coalesce(e.e, sha256('')) as ends_sha256
+from node n left join node u on n.depth > 0 and u.k = n.k[: greatest(64 * (n.depth - 1), 0)] left join child c on c.k = n.k join below b on b.k = n.k left join ends e on e.k = n.k
+"""
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
