@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .licenses import digest as license_digest
 from .licenses import scan_licenses
+from .merkle import manifest
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import digest as pii_digest
@@ -130,6 +131,45 @@ from node n left join node u on n.depth > 0 and u.k = n.k[: greatest(64 * (n.dep
 """
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def _enc(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in columns)
+
+
+ORACLE["op13_merkle_manifest"] = f"""
+with recursive leaf as (
+  select doc_id, lang, sha256({_enc("doc_id", "source", "lang", "n_chars", "text")}) as leaf,
+    case when doc_id is not null and {_CRC.format("doc_id::varchar")} % 7 = 0 then sha256({_enc("doc_id", "source", "lang", "(n_chars + 1)", "text")}) else sha256({_enc("doc_id", "source", "lang", "n_chars", "text")}) end as bad
+  from documents
+),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaf),
+up as (
+  select lang, 0 as l, i, n, leaf as d from placed
+  union all select lang, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' order by i)) from up where n > 1 group by lang, l, i // 2, n
+),
+sub as (select lang, d, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as l, i, n, d from sub
+  union all select l + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' order by i)) from top where n > 1 group by l, i // 2, n
+),
+low as (
+  select doc_id, lang, leaf, 0 as l, i, n, bad as x, '' as proof from placed
+  union all select f.doc_id, f.lang, f.leaf, f.l + 1, f.i // 2, (f.n + 1) // 2, sha256(case when s.d is null then x when f.i % 2 = 0 then x || s.d else s.d || x end), proof || coalesce(s.d, '')
+  from low f left join up s on s.lang is not distinct from f.lang and s.l = f.l and s.i = xor(f.i, 1) where f.n > 1
+),
+high as (
+  select f.doc_id, f.leaf, s.d as subroot, 0 as l, s.i, s.n, f.x, f.proof from low f join sub s on s.lang is not distinct from f.lang where f.n = 1
+  union all select f.doc_id, f.leaf, f.subroot, f.l + 1, f.i // 2, (f.n + 1) // 2, sha256(case when s.d is null then x when f.i % 2 = 0 then x || s.d else s.d || x end), proof || coalesce(s.d, '')
+  from high f left join top s on s.l = f.l and s.i = xor(f.i, 1) where f.n > 1
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, x as folded_root, x = root as verified from high, (select d as root from top where n = 1) where n = 1
+"""
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
