@@ -1,6 +1,6 @@
 """Merkle manifest of a dataset: leaves by bitmap ranks, levels by keyed slot arrays, proofs from the root down.
 
-Every task turns the doc_ids it reads into compressed bitmaps, one for each group and 65,536 ids; those of one range are
+Every task turns the doc_ids it reads into compressed bitmaps, one for each group and 4,096 ids; those of one range are
 merged, and popcount directories answer how many ids come before any. Together with the totals of earlier ranges that is a
 leaf's coordinate, so leaves are never sorted. Leaves then meet in blocks of 2^bits coordinates, each scattered into a slot
 array that is reduced level by level to one node; blocks of blocks follow until one node is left. Proofs go the other way: a
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import prepare, release, stored
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Bits of a doc_id that tell its place in a bitmap, and that bitmap's values.
+LOW, WIDTH = 12, 1 << 12
 #: Rows that a task turns into bitmaps at once, leaves of a range that meet in one task, and rows of a result's batch.
 HELD, MEET, BATCH = 1 << 18, 1 << 18, 1 << 13
 
@@ -39,26 +41,26 @@ def leaves(df: DataFrame, every: int = 7) -> DataFrame:
     """(g, doc_id, hi, lo, leaf, bad): every row's digest, and that of a tampered row where unsigned crc32 of doc_id is divisible by `every`.
 
     g is the lang with a mark before it, so that null is a group of its own and comes first; hi and lo are the doc_id's
-    upper bits and its last 16. A null doc_id is one value before all others.
+    upper bits and its last 12. A null doc_id is one value before all others.
     """
     c = {k: F.col(k) for k in COLUMNS}
     digest = lambda v: F.unhex(F.sha2(F.concat(*(encoded(v[k]) for k in COLUMNS)), 256))
     odd = (F.crc32(c["doc_id"].cast("string")) % every == 0) & c["n_chars"].isNotNull()
     i = c["doc_id"].cast("long")
-    hi = F.coalesce(F.shiftright(i, 16), F.lit(-(1 << 47) - 1))
-    lo = F.coalesce(i.bitwiseAND(0xFFFF), F.lit(0)).cast("int")
+    hi = F.coalesce(F.shiftright(i, LOW), F.lit(-(1 << 63 - LOW) - 1))
+    lo = F.coalesce(i.bitwiseAND(WIDTH - 1), F.lit(0)).cast("int")
     group = F.coalesce(F.concat(F.lit("1"), c["lang"]), F.lit("0"))
     return df.select(group.alias("g"), i.alias("doc_id"), hi.alias("hi"), lo.alias("lo"), digest(c).alias("leaf"), F.when(odd, digest(c | {"n_chars": c["n_chars"].cast("decimal(20,0)") + 1})).alias("bad"))
 
 
 class Bitmap:
-    """Up to 65,536 values of 16 bits, with a directory of the bits before each word.
+    """Up to 4,096 values of 12 bits, with a directory of the bits before each word.
 
-    Packed it is the array of values where they are fewer than 4096, else the 8 KB of bits.
+    Packed it is the array of values where that is shorter than the bits, else the 512 bytes of bits.
     """
 
     def __init__(self, values: np.ndarray):
-        bits = np.zeros(1 << 16, np.uint8)
+        bits = np.zeros(WIDTH, np.uint8)
         bits[values] = 1
         self.words = np.packbits(bits, bitorder="little").view(np.uint64)
         self.directory = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
@@ -70,15 +72,15 @@ class Bitmap:
 
 
 def packed(values: np.ndarray) -> bytes:
-    if len(values) < 4096:
+    if len(values) < WIDTH // 16:
         return values.astype(np.uint16).tobytes()
-    bits = np.zeros(1 << 16, np.uint8)
+    bits = np.zeros(WIDTH, np.uint8)
     bits[values] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    if len(data) < 8192:
+    if len(data) < WIDTH // 8:
         return np.frombuffer(data, np.uint16).astype(np.int64)
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"))
 
@@ -86,14 +88,14 @@ def unpacked(data: bytes) -> np.ndarray:
 def repeats(values: np.ndarray, counts: np.ndarray) -> bytes:
     """Values that come more than once, with how often more."""
     some = counts > 1
-    return ((counts[some] - 1) << 16 | values[some]).astype(np.int64).tobytes()
+    return ((counts[some] - 1) << LOW | values[some]).astype(np.int64).tobytes()
 
 
 def counted(data: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Values and their counts."""
     values = unpacked(data)
     counts, extra = np.ones(len(values), np.int64), np.frombuffer(more, np.int64)
-    counts[np.searchsorted(values, extra & 0xFFFF)] += extra >> 16
+    counts[np.searchsorted(values, extra & (WIDTH - 1))] += extra >> LOW
     return values, counts
 
 
@@ -248,7 +250,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
 def coordinates(rows: DataFrame, meet: int = MEET) -> DataFrame:
     """(g, i, total, doc_id, leaf, bad): leaves with their place in their group, by doc_id; rows that repeat an id by their leaves.
 
-    A range of ids has 65,536 rows at most unless ids repeat; one of more than `meet` rows is dealt to several tasks,
+    A range of ids has 4,096 rows at most unless ids repeat; one of more than `meet` rows is dealt to several tasks,
     each of which gets its bitmap.
     """
     maps = stored(bitmaps(rows), "op13-ranges")

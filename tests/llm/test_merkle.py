@@ -98,14 +98,14 @@ def test_just_the_tampered_fail(spark):
     assert {k for k, ok in got.items() if not ok} == {k for k in got if zlib.crc32(str(k).encode()) % 7 == 0 and k % 10}
 
 
-@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 30_000, 65_536])
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 3000, 4096])
 def test_bitmaps(n):
     rng = np.random.default_rng(n)
-    values = np.sort(rng.choice(65_536, n, replace=False))
+    values = np.sort(rng.choice(4096, n, replace=False))
     counts = rng.integers(1, 4, n)
-    assert (unpacked(packed(values)) == values).all() and len(packed(values)) <= 8192
+    assert (unpacked(packed(values)) == values).all() and len(packed(values)) <= 512
     assert all((a == b).all() for a, b in zip(counted(packed(values), repeats(values, counts)), (values, counts), strict=True))
-    some = rng.integers(0, 65_536, 1000)
+    some = rng.integers(0, 4096, 1000)
     assert (Bitmap(values).rank(some) == np.searchsorted(values, some)).all()
 
 
