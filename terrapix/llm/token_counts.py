@@ -2,11 +2,12 @@
 
 Pre-tokens that a task hasn't met yet are held together as one ragged array of symbols. Every round applies to each
 sequence its own lowest-rank pair, wherever it stands, to all sequences at once; a sequence without a mergeable pair
-leaves with the count of its symbols.
+leaves with the count of its symbols. Long sequences share rounds of one rank each, which touch only what changes.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from .common import bytes_of, documents, prepare
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pre-tokens whose counts a task remembers, and bytes of new ones that it merges together.
 REMEMBERED, TOGETHER = 500_000, 1 << 20
+#: Bytes past which a pre-token takes its ranks one by one, as rounds over all its symbols would cost their square.
+LONG = 96
 
 
 def byte_letters() -> list[str]:
@@ -74,11 +77,23 @@ class RankMerger:
     def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that are left of non-empty pre-tokens, one after the other, and how many of each."""
         sizes = np.array([len(t) for t in tokens], np.int64)
+        parts = [f(np.flatnonzero(own), [tokens[k] for k in np.flatnonzero(own).tolist()]) for f, own in ((self._together, sizes <= LONG), (self._by_rank, sizes > LONG)) if own.any()]
+        if not parts:
+            return np.zeros(0, np.int64), sizes
+        seq, symbols = (np.concatenate(x) for x in zip(*parts))
+        return symbols[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(tokens))
+
+    def _letters(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first symbols of pre-tokens as one ragged array, where each ends, and which each symbol is of."""
+        sizes = np.array([len(t) for t in tokens], np.int64)
         raw = np.frombuffer(b"".join(tokens), np.uint8)
-        symbols = self.first[raw]
-        ends = np.cumsum(sizes) - 1
+        symbols, ends = self.first[raw], np.cumsum(sizes) - 1
         symbols[ends] = self.last[raw[ends]]
-        seq = np.repeat(np.arange(len(tokens)), sizes)
+        return symbols, ends, np.repeat(np.arange(len(tokens)), sizes)
+
+    def _together(self, names: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds in which every sequence applies its own lowest rank; each looks at all symbols that are left."""
+        symbols, _, seq = self._letters(tokens)
         none, over = len(self.keys), []
         while len(symbols):
             together = seq[1:] == seq[:-1]
@@ -102,10 +117,64 @@ class RankMerger:
             stay = ~done
             stay[1:] &= ~hit[:-1]
             symbols, seq = symbols[stay], seq[stay]
-        if not over:
-            return symbols, sizes
         seq, symbols = (np.concatenate(x) for x in zip(*over))
-        return symbols[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(tokens))
+        return names[seq], symbols
+
+    def _by_rank(self, names: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """One round for each rank, from the lowest, over the places of that rank in all sequences.
+
+        A round touches what it merges and the neighbours of that alone, so n symbols cost n log n whatever their
+        sequences' lengths. Places wait under their rank; one whose pair has changed since is passed over.
+        """
+        symbols, ends, seq = self._letters(tokens)
+        n, none = len(symbols), len(self.keys)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        after[ends] = n
+        before[np.append(0, ends[:-1] + 1)] = -1
+        rank, waiting, heap = np.full(n, none), {}, []
+        made = np.zeros(none, np.int64)
+        made[self.rank] = self.made
+
+        def enter(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            found, at = self.find((symbols[places] << 32) | symbols[after[places]])
+            places, own = places[found], self.rank[at[found]]
+            rank[places] = own
+            order = np.argsort(own, kind="stable")
+            places, own = places[order], own[order]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for k, some in zip(own[np.append(0, cuts)].tolist() if len(own) else (), np.split(places, cuts)):
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(heap, k)
+                waiting[k].append(some)
+
+        enter(np.arange(n))
+        while heap:
+            now = heapq.heappop(heap)
+            some = waiting.pop(now)
+            first = np.unique(np.concatenate(some)) if len(some) > 1 else np.sort(some[0])
+            first = first[alive[first] & (rank[first] == now)]
+            if not len(first):
+                continue
+            second = after[first]
+            chained = np.append(False, second[:-1] == first[1:])
+            if chained.any():
+                begin = np.flatnonzero(~chained)
+                place = np.arange(len(first))
+                keep = (place - begin[np.searchsorted(begin, place, "right") - 1]) % 2 == 0
+                first, second = first[keep], second[keep]
+            symbols[first] = made[now]
+            alive[second] = False
+            rank[first] = rank[second] = none
+            third = after[second]
+            after[first] = third
+            before[third[third < n]] = first[third < n]
+            left = before[first]
+            left = left[left >= 0]
+            rank[left] = none
+            enter(np.unique(np.concatenate([left, first])))
+        return names[seq[alive]], symbols[alive]
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         return self.merge(tokens)[1]
@@ -175,7 +244,7 @@ def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every document; nothing is shuffled.
 
     tokenizer: a byte-level BPE file of public_tokenizers. Null and empty texts have 0 tokens; repeated rows count
-    each; a text without white space is one long sequence and merges like the others. An empty table gives an empty
+    each; a text without white space is one long sequence, whose time grows with n log n. An empty table gives an empty
     result; other columns are ignored. Rows without doc_id are left out.
     """
     prepare(df.sparkSession)

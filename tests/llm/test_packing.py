@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -24,6 +25,16 @@ def want_ids(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
 
 
+def test_long_pre_tokens():
+    """Texts without white space have the library's ids and take a time that follows their length."""
+    rnd = random.Random(11)
+    every = ["".join(rnd.choices(letters, k=n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 200_000), ("ab", 3000), ("acgt", 9000), ("éñß", 700), ("etaoin", 97))] + ["a" * 2001, "=" * 999]
+    tokenizer, began = Tokenizer.from_file(PATH), time.process_time()
+    got = Encoder(PATH)(*bytes_of(pa.array(every)))
+    assert time.process_time() - began < 15
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in every]
+
+
 def test_ids_are_the_librarys():
     rnd = random.Random(5)
     bits = ["'", "s", "re", "ll", "d", "x", "É", "é", "ß", "1", "½", "²", " ", "\u00a0", "\u2028", "!", "<|", "日", "😀", "\u0301", "İ", "Σ", "\0", "\x1c", "Ⅷ", "longerthansixteenbytes"]
