@@ -67,6 +67,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(s: str) -> bool:
+    """Whether digits, of whatever length, are a number of at most 255."""
+    s = s.lstrip("0")
+    return len(s) < 3 or len(s) == 3 and s <= "255"
+
+
 def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -85,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in DOTTED.finditer(text):
-        if all(len(x) < 4000 and int(x) <= 255 for x in m[0].split(".")):
+        if all(octet(x) for x in m[0].split(".")):
             found.append((IP, m.start(), m.end()))
     for m in DIGITS.finditer(text):
         if m.end() - m.start() >= 16:
@@ -188,7 +194,7 @@ def code_of(text: str, kind: int, s: int, e: int) -> int:
     return (out * 8 + length) * 4 + share
 
 
-SIZE = len(KINDS) * 3**LABELERS * 32
+SIZE = len(KINDS) * 3**LABELERS * 32  # 85,536
 
 
 def decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,9 +279,11 @@ def find_pii(df: DataFrame) -> DataFrame:
     w = train(codes, weight)
     kind = decode(codes)[0] if len(codes) else codes
     good = codes[(kind > PHONE) & (design(codes) @ w >= 0)] if len(codes) else codes
-    accepted = F.array(*(F.lit(int(c)) for c in sorted(good.tolist()))) if len(good) else F.array().cast("array<int>")
+    bits = np.zeros(SIZE + 63, np.uint8)  # a bit for each code, whatever is accepted
+    bits[good] = 1
+    accepted = F.lit(np.packbits(bits[: len(bits) // 64 * 64], bitorder="little").view(np.int64).tolist())
     bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    added = F.filter("loose", lambda x: F.array_contains(accepted, x["code"]))
+    added = F.filter("loose", lambda x: F.getbit(F.get(accepted, F.shiftright(x["code"], 6)), x["code"].bitwiseAND(63)) == 1)
     return found.select("doc_id", bare("base").alias("base"), bare(F.concat("base", added)).alias("spans"))
 
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from terrapix.llm.pii import LABELERS, NO, SILENT, YES, base_spans, digest, estimate, find_pii, luhn
+from terrapix.llm.pii import IP, LABELERS, NO, SILENT, YES, base_spans, digest, estimate, find_pii, luhn
 
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -33,6 +33,12 @@ def texts():
     return some
 
 
+def test_addresses_with_very_many_digits():
+    for part, good in (("0" * 5000 + "1", True), ("0" * 5000 + "255", True), ("0" * 5000 + "256", False), ("1" * 5000, False), ("0" * 5000, True)):
+        text = f"at {part}.2.3.4 now"
+        assert [(k, s, e) for k, s, e in base_spans(text) if k == IP] == ([(IP, 3, len(text) - 4)] if good else [])
+
+
 def test_base_spans_against_patterns():
     names = ("email", "ip", "card", "phone")
     for t in texts():
