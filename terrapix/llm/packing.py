@@ -361,6 +361,6 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
     docs = documents(df)
     size = docs.agg(F.sum(F.octet_length("text")).alias("s"), F.count("*").alias("n")).first()
     shards = int(-(-((size.s or 0) + 16 * size.n) // shard_bytes)) or 1
-    placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))  # rows that repeat an id part by text
     ids = placed.mapInArrow(_encode(tokenizer, window), "doc_id long, shard long, doc_tokens long, full array<long>, rest binary")
     return ids.groupBy("shard").applyInArrow(_pack(window), PIECES)
