@@ -260,40 +260,6 @@ class Lookup:
         return self.values[at]
 
 
-def own_counts(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each key stands in its row, and whether it stands there for the first time."""
-    order = np.lexsort((keys, rows))
-    r, k = rows[order], keys[order]
-    first = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))[: len(r)]
-    at = np.flatnonzero(first)
-    counts, new = np.zeros(len(r), np.int64), np.zeros(len(r), bool)
-    counts[order] = np.repeat(np.diff(np.append(at, len(r))), np.diff(np.append(at, len(r))))
-    new[order[at]] = True
-    return counts, new
-
-
-def segment_scores(
-    rows: np.ndarray, train: np.ndarray, seg: np.ndarray, pair: np.ndarray, counts: np.ndarray, pair_counts: np.ndarray, by_bytes: np.ndarray, total: int, kinds: int
-) -> np.ndarray:
-    """log10 probability of every segment.
-
-    counts, pair_counts: in training, of each segment and of it after the one before. by_bytes: its score byte by byte.
-    total, kinds: segments of training, distinct ones. What a training row brought itself is taken out.
-    """
-    own, new = own_counts(rows, seg)
-    own_pairs, _ = own_counts(rows, pair)
-    mine = train[rows]
-    c0, c1 = counts - own * mine, pair_counts - own_pairs * mine
-    n1 = np.append(0, c0[:-1])[: len(c0)] * (pair != 0)
-    size = np.bincount(rows, minlength=len(train))
-    alone = np.bincount(rows, new & mine & (c0 == 0), len(train)).astype(np.int64)
-    q0, n0 = (kinds - alone * train)[rows], (total - size * train)[rows]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(n1 > 0, np.where(c1 > 0, np.log10(np.maximum(c1, 1) / (n1 + 1)), -np.log10(n1 + 1.0)), 0.0)
-        zero = np.where(c0 > 0, np.log10(np.maximum(c0, 1) / (n0 + q0)), np.where(n0 > 0, np.log10(q0 / (n0 + q0)), 0.0) + by_bytes)
-    return np.where((n1 > 0) & (c1 > 0), out, out + zero)
-
-
 def _totals(batches):
     """Over (block, key, n) in order of key: (block, key, sum of n) of keys that several blocks hold.
 
