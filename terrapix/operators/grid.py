@@ -99,21 +99,18 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "x", y: str =
     return candidates(points, polygons, x, y, cell).where(inside).drop("minx", "maxx", "miny", "maxy")
 
 
+def spatial_join_left(points: DataFrame, polygons: DataFrame, unique: list[str], x: str = "x", y: str = "y", cell: float = 16.0) -> DataFrame:
+    """As spatial_join, with points in no polygon kept once, without one."""
+    hits = spatial_join(points.select(*dict.fromkeys([*unique, x, y])), polygons, x, y, cell).drop(*({x, y} - set(unique)))
+    return points.join(hits, unique, "left")
+
+
 def clip(points: DataFrame, polygons: DataFrame, unique: list[str], x: str = "x", y: str = "y", invert: bool = False) -> DataFrame:
     """Points in any polygon, or in none."""
     hit = spatial_join(points.select(*unique, x, y) if {x, y}.isdisjoint(unique) else points.select(*{*unique, x, y}), polygons, x, y).select(*unique).distinct()
     return points.join(hit, unique, "left_anti" if invert else "left_semi")
 
 
-def rasterise(polygons: DataFrame, value: str, order: str, cell: float = 16.0) -> DataFrame:
-    """(row, col, value) of the cells whose centre lies in a polygon; where several do, the one later in order wins."""
-    b = with_bounds(polygons)
-    span = lambda lo, hi: F.sequence(F.floor(lo).cast("long"), F.ceil(hi).cast("long") - 1)
-    cells = b.withColumn("row", F.explode(span(F.col("miny"), F.col("maxy")))).withColumn("col", F.explode(span(F.col("minx"), F.col("maxx"))))
-    inside = cells.where(in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("ring")))
-    return inside.groupBy("row", "col").agg(F.max_by(value, order).alias(value))
-
-
 def downsample(df: DataFrame, factor: int, bands: list[str]) -> DataFrame:
     """Mean of `factor` x `factor` cells, nulls left out."""
     by = [F.floor(F.col(k) / factor).cast("long").alias(k) for k in ("row", "col")]
@@ -179,8 +176,7 @@ def equalise_tiles(df: DataFrame, value: str, tile: int, levels: int = 256, clip
 
 def augment(df: DataFrame, size: int, seed: int, keys: list[str], bands: list[str]) -> DataFrame:
     """Each patch flipped or not and made lighter or darker by a draw that its key and the seed fix; clipped to [0, 1]."""
-    draw = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}{salt}"), *keys)), 1, 6), 16, 10).cast("double") / (16**6)
-    flip, delta = draw("f") < 0.5, draw("b") - 0.5
+    flip, delta = draw(seed, "f", keys) < 0.5, draw(seed, "b", keys) - 0.5
     return df.withColumns({"pc": F.when(flip, size - 1 - F.col("pc")).otherwise(F.col("pc")), **{b: F.least(F.greatest(F.col(b) + delta, F.lit(0.0)), F.lit(1.0)) for b in bands}})
 
 
@@ -197,3 +193,50 @@ def laea_europe(lon: Column, lat: Column) -> tuple[Column, Column]:
     beta, dl = F.asin(q / qp), F.radians(lon) - lon0
     b = rq * F.sqrt(2 / (1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(dl)))
     return 4321000.0 + b * dd * F.cos(beta) * F.sin(dl), 3210000.0 + b / dd * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(dl))
+
+
+def resample(df: DataFrame, band: str, height: int, width: int, a: float, c: float, e: float, f: float, method: str = "bilinear") -> DataFrame:
+    """(row, col, band) on any grid: target cell (row, col) has its centre at x = c + a (col + 0.5), y = f + e (row + 0.5).
+
+    x and y are in cells of the source. nearest: the value of the cell that the centre lies in. bilinear: the four source
+    cells round the centre, weighted by how near their centres are; those that are missing or null have no weight. Either
+    way the cell that the centre lies in must exist and have a value, so the source's outline is kept. Target cells are
+    made in parallel, and each meets its source cells in one equi-join.
+    """
+    cells = df.sparkSession.range(height * width).select((F.col("id") / width).cast("long").alias("r"), (F.col("id") % width).alias("k"))
+    x, y = F.lit(c) + F.lit(a) * (F.col("k") + 0.5), F.lit(f) + F.lit(e) * (F.col("r") + 0.5)
+    own = cells.withColumns({"x": x, "y": y}).withColumns({"r0": F.floor("y").cast("long"), "c0": F.floor("x").cast("long")})
+    source = df.where(F.col(band).isNotNull()).select("row", "col", band)
+    if method == "nearest":
+        return own.select("r", "k", F.col("r0").alias("row"), F.col("c0").alias("col")).join(source, ["row", "col"]).select(F.col("r").alias("row"), F.col("k").alias("col"), band)
+    if method != "bilinear":
+        raise ValueError(method)
+    first = own.withColumns({"r1": F.floor(F.col("y") - 0.5).cast("long"), "c1": F.floor(F.col("x") - 0.5).cast("long")})
+    four = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+    near = first.withColumn("n", F.explode(four)).withColumns({"row": F.col("r1") + F.col("n.i"), "col": F.col("c1") + F.col("n.j")})
+    weight = (1 - F.abs(F.col("y") - 0.5 - F.col("row"))) * (1 - F.abs(F.col("x") - 0.5 - F.col("col")))
+    near = near.withColumns({"w": weight, "is_own": (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))})
+    made = near.join(source, ["row", "col"]).groupBy("r", "k").agg(F.try_divide(F.sum(F.col(band) * F.col("w")), F.sum("w")).alias(band), F.bool_or("is_own").alias("within"))
+    return made.where("within").select(F.col("r").alias("row"), F.col("k").alias("col"), band)
+
+
+def draw(seed: int, salt: str, keys: list[str]) -> Column:
+    """A number in [0, 1) that follows from the seed, a salt and a patch's key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}{salt}"), *keys)), 1, 6), 16, 10).cast("double") / (16**6)
+
+
+def random_crop(df: DataFrame, size: int, pad: int, seed: int, keys: list[str], bands: list[str], fill: float = 0.0) -> DataFrame:
+    """Each patch padded by `pad` cells on every side and cut to its size again at a place that its key and the seed draw.
+
+    df: keys, pr and pc (0 ... size - 1) and bands, image and mask alike, which are shifted together. The result has all
+    size * size cells of each patch; those from the padding, or missing in the patch, have `fill`. A null band of a
+    cell that is there stays null.
+    """
+    shift = lambda salt: (F.floor(draw(seed, salt, keys) * (2 * pad + 1)) - pad).cast("int")
+    moves = df.select(*keys).distinct().withColumns({"dy": shift("y"), "dx": shift("x")})
+    line = F.sequence(F.lit(0), F.lit(size - 1))
+    frame = moves.withColumn("pr", F.explode(line)).withColumn("pc", F.explode(line))
+    inner = df.select(*keys, F.col("pr").alias("sr"), F.col("pc").alias("sc"), F.lit(True).alias("there"), *bands)
+    wide = frame.withColumns({"sr": (F.col("pr") + F.col("dy")).cast("int"), "sc": (F.col("pc") + F.col("dx")).cast("int")})
+    out = wide.join(inner, [*keys, "sr", "sc"], "left")
+    return out.select(*keys, "pr", "pc", *(F.when(F.col("there"), F.col(b)).otherwise(F.lit(fill)).alias(b) for b in bands))

@@ -77,7 +77,12 @@ def filter_bbox(spark, d):
 
 @query("spatial_join", sql(f"select point_id, poly_id, label from pts, polys where {INSIDE.format(x='x', y='y')}", "pts", "polys"))
 def spatial_join(spark, d):
-    return grid.spatial_join(pts(spark, d), polys(spark, d)).select("point_id", "poly_id", "label")
+    return grid.spatial_join(pts(spark, d), polys(spark, d), cell=4.0).select("point_id", "poly_id", "label")
+
+
+@query("spatial_join_left", sql(f"select a.point_id, b.poly_id from pts a left join (select point_id, poly_id from pts, polys where {INSIDE.format(x='x', y='y')}) b on a.point_id = b.point_id", "pts", "polys"))
+def spatial_join_left(spark, d):
+    return grid.spatial_join_left(pts(spark, d).select("point_id", "x", "y"), polys(spark, d), ["point_id"], cell=4.0).select("point_id", "poly_id")
 
 
 @query("filter_in_polygon", sql(f"select point_id, x, y from pts p where exists (select 1 from polys where {INSIDE.format(x='p.x', y='p.y')})", "pts", "polys"))
@@ -90,12 +95,6 @@ def filter_out_of_polygon(spark, d):
     return grid.clip(pts(spark, d), polys(spark, d), ["point_id"], invert=True).select("point_id", "x", "y")
 
 
-@query("rasterize_polygons", sql(f"select x.row, x.col, coalesce(p.poly_id, 0) as int_class from px x left join (select row, col, max(poly_id) as poly_id from px, polys where {INSIDE.format(x='(col + 0.5::double)', y='(row + 0.5::double)')} group by all) p on p.row = x.row and p.col = x.col", "px", "polys"))
-def rasterize_polygons(spark, d):
-    burnt = grid.rasterise(polys(spark, d).withColumn("int_class", F.col("poly_id")), "int_class", "poly_id")
-    return px(spark, d).select("row", "col").join(burnt, ["row", "col"], "left").select("row", "col", F.coalesce("int_class", F.lit(0)).alias("int_class"))
-
-
 @query("patches_with_label", sql("select row, col, b1 from px where exists (select 1 from px q where q.row // 10 = px.row // 10 and q.col // 10 = px.col // 10 and q.b2 > 98)", "px"))
 def patches_with_label(spark, d):
     tiled = grid.assign_tiles(px(spark, d), 10)
@@ -135,6 +134,34 @@ def resample_bilinear(spark, d):
     return grid.bilinear(spec(spark, d), "b1", 2).select("row", "col", F.round("b1", 6).alias("b1"))
 
 
+#: A finer, shifted grid over spec: cells of two thirds, which begin 0.4 and 0.3 cells off.
+_GRID = "t as (select r, k, 0.3::double + 2.0::double / 3 * (k + 0.5::double) as x, 0.4::double + 2.0::double / 3 * (r + 0.5::double) as y from (select unnest(range(0, (select cast((max(row) + 1) * 3 / 2 as bigint) from spec))) as r), (select unnest(range(0, 38)) as k))"
+
+
+def _target(spark, d):
+    rows = spec(spark, d).agg(F.max("row")).first()[0]
+    return {"height": (rows + 1) * 3 // 2, "width": 38, "a": 2.0 / 3, "c": 0.3, "e": 2.0 / 3, "f": 0.4}
+
+
+@query("resample_nearest", sql("select t.r as row, t.k as col, s.b1 from t join spec s on s.row = cast(floor(t.y) as bigint) and s.col = cast(floor(t.x) as bigint)", "spec", extra=_GRID))
+def resample_nearest(spark, d):
+    return grid.resample(spec(spark, d), "b1", method="nearest", **_target(spark, d))
+
+
+@query(
+    "resample_grid",
+    sql(
+        f"select r as row, k as col, {r('sum(b1 * w) / sum(w)', 9)} as b1 from (select t.r, t.k, s.b1, (1 - abs(t.y - 0.5::double - s.row)) * (1 - abs(t.x - 0.5::double - s.col)) as w, s.row = floor(t.y) and s.col = floor(t.x) as own from t, "
+        "(select unnest([0, 1]) as i), (select unnest([0, 1]) as j), spec s where s.row = cast(floor(t.y - 0.5::double) as bigint) + i and s.col = cast(floor(t.x - 0.5::double) as bigint) + j) group by r, k having bool_or(own)",
+        "spec",
+        extra=_GRID,
+    ),
+)
+def resample_grid(spark, d):
+    """Onto a grid of another cell size and origin."""
+    return grid.resample(spec(spark, d), "b1", **_target(spark, d)).select("row", "col", F.round("b1", 9).alias("b1"))
+
+
 @query("mosaic", sql("select row, col, coalesce(max(b1) filter (where src = 2), max(b1) filter (where src = 1)) as v from (select row, col, b1, 1 as src from px where row < 60 union all select row, col, nullif(b2, 0) as b1, 2 as src from px where row >= 40) group by all having count(b1) > 0", "px"))
 def mosaic(spark, d):
     p = px(spark, d)
@@ -151,6 +178,24 @@ def augment_patches(spark, d):
     return grid.augment(p, 10, 42, ["tile_i", "tile_j"], ["v"]).select("row", "col", "tile_i", "tile_j", "pc", F.round("v", 6).alias("v"))
 
 
+_SHIFT = "cast(floor({} * 7) as int) - 3"
+
+
+@query(
+    "random_crop",
+    sql(
+        f"select m.tile_i, m.tile_j, cast(a.pr as int) as pr, cast(b.pc as int) as pc, case when x.there then x.b1 else 0 end as b1, case when x.there then x.mask else 0 end as mask "
+        f"from (select distinct cast(row // 10 as int) as tile_i, cast(col // 10 as int) as tile_j, {_SHIFT.format(_DRAW.format('y'))} as dy, {_SHIFT.format(_DRAW.format('x'))} as dx from px) m, (select unnest(range(0, 10)) as pr) a, (select unnest(range(0, 10)) as pc) b "
+        "left join (select row // 10 as ti, col // 10 as tj, row % 10 as sr, col % 10 as sc, true as there, b1, cast(b2 > 50 as double) as mask from px) x on x.ti = m.tile_i and x.tj = m.tile_j and x.sr = a.pr + m.dy and x.sc = b.pc + m.dx",
+        "px",
+    ),
+)
+def random_crop(spark, d):
+    """Image and mask of each patch, padded and cut again at a drawn place."""
+    p = grid.assign_tiles(px(spark, d), 10).withColumns({"pr": F.expr("cast(row % 10 as int)"), "pc": F.expr("cast(col % 10 as int)"), "mask": F.expr("cast(b2 > 50 as double)")})
+    return grid.random_crop(p, 10, 3, 42, ["tile_i", "tile_j"], ["b1", "mask"])
+
+
 @query("reproject_points", None)
 def reproject_points(spark, d):
     p = pts(spark, d).select("point_id", (24.0 + F.col("x") / 50).alias("lon"), (60.0 + F.col("y") / 10).alias("lat"))

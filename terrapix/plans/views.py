@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Literal rings in px coordinates: (id, label, [(x, y), ...]).
-POLYGONS = [
-    (1, "sand", [(10.0, 1.0), (40.0, 1.0), (40.0, 6.0), (10.0, 6.0)]),
-    (2, "seagrass", [(30.0, 2.0), (70.0, 2.0), (50.0, 9.0)]),
-    (3, "coral", [(60.0, 5.0), (95.0, 5.0), (95.0, 9.0), (60.0, 9.0)]),
-]
+#: Corners of a supplier's polygon, from its place (x, y) and width w, in the words of both engines.
+RECTANGLE = [("x", "y"), ("x + w", "y"), ("x + w", "y + 1"), ("x", "y + 1")]
+TRIANGLE = [("x + cast(0.2 as double)", "y + cast(0.1 as double)"), ("x + w + cast(0.7 as double)", "y + cast(0.4 as double)"), ("x + cast(0.5 as double)", "y + cast(1.9 as double)")]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -67,8 +64,11 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def polys(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, label, [{"x": x, "y": y} for x, y in ring]) for i, label, ring in POLYGONS]
-    return spark.createDataFrame(rows, "poly_id int, label string, ring array<struct<x:double,y:double>>")
+    """A rectangle or a triangle for each supplier, in px coordinates; the label is the nation's."""
+    point = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    rings = [f"array({', '.join(point(a, b) for a, b in ring)})" for ring in (RECTANGLE, TRIANGLE)]
+    some = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey", "double(s_suppkey * 3 % 90) as x", "double(s_suppkey * 7 % 8) as y", "double(1 + s_nationkey % 5) as w")
+    return some.selectExpr("s_suppkey as poly_id", "concat('n', s_nationkey) as label", "int(s_nationkey + 1) as int_class", f"if(s_suppkey % 2 = 0, {rings[0]}, {rings[1]}) as ring")
 
 
 _BANDS = ", ".join(f"(cast(embedding[{k}] as double) + 1) / 20 as b{k}" for k in range(1, 11))
@@ -83,9 +83,9 @@ DUCK = {
     "cover_wide": "select obs_id, " + ", ".join(f"sum(case when type_id = {k} then cover else 0 end) as c{k}" for k in range(1, 8)) + " from (select l_partkey as obs_id, l_linenumber as type_id, sum(l_quantity) as cover from lineitem group by all) group by obs_id",
     "change_epochs": "select cell, epoch, cls from (select cell, epoch, cls, row_number() over (partition by cell, epoch order by count(*) desc, cls) as rn from (select l_partkey as cell, case when year(l_shipdate) < 1998 then 1 else 2 end as epoch, l_returnflag as cls from lineitem) group by cell, epoch, cls) where rn = 1",
     "dates": "select o_orderkey as obs_id, o_orderdate as date, o_orderstatus as cls from orders",
-    "polys": "select * from (values "
-    + ", ".join(f"({i}, '{label}', [" + ", ".join(f"{{'x': {x}::double, 'y': {y}::double}}" for x, y in ring) + "])" for i, label, ring in POLYGONS)
-    + ") as t(poly_id, label, ring)",
+    "polys": "select s_suppkey as poly_id, concat('n', cast(s_nationkey as varchar)) as label, cast(s_nationkey + 1 as int) as int_class, case when s_suppkey % 2 = 0 then "
+    + " else ".join("[" + ", ".join(f"{{'x': {a}, 'y': {b}}}" for a, b in ring) + "]" for ring in (RECTANGLE, TRIANGLE))
+    + " end as ring from (select *, (s_suppkey * 3 % 90)::double as x, (s_suppkey * 7 % 8)::double as y, (1 + s_nationkey % 5)::double as w from supplier)",
 }
 
 

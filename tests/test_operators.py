@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from terrapix.functions import bands, rules
 from terrapix.operators import aggregates as ag
-from terrapix.operators import folds, grid, segments, spatial
+from terrapix.operators import folds, grid, polygons, segments, spatial
 from terrapix.operators import statistics as st
 from terrapix.operators import windows as wi
+from terrapix.operators.quantiles import group_quantiles
 from terrapix.sources import tables as src
 
 
@@ -61,7 +62,7 @@ def test_ring_edges_and_overlaps(spark):
     polys = spark.createDataFrame([(1, square), (2, other)], "poly_id int, ring array<struct<x:double,y:double>>")
     points = spark.createDataFrame([(1, 0.0, 1.0), (2, 4.0, 1.0), (3, 6.0, 1.0), (4, 3.0, 3.0)], "id int, x double, y double")
     assert rows(grid.spatial_join(points, polys).select("id", "poly_id")) == [(1, 1), (2, 2), (4, 1), (4, 2)]
-    burnt = {(r.row, r.col): r.c for r in grid.rasterise(polys.withColumn("c", F.col("poly_id")), "c", "poly_id").collect()}
+    burnt = {(r.row, r.col): r.c for r in polygons.rasterise(polys.withColumn("c", F.col("poly_id")), "c", "poly_id").collect()}
     assert len(burnt) == 24 and burnt[0, 1] == 1 and burnt[0, 2] == 2
     assert rows(grid.clip(points, polys, ["id"], invert=True).select("id")) == [(3,)]
 
@@ -181,10 +182,11 @@ def test_quantiles_and_running_totals_are_exact(spark):
     values = np.round(rnd.gamma(2.0, 3.0, 500), 1)
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(7)
     shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
-    assert wi.quantiles(df, "v", shares).first().q == pytest.approx(np.quantile(values, shares).tolist())
-    assert wi.quantiles(df.where("v < 0"), "v", [0.5]).first().q == [None]
-    got = rows(wi.running_total(spark.createDataFrame([(k, k % 3) for k in range(100)], "k int, n int"), "k", "n", "total").select("k", "total"))
-    assert sorted(got) == [(k, sum(j % 3 for j in range(k + 1))) for k in range(100)]
+    assert group_quantiles(df, [], "v", shares).first().q == pytest.approx(np.quantile(values, shares).tolist())
+    assert group_quantiles(df.where("v < 0"), [], "v", [0.5]).first().q == [None]
+    for most in (10, 1000):  # cut into ranges, and in one window
+        got = rows(wi.running_total(spark.createDataFrame([(k, k % 3) for k in range(100)], "k int, n int"), "k", "n", "total", most).select("k", "total"))
+        assert sorted(got) == [(k, sum(j % 3 for j in range(k + 1))) for k in range(100)]
 
 
 def test_average_ranks_share_ties(spark):
