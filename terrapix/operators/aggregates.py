@@ -13,6 +13,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import group_quantiles
+
 
 def broadcast_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """df with the columns of a one-row table."""
@@ -41,19 +43,26 @@ def zonal_means(df: DataFrame, by: Sequence[str], exprs: dict[str, Column]) -> D
 
 
 def describe_long(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """mean, std, min, median, max of each column per group, one row for each statistic."""
-    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "50%": F.median, "max": F.max}
-    aggs = [f(c).alias(f"{c}|{s}") for c in cols for s, f in stats.items()]
-    wide = df.groupBy(*by).agg(*aggs)
-    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), *(F.col(f"`{c}|{s}`").alias(c) for c in cols)) for s in stats)))
-    return wide.select(*by, rows.alias("x")).select(*by, "x.*")
+    """mean, std, min, median, max of each column per group, one row for each statistic; keys may be null.
+
+    Medians come from rounds of bucket counts over all groups and columns at once, so no buffer holds a group's values.
+    """
+    keys = list(by)
+    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.groupBy(*keys).agg(*(f(c).alias(f"{c}|{s}") for c in cols for s, f in stats.items()))
+    long = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(keys, list(cols), "_col", "_v")
+    medians = group_quantiles(long, [*keys, "_col"], "_v", [0.5]).groupBy(*keys).pivot("_col", list(cols)).agg(F.first(F.col("q")[0]))
+    medians = medians.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"{c}|50%") for c in cols))
+    both = wide.join(medians, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left")
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), *(F.col(f"`{c}|{s}`").alias(c) for c in cols)) for s in ("mean", "std", "min", "50%", "max"))))
+    return both.select(*keys, rows.alias("x")).select(*keys, "x.*")
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max of columns, one row for each column, in one scan.
 
     Meant for tables of results, such as accuracies of folds: exact quartiles hold a column's distinct values. Of large
-    tables take windows.quantiles.
+    tables take quantiles.group_quantiles.
     """
     long = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], list(cols), "metric", "v")
     q = lambda p: F.percentile("v", F.lit(p))

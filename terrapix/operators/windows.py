@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import release, stored
 from .folds import digest as seeded_digest
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,13 +37,13 @@ def majority(df: DataFrame, keys: Sequence[str], cls: str, ties_lose: bool = Fal
 def dedupe_majority(df: DataFrame, key: str, cls: str, cover: str, unique: str) -> DataFrame:
     """One row for each key: of the commonest class, then of the highest cover, then of the least id.
 
-    As classes that all come once tie, the row of the highest cover stays there.
+    As classes that all come once tie, the row of the highest cover stays there. Each key and class first keeps its best
+    row and its count, then each key its best class: two aggregations with partial results, and the table is read once.
     """
-    counts = df.groupBy(key, cls).agg(F.count("*").alias("n_cls"))
-    order = F.struct(F.col("n_cls").alias("n"), F.col(cover).alias("c"), (-F.col(unique)).alias("u"))
-    ranked = df.join(counts, [key, cls])
-    best = ranked.groupBy(key).agg(F.max_by(unique, order).alias(unique))
-    return df.join(best, [key, unique], "left_semi")
+    row = F.struct(*df.columns)
+    best = df.groupBy(key, cls).agg(F.count("*").alias("n"), F.max_by(row, F.struct(F.col(cover).alias("c"), (-F.col(unique)).alias("u"))).alias("row"))
+    order = F.struct("n", F.col(f"row.{cover}").alias("c"), (-F.col(f"row.{unique}")).alias("u"))
+    return best.groupBy(key).agg(F.max_by("row", order).alias("row")).select("row.*")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], unique: str) -> DataFrame:
@@ -72,39 +72,34 @@ def sample_per_class(df: DataFrame, cls: str, unique: Column, n: int, seed: int
     return some.withColumn("rn", F.row_number().over(Window.partitionBy(cls).orderBy("dg"))).where(F.col("rn") <= n).drop("rn", "dg", "pre")
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+#: Rows that one window may hold; a larger table is cut into ranges.
+WINDOW_ROWS = 1 << 16
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, most: int = WINDOW_ROWS) -> DataFrame:
     """Adds the sum of value over all rows up to each, in the order of a column without equals.
 
-    Rows are cut into ranges and stored with their range's number, so that both uses below see the same cut; sums of
-    earlier ranges come from a table of one row for each range, so no window runs over all rows.
+    The table is stored and counted. Up to `most` rows one window does. More are cut into ranges and stored with their
+    range's number, so that both uses below see the same cut; sums of earlier ranges come from a table of one row for
+    each range, so no window runs over all rows.
     """
-    ranged = stored(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    kept = stored(df, "totals")
+    upto = lambda *by: F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    if kept.count() <= most:
+        return kept.withColumn(out, upto())
+    ranged = stored(kept.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    release(kept)
     sizes = ranged.groupBy("part").agg(F.sum(value).alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
-    own = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("own", F.sum(value).over(own)).join(F.broadcast(before), "part").withColumn(out, F.col("before") + F.col("own")).drop("part", "own", "before")
-
-
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row, q: an array of exact quantiles, linear between neighbours, of the values that aren't null.
-
-    Distinct values are counted before they are shuffled and ranked range by range, so no buffer holds all of them.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
-    ranked = running_total(counts, "v", "t", "cum")
-    n = ranked.agg(F.sum("t")).first()[0] or 0
-    at = lambda k: F.max(F.when((F.col("cum") - F.col("t") <= k) & (k < F.col("cum")), F.col("v")))
-    places = [p * (n - 1) for p in shares]
-    cut = lambda p: at(int(p)) + (p - int(p)) * (at(min(int(p) + 1, n - 1)) - at(int(p)))
-    return ranked.agg(F.array(*(cut(p) if n else F.lit(None).cast("double") for p in places)).alias("q"))
+    return ranged.withColumn("own", upto("part")).join(F.broadcast(before), "part").withColumn(out, F.col("before") + F.col("own")).drop("part", "own", "before")
 
 
 def average_ranks(df: DataFrame, value: str, cls: str) -> DataFrame:
     """Distinct values with counts per class and their average rank, ties shared.
 
-    Counts of distinct values are summed up range by range, so no window runs over all values.
+    Counts of distinct values are stored and summed up range by range, so no window runs over very many values.
     """
-    counts = df.groupBy(value, cls).agg(F.count("*").alias("c"))
+    counts = stored(df.groupBy(value, cls).agg(F.count("*").alias("c")), "counts")
     totals = counts.groupBy(value).agg(F.sum("c").alias("t"))
     ranks = running_total(totals, value, "t", "cum").select(value, "t", (F.col("cum") - (F.col("t") - 1) / 2).alias("rank"))
     return counts.join(ranks, value)
@@ -117,6 +112,18 @@ def dark_threshold(df: DataFrame, band: str, factor: int = 3) -> DataFrame:
     return bins.join(F.broadcast(second)).where((F.col("bin") > 0) & (F.col("n") >= factor * F.col("f"))).agg(F.min("bin").alias("threshold"))
 
 
+def dark_thresholds(df: DataFrame, band: str, value: str, bands: Sequence[str], factor: float = 3) -> DataFrame:
+    """One row, dark_b for each band: dark_threshold of every band of a long table, from one histogram of all.
+
+    The histogram has a row for each band and bin, whatever the raster's size; its windows hold one band's bins.
+    """
+    bins = df.where(F.col(value) > 0).groupBy(band, F.floor(value).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    placed = bins.withColumn("k", F.row_number().over(Window.partitionBy(band).orderBy("bin")))
+    second = placed.withColumn("f", F.max(F.when(F.col("k") == 2, F.col("n"))).over(Window.partitionBy(band)))
+    hit = lambda b: F.min(F.when((F.col(band) == b) & (F.col("bin") > 0) & (F.col("n") >= factor * F.col("f")), F.col("bin")))
+    return second.agg(*(hit(b).alias(f"dark_{b}") for b in bands))
+
+
 def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Over a small ordered table, as explained variances."""
     return df.withColumn(out, F.sum(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

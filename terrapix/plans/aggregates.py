@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bands as fn
 from ..operators import aggregates as ag
-from ..operators.windows import quantiles
+from ..operators.quantiles import group_quantiles
+from ..sources.shared import stored
 from .registry import query
 from .views import change_epochs, cover_wide, dates, pred, proba_stack, pts, px, segpx, spec, sql
 from .views import r as _round
@@ -16,24 +17,23 @@ def r(x: str, digits: int = 9) -> str:
     return _round(x, digits)
 
 
-#: Means of short decimals often end in a 5 just where they are rounded; a shift takes both engines off that edge.
-SHIFT = 3.7e-11
+def single(x: str) -> str:
+    """In single precision, as rasters are stored; sums in any order give the same."""
+    return f"cast(cast({x} as float) as double)"
 
 
-def shifted(x: str) -> str:
-    return _round(f"{x} + {SHIFT}::double", 9)
-
-
-def rounded(df, *keep, digits=9, shift=0.0):
-    return df.select(*keep, *(F.round(F.col(c) + shift if shift else F.col(c), digits).alias(c) for c in df.columns if c not in keep))
+def rounded(df, *keep, digits=9):
+    return df.select(*keep, *(F.round(F.col(c), digits).alias(c) for c in df.columns if c not in keep))
 
 
+def singles(df, *keep):
+    return df.select(*keep, *(F.col(c).cast("float").cast("double").alias(c) for c in df.columns if c not in keep))
 
 
 def _zonal(b):
     return (
-        f"{shifted(f'min({b})')} as {b}_min, {shifted(f'max({b})')} as {b}_max, {shifted(f'avg({b})')} as {b}_mean, "
-        f"{shifted(f'case when count({b}) > 0 then coalesce(var_samp({b}), 0) end')} as {b}_var"
+        f"{single(f'min({b})')} as {b}_min, {single(f'max({b})')} as {b}_max, {single(f'avg({b})')} as {b}_mean, "
+        f"{single(f'case when count({b}) > 0 then coalesce(var_samp({b}), 0) end')} as {b}_var"
     )
 
 
@@ -43,7 +43,7 @@ ZONAL = sql(f"select segment_id, count(*) as n, {_zonal('b1')}, {_zonal('b2')},
 @query("zonal_stats", ZONAL)
 def zonal_stats(spark, d):
     z = ag.zonal_stats(segpx(spark, d), ["segment_id"], ["b1", "b2", "b3"])
-    return rounded(z.drop(*(c for c in z.columns if c.endswith(("_skew", "_kurt")))), "segment_id", "n", shift=SHIFT)
+    return singles(z.drop(*(c for c in z.columns if c.endswith(("_skew", "_kurt")))), "segment_id", "n")
 
 
 @query(
@@ -59,15 +59,15 @@ def zonal_shape(spark, d):
     return z.select("segment_id", F.round("b1_skew", 4).alias("b1_skew"), F.round("b1_kurt", 4).alias("b1_kurt"))
 
 
-@query("zonal_index_mean", sql(f"select segment_id, {shifted('avg((b2 - b1) / nullif(b2 + b1, 0))')} as grvi, {shifted('avg(b1 / nullif(b2, 0))')} as gr, {shifted('avg(2 * b1 - (b2 + b3))')} as eg from segpx group by segment_id", "segpx"))
+@query("zonal_index_mean", sql(f"select segment_id, {single('avg((b2 - b1) / nullif(b2 + b1, 0))')} as grvi, {single('avg(b1 / nullif(b2, 0))')} as gr, {single('avg(2 * b1 - (b2 + b3))')} as eg from segpx group by segment_id", "segpx"))
 def zonal_index_mean(spark, d):
     b1, b2, b3 = F.col("b1"), F.col("b2"), F.col("b3")
     means = ag.zonal_means(segpx(spark, d), ["segment_id"], {"grvi": fn.normalised_difference(b2, b1), "gr": fn.ratio(b1, b2), "eg": fn.excess_green(b2, b1, b3)})
-    return rounded(means, "segment_id", shift=SHIFT)
+    return singles(means, "segment_id")
 
 
 SEGSTATS = sql(
-    f"select s.*, c.cls from (select segment_id, count(*) as n, {_zonal('b1')}, {_zonal('b2')}, {shifted('avg((b2 - b1) / nullif(b2 + b1, 0))')} as grvi, {shifted('avg(b1 / nullif(b2, 0))')} as gr from segpx where b3 is not null group by segment_id) s "
+    f"select s.*, c.cls from (select segment_id, count(*) as n, {_zonal('b1')}, {_zonal('b2')}, {single('avg((b2 - b1) / nullif(b2 + b1, 0))')} as grvi, {single('avg(b1 / nullif(b2, 0))')} as gr from segpx where b3 is not null group by segment_id) s "
     "left join (select segment_id, cls from (select segment_id, cls, row_number() over (partition by segment_id order by count(*) desc, cls) as rn from segpx group by segment_id, cls) where rn = 1) c using (segment_id)",
     "segpx",
 )
@@ -85,7 +85,7 @@ def segstats_table(spark, d):
     stats = stats.drop(*(c for c in stats.columns if c.endswith(("_skew", "_kurt"))))
     means = ag.zonal_means(valid, ["segment_id"], {"grvi": fn.normalised_difference(b2, b1), "gr": fn.ratio(b1, b2)})
     labels = majority(pixels, ["segment_id"], "cls").drop("n")
-    return rounded(stats.join(means, "segment_id"), "segment_id", "n", shift=SHIFT).join(labels, "segment_id", "left")
+    return singles(stats.join(means, "segment_id"), "segment_id", "n").join(labels, "segment_id", "left")
 
 
 @query(
@@ -157,8 +157,8 @@ def mean_prediction(spark, d):
     ),
 )
 def percentile_area(spark, d):
-    mean = proba_stack(spark, d).groupBy("row", "col", "class").agg(F.avg("proba").alias("proba"))
-    cuts = quantiles(mean, "proba", [0.75, 0.8, 0.85, 0.9]).select(F.posexplode("q").alias("k", "t"))
+    mean = stored(proba_stack(spark, d).groupBy("row", "col", "class").agg(F.avg("proba").alias("proba")), "mean")
+    cuts = group_quantiles(mean, [], "proba", [0.75, 0.8, 0.85, 0.9], buckets=4096).select(F.posexplode("q").alias("k", "t"))
     cuts = cuts.select((75 + 5 * F.col("k")).alias("p"), "t")
     hit = mean.where("class = 'A'").join(F.broadcast(cuts)).groupBy("p", "t").agg(F.count_if(F.col("proba") >= F.col("t")).alias("cells"))
     return hit.select("p", F.round("t", 9).alias("threshold"), "cells", F.round(F.col("cells") * 100 / 10000.0, 9).alias("hectares"))
@@ -186,11 +186,28 @@ _report(
     lambda: [F.round(100 * (1 - F.col("recall")), 9).alias("omission"), F.round(100 * (1 - F.col("precision")), 9).alias("commission")],
     f"{r(f'100 * (1 - {_rc})')} as omission, {r(f'100 * (1 - {_p})')} as commission",
 )
-_report(
+
+
+@query(
     "classification_report",
-    lambda: [F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"), "support"],
-    f"{r(_p)} as precision, {r(_rc)} as recall, {r('2.0 * tp / nullif(support + predicted, 0)')} as f1, support",
+    sql(
+        f"with s as (select *, {_p} as p, {_rc} as c, 2.0::double * tp / nullif(support + predicted, 0) as f from t), "
+        f"o as (select sum(support)::bigint as n, sum(tp)::double / sum(support) as oa, avg(coalesce(p, 0)) as mp, avg(coalesce(c, 0)) as mc, avg(coalesce(f, 0)) as mf, sum(coalesce(p, 0) * support) / sum(support) as wp, sum(coalesce(c, 0) * support) / sum(support) as wc, sum(coalesce(f, 0) * support) / sum(support) as wf from s) "
+        f"select cls, {r('p')} as precision, {r('c')} as recall, {r('f')} as f1, support from s union all select 'accuracy', {r('oa')}, {r('oa')}, {r('oa')}, n from o "
+        f"union all select 'macro avg', {r('mp')}, {r('mc')}, {r('mf')}, n from o union all select 'weighted avg', {r('wp')}, {r('wc')}, {r('wf')}, n from o",
+        "pred",
+        extra=_TOTALS,
+    ).replace(" with s as", ", s as"),
 )
+def classification_report(spark, d):
+    """Measures of each class, and their averages."""
+    from ..operators.chains import report_averages
+
+    report = ag.class_report(ag.class_totals(ag.confusion(pred(spark, d), "truth", "pred")))
+    columns = ["precision", "recall", "f1", "support"]
+    return rounded(report.select("cls", *columns).unionByName(report_averages(report).select("cls", *columns)), "cls", "support")
+
+
 _report("iou", lambda: [F.round(F.try_divide(F.col("tp") + 1, F.col("support") + F.col("predicted") - F.col("tp") + 1), 9).alias("iou")], f"{r('(tp + 1.0) / (support + predicted - tp + 1)')} as iou")
 
 
@@ -205,12 +222,23 @@ def cohen_kappa(spark, d):
     return rounded(ag.overall(ag.confusion(pred(spark, d), "truth", "pred")), "n")
 
 
-@query("confusion_percent", sql("select truth, pred, n, round(n * 100.0 / sum(n) over (partition by truth), 9) + 0.0 as row_pct, round(n * 100.0 / sum(n) over (partition by pred), 9) + 0.0 as col_pct from (select truth, pred, count(*) as n from pred group by all)", "pred"))
+@query(
+    "confusion_percent",
+    sql(
+        f"select m.truth, m.pred, m.n, round(m.n * 100.0 / sum(m.n) over (partition by m.truth), 9) + 0.0 as row_pct, round(m.n * 100.0 / sum(m.n) over (partition by m.pred), 9) + 0.0 as col_pct, {r(_p)} as precision, {r(_rc)} as recall, {r('2.0::double * tp / nullif(support + predicted, 0)')} as f1 "
+        "from (select truth, pred, count(*) as n from pred group by all) m join t on t.cls = m.truth",
+        "pred",
+        extra=_TOTALS,
+    ),
+)
 def confusion_percent(spark, d):
-    cm = ag.confusion(pred(spark, d), "truth", "pred")
+    """Each pair's share of its row and its column, with the measures of the true class."""
+    cm = stored(ag.confusion(pred(spark, d), "truth", "pred"), "confusion")
     rows, cols = cm.groupBy("truth").agg(F.sum("n").alias("rt")), cm.groupBy("pred").agg(F.sum("n").alias("ct"))
-    wide = cm.join(F.broadcast(rows), "truth").join(F.broadcast(cols), "pred")
-    return wide.select("truth", "pred", "n", F.round(F.col("n") * 100 / F.col("rt"), 9).alias("row_pct"), F.round(F.col("n") * 100 / F.col("ct"), 9).alias("col_pct"))
+    report = ag.class_report(ag.class_totals(cm)).select(F.col("cls").alias("truth"), "precision", "recall", "f1")
+    wide = cm.join(F.broadcast(rows), "truth").join(F.broadcast(cols), "pred").join(F.broadcast(report), "truth")
+    shares = wide.select("truth", "pred", "n", (F.col("n") * 100 / F.col("rt")).alias("row_pct"), (F.col("n") * 100 / F.col("ct")).alias("col_pct"), "precision", "recall", "f1")
+    return rounded(shares, "truth", "pred", "n")
 
 
 @query("confusion_fold_mean", sql(f"select truth, pred, {r('count(*)::double / (select count(distinct fold) from pred)')} as mean_n from pred group by truth, pred", "pred"))
