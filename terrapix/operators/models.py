@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
@@ -17,6 +20,18 @@ from pyspark.sql import functions as F
 
 from .aggregates import balanced_weights, class_report, class_totals, confusion, overall
 
+T, R = TypeVar("T"), TypeVar("R")
+
+
+#: Fits that run side by side.
+PARALLEL = 4
+
+
+def at_once(f: Callable[[T], R], cases: Iterable[T]) -> list[R]:
+    """f of every case, in their order, PARALLEL at a time: the cluster's work overlaps where one fit leaves it idle."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(f, cases))
+
 
 def vectors(bands: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=bands, outputCol="features", handleInvalid="skip")
@@ -59,9 +74,13 @@ def probabilities(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataF
 
 
 def cross_validate(df: DataFrame, bands: list[str], cls: str, fold: str, k: int, kind: str = "rf", **params) -> DataFrame:
-    """Predictions for each fold by a model of the others: fold, truth, pred. k is small; the driver loops over folds."""
-    parts = [predict(train(df.where(F.col(fold) != i), bands, cls, kind, **params), df.where(F.col(fold) == i)).select(F.lit(i).alias("fold"), F.col(cls).alias("truth"), "pred") for i in range(k)]
-    return reduce(DataFrame.unionByName, parts)
+    """Predictions for each fold by a model of the others: fold, truth, pred. k is small; fits run PARALLEL at a time."""
+
+    def one(i: int) -> DataFrame:
+        model = train(df.where(F.col(fold) != i), bands, cls, kind, **params)
+        return predict(model, df.where(F.col(fold) == i)).select(F.lit(i).alias("fold"), F.col(cls).alias("truth"), "pred")
+
+    return reduce(DataFrame.unionByName, at_once(one, range(k)))
 
 
 def score(predictions: DataFrame, by: list[str]) -> DataFrame:

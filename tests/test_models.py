@@ -156,16 +156,105 @@ def random_sample(spark):
     assert 0.15 * len(known) < len(rows) < 0.45 * len(known) and all(known[r.row, r.col] == r.b1 for r in rows)
 
 
+def tail(density, start, end=400.0, n=400_001):
+    """The area under a density past a point, by Simpson's rule."""
+    x = np.linspace(start, end, n)
+    y = density(x)
+    return float((x[1] - x[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()))
+
+
 @prop
 def welch_pvalue(spark):
+    from math import exp, lgamma, pi
+
+    values = {}
+    for r in px(spark, SF).where("b1 is not null").collect():
+        values.setdefault(r.cls, []).append(r.b1)
     rows = run(spark, "welch_pvalue").collect()
-    assert rows and all(0 <= r.p <= 1 for r in rows)
+    assert len(rows) == len(values) * (len(values) - 1) // 2
+    for r in rows:
+        a, b = (np.array(values[c]) for c in (r.cls_a, r.cls_b))
+        u, v = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+        t, df = abs(a.mean() - b.mean()) / (u + v) ** 0.5, (u + v) ** 2 / (u**2 / (len(a) - 1) + v**2 / (len(b) - 1))
+        top = exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / (df * pi) ** 0.5
+        assert r.p == pytest.approx(2 * tail(lambda x, k=df, c=top: c * (1 + x * x / k) ** (-(k + 1) / 2), t), abs=1e-6)
 
 
 @prop
 def kruskal_pvalue(spark):
+    from math import exp, lgamma
+
+    (h,) = run(spark, "kruskal_wallis").collect()
     (row,) = run(spark, "kruskal_pvalue").collect()
-    assert 0 <= row.p <= 1
+    k = h.df / 2
+    assert row.p == pytest.approx(tail(lambda x: x ** (k - 1) * np.exp(-x / 2) / (2**k * exp(lgamma(k))), h.h), abs=1e-4)
+
+
+@prop
+def merge_regions(spark):
+    """test_regions.py has the same rounds in plain Python."""
+    seg = {(r.row, r.col): r.segment_id for r in run(spark, "merge_regions").collect()}
+    assert len(seg) == spec(spark, SF).count() and min(Counter(seg.values()).values()) >= 4
+    assert all(s == min((r << 32) + c + 1 for (r, c), t in seg.items() if t == s) for s in set(seg.values()))
+
+
+@prop
+def segment_rings(spark):
+    """burn_rings burns them back, against SQL; here rings are whole and have corners alone."""
+    rings = {}
+    for r in run(spark, "segment_rings").orderBy("ring", "pos").collect():
+        rings.setdefault((r.ring, r.hole), []).append((r.x, r.y))
+    for (_, hole), p in rings.items():
+        area = sum(a * d - c * b for (a, b), (c, d) in zip(p, p[1:] + p[:1], strict=True)) / 2
+        assert len(p) >= 4 and (area < 0) == hole and all((a == c) != (b == d) for (a, b), (c, d) in zip(p, p[1:] + p[:1], strict=True))
+
+
+@prop
+def svm_radial(spark):
+    rows = run(spark, "svm_radial").collect()
+    labels = {r.cls for r in rows}
+    assert len(rows) == spec(spark, SF).count() and {r.pred for r in rows} <= labels
+    assert all(len(r.proba) == len(labels) and abs(sum(r.proba) - 1) < 1e-4 for r in rows)
+
+
+@prop
+def random_search(spark):
+    rows = run(spark, "random_search").collect()
+    assert len(rows) == 30 and len({(r.numTrees, r.maxDepth) for r in rows}) == 10 and all(0 <= r.test <= 1 and 0 <= r.train <= 1 for r in rows)
+    assert np.mean([r.train for r in rows]) > np.mean([r.test for r in rows])
+
+
+@prop
+def best_settings(spark):
+    rows = run(spark, "best_settings").orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, 11)) and all(a.test >= b.test for a, b in zip(rows, rows[1:], strict=False))
+
+
+@prop
+def segment_training_chain(spark):
+    rows = run(spark, "segment_training_chain").collect()
+    label = {}
+    assert rows and all(label.setdefault(r.segment_id, (r.point_id, r.hab_class)) == (r.point_id, r.hab_class) for r in rows)
+    assert all(None not in (r.b1, r.b2, r.b3, r.pc1) for r in rows) and len({(r.row, r.col) for r in rows}) == len(rows)
+
+
+@prop
+def segstats_chain(spark):
+    rows = run(spark, "segstats_chain").collect()
+    assert len({r.segment_id for r in rows}) == len(rows) and sum(r.n for r in rows) <= spec(spark, SF).count()
+    assert any(r.hab_class for r in rows) and all(r.b1_min <= r.b1_mean <= r.b1_max and r.b1_var >= 0 for r in rows)
+
+
+@prop
+def polygon_change_area(spark):
+    rows = run(spark, "polygon_change_area").collect()
+    assert sum(r.cells for r in rows) == spec(spark, SF).count() and all(abs(r.hectares - r.cells / 100) < 1e-9 for r in rows)
+
+
+@prop
+def polygon_change_scores(spark):
+    rows = run(spark, "polygon_change_scores").collect()
+    assert sorted(r.fold for r in rows) == [0, 1, 2] and all(0 <= r.oa <= 1 for r in rows)
 
 
 @needs_tables
