@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import bands as fn
 from ..operators import aggregates as ag
 from ..operators import folds as fo
-from ..operators import grid, models, segments
+from ..operators import grid, models, regions, segments
 from ..operators import statistics as st
 from ..operators import windows as wi
 from ..operators.spatial import few
 from ..sources import tables as src
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from .registry import query
 from .views import polys, pts, px, r, segpx, spec, sql, table
 
@@ -199,11 +199,11 @@ def radiometry(spark, d):
     rad = fn.radiance(F.col("v") * 10000, F.lit(1.0), F.lit(0.0), F.col("abscal"), F.col("width"))
     refl = fn.toa_reflectance(rad, F.col("au"), F.col("ssi"), fn.solar_zenith(F.col("elevation"))) * 1000
     long = ag.broadcast_row(long, image).select("row", "col", "band", refl.alias("v"))
-    pixels = long.groupBy("row", "col").pivot("band", _CHAIN_BANDS).agg(F.max("v"))
-    for b in _CHAIN_BANDS:
-        dark = wi.dark_threshold(pixels, b, 1.5).select(F.col("threshold").alias("dark"))
-        less = F.when(F.col("dark").isNull(), F.lit(0.0)).otherwise(F.greatest(F.col(b) - F.col("dark"), F.lit(0.0)))
-        pixels = ag.broadcast_row(pixels, dark).withColumn(b, F.when(F.col(b) != 0, less)).drop("dark")
+    long = stored(long, "reflectance")  # read three times: for thresholds, the glint's fit and the result
+    dark = wi.dark_thresholds(long, "band", "v", _CHAIN_BANDS, 1.5)
+    wide = ag.broadcast_row(long.groupBy("row", "col").pivot("band", _CHAIN_BANDS).agg(F.max("v")), dark)
+    less = lambda b: F.when(F.col(f"dark_{b}").isNull(), F.lit(0.0)).otherwise(F.greatest(F.col(b) - F.col(f"dark_{b}"), F.lit(0.0)))
+    pixels = wide.withColumns({b: F.when(F.col(b) != 0, less(b)) for b in _CHAIN_BANDS})
     out = st.glint_apply(pixels, pixels.where("b8 < 40"), ["b1", "b2", "b3"], "b8", [])
     return out.select("row", "col", *(F.round(b, 5).alias(b) for b in _CHAIN_BANDS))
 
@@ -249,6 +249,12 @@ def segment_edges(spark, d):
     return segments.edges(segments.segment_regions(spec(spark, d), ["b1"], 0.02))
 
 
+@query("merge_regions")
+def merge_regions(spark, d):
+    """Regions that grew from pixels by rounds, after smoothing; no SQL has such rounds."""
+    return regions.merge_regions(spec(spark, d), ["b1", "b2"], scale=0.05, sigma=0.5, min_size=4)
+
+
 @query("refine_segments")
 def refine_segments(spark, d):
     pixels = spec(spark, d)
@@ -404,9 +410,9 @@ def model_roundtrip(spark, d):
 def model_by_zone(spark, d):
     rows = labelled(spark, d).withColumn("zone", F.ceil(F.col("b3") * 40).cast("int"))
     zones = [x.zone for x in few(rows, "zone", 20).orderBy("zone").collect()]  # a model for each, so there may be few
-    one = lambda z: rows.where(F.col("zone") == z)
-    parts = [models.predict(models.train(one(z), B, "cls", numTrees=5), one(z)).select("zone", "row", "col", "pred") for z in zones]
-    return reduce(DataFrame.unionByName, parts)
+    own = lambda z: rows.where(F.col("zone") == z)
+    fit = lambda z: models.predict(models.train(own(z), B, "cls", numTrees=5), own(z)).select("zone", "row", "col", "pred")
+    return reduce(DataFrame.unionByName, models.at_once(fit, zones))
 
 
 @query("compare_models", sql(f"select case when fold < 5 then 'a' else 'b' end as model, {r('avg(ok)')} as oa, count(*) as n from (select fold, case when truth = pred then 1.0 else 0.0 end as ok from pred) group by 1", "pred"))

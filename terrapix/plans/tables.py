@@ -16,7 +16,7 @@ from ..operators import spatial as sp
 from ..operators import statistics as st
 from ..operators import windows as wi
 from ..operators.grid import sample_raster
-from ..sources.shared import prepare
+from ..sources.shared import prepare, stored
 from .registry import ORACLE, query
 from .views import change_epochs, cover_wide, dates, pred, proba_stack, pts, px, r, segpx, spec, sql, table
 
@@ -421,7 +421,7 @@ _CHAIN = (
 def bathymetry(spark, d):
     """Depth of every pixel from the log ratio of two bands: sampled at points in a range of depths, outliers taken out,
     fitted, scored on the points and applied, with the fit's scores beside each pixel."""
-    sample = st.iqr_filter(_log_ratios(spark, d), "lr", 1.5)
+    sample = stored(st.iqr_filter(stored(_log_ratios(spark, d), "sample"), "lr", 1.5), "sample")
     fit = ag.linear_fit(sample, "depth", "lr").select("slope", "intercept")
     guess = F.col("slope") * F.col("lr") + F.col("intercept")
     scores = ag.regression_scores(ag.broadcast_row(sample, fit).withColumn("guess", guess), "depth", "guess").select("r2", "rmse")
@@ -463,16 +463,20 @@ def stratified_kfold(spark, d):
     return fo.kfold(pts(spark, d), "point_id", 3, ["hab_class"]).select("point_id", "hab_class", "fold")
 
 
-_SEG = f"g as (select segment_id, hab_class, row_number() over (partition by hab_class order by {DG.format('segment_id')}) - 1 as pos from (select segment_id, hab_class from (select segment_id, hab_class, row_number() over (partition by segment_id order by count(*) desc, hab_class) as rn from pts group by segment_id, hab_class) where rn = 1))"
+_START = "cast(concat('0x', substr(md5(concat('42-', hab_class)), 1, 6)) as bigint)"
+_SEG = (
+    "mj as (select segment_id, hab_class from (select segment_id, hab_class, row_number() over (partition by segment_id order by count(*) desc, hab_class) as rn from pts group by segment_id, hab_class) where rn = 1), "
+    f"pl as (select segment_id, hab_class, row_number() over (partition by hab_class order by rows desc, {DG.format('segment_id')}) - 1 as place from mj join (select segment_id, count(*) as rows from pts group by segment_id) using (segment_id)), "
+    f"g as (select segment_id, cast((case when place // 5 % 2 = 0 then place % 5 else 4 - place % 5 end + {_START}) % 5 as int) as fold from pl)"
+)
 
 
 def group_folds(spark, d, k=5):
     p = pts(spark, d)
-    groups = wi.majority(p, ["segment_id"], "hab_class").drop("n")
-    return p.drop("hab_class").join(fo.kfold(groups, "segment_id", k, ["hab_class"]).select("segment_id", "fold"), "segment_id")
+    return p.drop("hab_class").join(fo.balanced_group_folds(p, "segment_id", "hab_class", k), "segment_id")
 
 
-@query("stratified_group_kfold", sql("select point_id, segment_id, cast(pos % 5 as int) as fold from pts join g using (segment_id)", "pts", extra=_SEG))
+@query("stratified_group_kfold", sql("select point_id, segment_id, fold from pts join g using (segment_id)", "pts", extra=_SEG))
 def stratified_group_kfold(spark, d):
     return group_folds(spark, d).select("point_id", "segment_id", "fold")
 
@@ -482,13 +486,13 @@ def loo_folds(spark, d):
     return sp.leave_one_out(pts(spark, d), "segment_id", "point_id")
 
 
-_FOLDED = "f as (select point_id, x, y, cast(pos % 5 as int) as fold from pts join g using (segment_id))"
+_FOLDED = "f as (select point_id, x, y, fold from pts join g using (segment_id))"
 _BUFFERED = "select point_id, fold, 'test' as role from f union all select a.point_id, k.fold, 'train' as role from f a, (select distinct fold from f) k where not exists (select 1 from f b where b.fold = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1)"
 
 
 @query("spatial_buffer_folds", sql(_BUFFERED, "pts", extra=f"{_SEG}, {_FOLDED}"))
 def spatial_buffer_folds(spark, d):
-    return sp.buffered_folds(group_folds(spark, d).select("point_id", "x", "y", "fold"), "fold", "point_id", 1.0)
+    return sp.buffered_folds(stored(group_folds(spark, d).select("point_id", "x", "y", "fold"), "folds"), "fold", "point_id", 1.0)
 
 
 @query("outside_buffer", sql("select a.point_id, k.fold from pts a, (select distinct cast(floor(x / 20) as int) as fold from pts) k where not exists (select 1 from pts b where cast(floor(b.x / 20) as int) = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts"))
@@ -501,7 +505,7 @@ def outside_buffer(spark, d):
 @query("outside_buffer_all", sql("select a.point_id, k.fold from pts a, (select distinct fold from f) k where not exists (select 1 from f b where b.fold = k.fold and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)", "pts", extra=f"{_SEG}, {_FOLDED}"))
 def outside_buffer_all(spark, d):
     """For each fold, the points outside the buffers of all its test points."""
-    f = group_folds(spark, d).select("point_id", "x", "y", "fold")
+    f = stored(group_folds(spark, d).select("point_id", "x", "y", "fold"), "folds")
     out = sp.buffered_folds(f, "fold", "point_id", 2.0).where("role = 'train'")
     return out.select("point_id", "fold")
 
@@ -533,11 +537,25 @@ def random_sample(spark, d):
     return px(spark, d).where("b2 > 0").sample(withReplacement=True, fraction=0.3, seed=42).select("row", "col", "b1")
 
 
-@query("class_separability", sql(f"select w.cls_a, w.cls_b, w.t, j.jm from (select a.cls as cls_a, b.cls as cls_b, {r('(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n)')} as t from c a join c b on a.cls < b.cls) w join (select a.cls as cls_a, b.cls as cls_b, {r(f'2 * (1 - exp(-({_BD})))')} as jm from c a join c b on a.cls < b.cls) j using (cls_a, cls_b)", "px", extra=_CS))
+_CELLS = "y as (select p.cls, s.b1 from px p join spec s on s.row = p.row and s.col = p.col)"
+_SEP = _CELLS + ", " + _CS.replace("from px", "from y") + ", " + _KW.replace("b2", "b1").replace("from px", "from y")
+
+
+@query(
+    "class_separability",
+    sql(
+        f"select a.cls as cls_a, b.cls as cls_b, {r('(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n)')} as t, case when a.vp > 0 and b.vp > 0 then {r(f'2 * (1 - exp(-({_BD})))')} end as jm, "
+        f"{r('(12 / (tot.n * (tot.n + 1)) * s - 3 * (tot.n + 1)) / (1 - ties / (power(tot.n, 3) - tot.n))', 4)} as h, (select count(*) from g) - 1 as df from c a join c b on a.cls < b.cls, tot, tie where a.n > 1 and b.n > 1",
+        "px", "spec", extra=_SEP,
+    ),
+)
 def class_separability(spark, d):
-    p = px(spark, d)
-    w = st.welch(p, "b1", "cls").select("cls_a", "cls_b", F.round("t", 6).alias("t"))
-    return w.join(st.jeffries_matusita(p, "b1", "cls").select("cls_a", "cls_b", F.round("jm", 6).alias("jm")), ["cls_a", "cls_b"])
+    """Classes of one raster by the values of another: t and distance of each pair, and the rank test over all."""
+    cells = stored(px(spark, d).select("row", "col", "cls").join(spec(spark, d).select("row", "col", "b1"), ["row", "col"]), "cells")
+    w = st.welch(cells, "b1", "cls").select("cls_a", "cls_b", F.round("t", 6).alias("t"))
+    jm = st.jeffries_matusita(cells, "b1", "cls").select("cls_a", "cls_b", F.round("jm", 6).alias("jm"))
+    h = st.kruskal_wallis(cells, "b1", "cls").select(F.round("h", 4).alias("h"), "df")
+    return ag.broadcast_row(w.join(jm, ["cls_a", "cls_b"], "left"), h)
 
 
 @query("habitat_change_area", sql("select code, count(*) as cells, round(count(*) * 100 / 10000.0, 6) + 0.0 as hectares from (select case when a.cls is null or b.cls is null then 0 when a.cls = 'R' and b.cls = 'R' then 1 when a.cls = 'R' then 2 when b.cls = 'R' then 3 else 0 end as code from (select * from change_epochs where epoch = 1) a full join (select * from change_epochs where epoch = 2) b on a.cell = b.cell) group by code", "change_epochs"))
@@ -548,8 +566,8 @@ def habitat_change_area(spark, d):
     return codes.groupBy("code").agg(F.count("*").alias("cells")).withColumn("hectares", F.round(F.col("cells") * 100 / 10000.0, 6))
 
 
-@query("model_report", sql(f"select fold, count(*) as n, {r('avg(case when truth = pred then 1.0 else 0.0 end)')} as oa from pred group by fold", "pred"))
-def model_report(spark, d):
+@query("fold_accuracy", sql(f"select fold, count(*) as n, {r('avg(case when truth = pred then 1.0 else 0.0 end)')} as oa from pred group by fold", "pred"))
+def fold_accuracy(spark, d):
     return ag.overall(ag.confusion(pred(spark, d), "truth", "pred", ["fold"]), ["fold"]).select("fold", "n", F.round("oa", 6).alias("oa"))
 
 
