@@ -15,6 +15,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,12 @@ LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}
 SECRET_VALUE = re.compile(r"[=:]\s*+[\"']?([A-Za-z0-9_/+-]{16,}+)")
 SOCIAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
-FULL_NAME = re.compile(r"(?<![A-Za-z])([A-Z][a-z]++)\.? ([A-Z][a-z]++)(?![A-Za-z])")
-#: Gazetteers and cue words.
+FULL_NAME = re.compile(r"(?<!\w)(?!(?:Dear|Name|Signed|Author|Contact|Regards|Sincerely|Attn)\b)([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)\.? ([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)(?!\w)")
+#: What a name stands after, within NEAR characters.
+INTRODUCED = re.compile(r"(?:^|[^a-z])(?:name(?: is)?|signed(?: by)?|author|written by|contact|dear|regards|sincerely|attn)[:,]? {1,2}$")
+NEAR = 24
+SMALL = re.compile(r"(?<!\w)[a-zß-öø-ÿ]++(?!\w)")
+#: Gazetteers and cue words. They vote; a name needs none of them where it is introduced as one.
 ENDINGS = frozenset("com org net edu gov info io de fr es it nl uk eu us ca au ch at be se no fi dk pl ru jp cn in br mx".split())
 COUNTRY = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "62", "64", "65", "7", "81", "82", "86", "90", "91", "351", "353", "358", "420")
 GIVEN = frozenset(
@@ -135,12 +140,19 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         add(SSN, m.start(), m.end())
     for m in ACCOUNT.finditer(text):
         add(IBAN, m.start(), m.end())
-    for m in FULL_NAME.finditer(text):
-        if m[1] in GIVEN or m[1] in TITLES:
+    for m in FULL_NAME.finditer(text):  # by a title or given name, or by what stands before words that are no usual ones
+        introduced = INTRODUCED.search(text[max(0, m.start() - NEAR) : m.start()].lower()) and small_words(text).isdisjoint((m[1].lower(), m[2].lower()))
+        if m[1] in GIVEN or m[1] in TITLES or introduced:
             add(NAME, m.start(), m.end())
     return sorted(found)
 
 
+@lru_cache(1)
+def small_words(text: str) -> frozenset[str]:
+    """The words of a text in small letters."""
+    return frozenset(SMALL.findall(text))
+
+
 def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
@@ -163,6 +175,8 @@ def votes(text: str, kind: int, s: int, e: int) -> tuple[int, ...]:
         check = YES if 8 <= len(digits) <= 15 else NO
     elif kind == IP:
         check = YES
+    elif kind == NAME:  # words that the text also has in small letters are words, not names
+        check = NO if any(x.rstrip(".").lower() in small_words(text) for x in span.split(" ")) else YES
     else:
         check = SILENT
     if kind in (EMAIL, EMAIL_LIKE):
@@ -174,7 +188,7 @@ def votes(text: str, kind: int, s: int, e: int) -> tuple[int, ...]:
     elif kind == IP:
         listed = NO if digits[0] == "0" else YES
     elif kind == NAME:
-        listed = YES if span.split(" ")[0].rstrip(".") in GIVEN else SILENT
+        listed = YES if span.split(" ")[0].rstrip(".") in GIVEN | TITLES else SILENT
     else:
         listed = SILENT
     context = YES if any(x in before for x in CUES[kind]) else NO if any(x in before for x in AGAINST) else SILENT

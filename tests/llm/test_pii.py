@@ -111,6 +111,19 @@ def test_planted_data_is_found(spark):
     assert sum(got[i].n_spans > 0 for i, _, k in rows if not k) <= 0.02 * 600
 
 
+def test_names_that_no_list_has(spark):
+    """Names made up of syllables, after what introduces them; and clean documents with words in capitals."""
+    rnd = random.Random(8)
+    made = lambda: "".join(rnd.choice("ba zor ti quil mer ön thes ka lév dra".split()) for _ in range(rnd.choice([2, 3]))).capitalize()
+    prose = lambda k: " ".join(rnd.choice("the tide went out past old harbour wall and boats lay on mud until evening end contact".split()) for _ in range(k))
+    rows = [(k, f"{prose(15)} {rnd.choice(['signed', 'name:', 'contact', 'Dear', 'author:', 'Dr.'])} {made()} {made()}, {prose(9)}") for k in range(200)]
+    rows += [(k, f"{prose(9)} {rnd.choice(['The End', 'Old Harbour', 'contact The Wall', 'signed Mud'])} {prose(15)}. {made()} {prose(4)}") for k in range(200, 500)]
+    rows += [(1000 + k, t) for k, t, _ in planted(300)]
+    got = {r.doc_id: r.spans for r in digest(find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum("name:" in got[k] for k in range(200)) >= 180
+    assert sum(got[k] != "" for k in range(200, 500)) <= 6
+
+
 def test_no_largest_length():
     from terrapix.llm.pii import KINDS, loose_spans
 
