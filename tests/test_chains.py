@@ -101,11 +101,11 @@ def test_polygon_change(spark, tmp_path):
     level = {"1": 0.1, "2": 0.5, "3": 0.9}
     was = lambda r, c: "123"[c // 10 % 3]
     now = lambda r, c: "2" if r < 5 and c < 10 else "3" if r >= 15 and 10 <= c < 20 else was(r, c)
-    make = lambda f: spark.createDataFrame([(r, c, level[f(r, c)] + rng.uniform(-0.02, 0.02), rng.random()) for r in range(20) for c in range(30)], "row long, col long, b1 double, b2 double")
-    before, after = make(was), make(now)
+    make = lambda f, w: spark.createDataFrame([(r, c, level[f(r, c)] + rng.uniform(-w, w), 1 - level[f(r, c)] + rng.uniform(-w, w)) for r in range(20) for c in range(30)], "row long, col long, b1 double, b2 double")
+    before, after = make(was, 0.02), make(now, 0.004)  # what is predicted lies within what was learned
     after = after.withColumn("b1", F.when((F.col("row") == 19) & (F.col("col") == 29), None).otherwise(F.col("b1")))
     polygons = spark.createDataFrame([(k, k, square(10 * (k - 1) + 1, 2, 8)) for k in (1, 2, 3)], "poly_id int, int_class int, ring array<struct<x:double,y:double>>")
-    scores, areas = chains.polygon_change(before, after, polygons, "int_class", "poly_id", ["b1", "b2"], "2", (tmp_path / "m").as_uri(), numTrees=5)
+    scores, areas = chains.polygon_change(before, after, polygons, "int_class", "poly_id", ["b1", "b2"], "2", (tmp_path / "m").as_uri(), numTrees=10)
     assert {r.code: (r.cells, r.hectares) for r in areas.collect()} == {0: (350, 3.5), 1: (150, 1.5), 2: (50, 0.5), 3: (50, 0.5)}
     assert [r.oa for r in scores.collect()] == [1.0, 1.0, 1.0]
 
