@@ -295,7 +295,7 @@ def find_pii(df: DataFrame) -> DataFrame:
     good = codes[(kind > PHONE) & (design(codes) @ w >= 0)] if len(codes) else codes
     bits = np.zeros(SIZE + 63, np.uint8)  # a bit for each code, whatever is accepted
     bits[good] = 1
-    accepted = F.lit(np.packbits(bits[: len(bits) // 64 * 64], bitorder="little").view(np.int64).tolist())
+    accepted = F.lit(np.packbits(bits[: len(bits) // 64 * 64], bitorder="little").view(np.int64).tolist()).cast("array<long>")
     bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     added = F.filter("loose", lambda x: F.getbit(F.get(accepted, F.shiftright(x["code"], 6)), x["code"].bitwiseAND(63)) == 1)
     return found.select("doc_id", bare("base").alias("base"), bare(F.concat("base", added)).alias("spans"))

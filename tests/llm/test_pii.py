@@ -124,6 +124,13 @@ def test_names_that_no_list_has(spark):
     assert sum(got[k] != "" for k in range(200, 500)) <= 6
 
 
+def test_nothing_to_add(spark):
+    """Where the classifier accepts nothing, or no candidate is there, base spans stay alone."""
+    rows = [(1, "mail a@b.example and 1.2.3.4"), (2, "plain"), (3, "= 4539148803436467 and 000-00-0000")]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(got[k].base) for k in (1, 2, 3)] == [2, 0, 1] and all(set(got[k].base) <= set(got[k].spans) for k in got)
+
+
 def test_no_largest_length():
     from terrapix.llm.pii import KINDS, loose_spans
 
