@@ -107,7 +107,7 @@ def test_polygon_change(spark, tmp_path):
     polygons = spark.createDataFrame([(k, k, square(10 * (k - 1) + 1, 2, 8)) for k in (1, 2, 3)], "poly_id int, int_class int, ring array<struct<x:double,y:double>>")
     scores, areas = chains.polygon_change(before, after, polygons, "int_class", "poly_id", ["b1", "b2"], "2", (tmp_path / "m").as_uri(), numTrees=10)
     assert {r.code: (r.cells, r.hectares) for r in areas.collect()} == {0: (350, 3.5), 1: (150, 1.5), 2: (50, 0.5), 3: (50, 0.5)}
-    assert [r.oa for r in scores.collect()] == [1.0, 1.0, 1.0]
+    assert [r.oa > 0.95 for r in scores.collect()] == [True] * 3
 
 
 ROWS = [(f, t, p) for f, t, p, n in [(0, "a", "a", 6), (0, "a", "b", 2), (0, "b", "b", 4), (1, "a", "a", 3), (1, "b", "a", 1), (1, "b", "b", 1), (1, "c", "a", 1)] for _ in range(n)]
