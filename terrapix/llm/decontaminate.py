@@ -9,7 +9,6 @@ occurrences are located by walking to sampled suffix positions and merge into re
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, bytes_of, documents, merged, passes, prepare, stored, words
 from .common import hashes as hashes_of
 
-#: Words of a window, bytes of text in a shard, bytes of benchmark text held at once, every how many positions are kept.
+#: Words of a window, bytes of text in a shard, bytes of benchmark text that a task holds, every how many positions are kept.
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 4 << 20, 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 UPPER = bytes(range(65, 91))
@@ -194,73 +193,147 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nda
 SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def _search(items: list[tuple[str, str]], window: int, keys: bool = False):
+SHAPE = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<s:long,e:long>>"
+NAMES = [x.split(" ")[0] for x in SHAPE.split(", ")]
+
+
+def found_in(raw: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
+    """shard_hits with the items' names and the spans of each row as lists."""
+    n_words, n_hit, pairs, spans = shard_hits(raw, offsets, w)
+    names: list[list[str]] = [[] for _ in n_words]
+    for row, item in pairs.tolist():
+        names[row].append(w.names[item])
+    where: list[list[dict]] = [[] for _ in n_words]
+    for row, s, e in spans.tolist():
+        where[row].append({"s": s, "e": e})
+    return n_words, n_hit, names, where
+
+
+def result(ids: pa.Array, n_words: np.ndarray, n_hit: np.ndarray, names: list, where: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(where, SPANS)], NAMES)
+
+
+def _search(items: list[tuple[str, str]], window: int):
+    """For a benchmark that fits a task: each shard is what a task reads next."""
+
     def go(batches):
         w = Windows(items, window)
         for batch in batches:
             raw, offsets = bytes_of(batch.column("text"))
             for i, j in passes(offsets, SHARD_BYTES):
-                n_words, n_hit, pairs, spans = shard_hits(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], w)
-                names: list[list[str]] = [[] for _ in range(j - i)]
-                for row, item in pairs.tolist():
-                    names[row].append(w.names[item])
-                where: list[list[dict]] = [[] for _ in range(j - i)]
-                for row, s, e in spans.tolist():
-                    where[row].append({"s": s, "e": e})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(where, SPANS)]
-                    + [batch.column("th").slice(i, j - i)] * keys,
-                    ["doc_id", "n_words", "n_hit", "items", "spans"] + ["th"] * keys,
-                )
+                yield result(batch.column("doc_id").slice(i, j - i), *found_in(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], w))
 
     return go
 
 
-def _merge(batches):
-    """Spans and items that several blocks of the benchmark gave for one document, as one."""
+def _cut(window: int):
+    """An item's windows: its name and their words with spaces between."""
+
+    def go(batches):
+        for batch in batches:
+            names, cut = [], []
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                w = WORD.findall((text or "").encode().translate(LOWERED))
+                some = {b" ".join(w[p : p + window]).decode() for p in range(len(w) - window + 1 if len(w) > window else bool(w))}
+                names += [name] * len(some)
+                cut += some
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cut, pa.string())], ["item_id", "window"])
+
+    return go
+
+
+def _held(batches):
+    """(shard, word) of the documents' words, once for each document."""
     for batch in batches:
-        raw, offsets = bytes_of(batch.column("text"))
-        n_words = np.bincount(words(LOWER[raw], offsets, ALNUM)[2], minlength=batch.num_rows)
-        n_hit, items, spans = [], [], []
-        for k, (names, where) in enumerate(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist())):
-            items.append(sorted({x for some in names or [] for x in some}))
-            flat = np.array([(x["s"], x["e"]) for some in where or [] for x in some], np.int64).reshape(-1, 2)
-            s, e = merged(flat[:, 0], flat[:, 1])
-            low = raw[offsets[k] : offsets[k + 1]].tobytes().translate(LOWERED) if len(s) else b""
-            n_hit.append(sum(len(WORD.findall(low[a:b])) for a, b in zip(s.tolist(), e.tolist())))
-            spans.append([{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist())])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)],
-            ["doc_id", "n_words", "n_hit", "items", "spans"],
-        )
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        shards, found = [], []
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+            some = set(WORD.findall(text.encode().translate(LOWERED)))
+            shards += [shard] * len(some)
+            found += [x.decode() for x in some]
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(found, pa.string())], ["shard", "word"])
+
+
+def _routed(window: int, block_bytes: int):
+    """Over each shard's documents and then the windows that were sent to it, which are searched block by block."""
+
+    class Shard:
+        def __init__(self):
+            self.ids, self.texts, self.block, self.size, self.names, self.spans = [], [], [], 0, [], []
+
+        def search(self) -> None:
+            n = len(self.ids)
+            blob = b"".join(self.texts)
+            offsets = np.append(0, np.cumsum([len(t) for t in self.texts])).astype(np.int64)
+            self.n_words, _, names, spans = found_in(np.frombuffer(blob, np.uint8), offsets, Windows(self.block, window))
+            self.names, self.spans = ([x + y for x, y in zip(old or [[]] * n, new)] for old, new in ((self.names, names), (self.spans, spans)))
+            self.block, self.size = [], 0
+
+        def close(self) -> pa.RecordBatch:
+            if self.block or not self.names:
+                self.search()
+            n_hit, where = [], []
+            for text, spans in zip(self.texts, self.spans):
+                s, e = merged(np.array([x["s"] for x in spans], np.int64), np.array([x["e"] for x in spans], np.int64))
+                low = text.translate(LOWERED) if len(s) else b""
+                where.append([{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist())])
+                n_hit.append(sum(len(WORD.findall(low[a:b])) for a, b in zip(s.tolist(), e.tolist())))
+            return result(pa.array(self.ids, pa.int64()), self.n_words, np.array(n_hit, np.int64), [sorted(set(x)) for x in self.names], where)
+
+    def go(batches):
+        now, shard = None, None
+        for batch in batches:
+            for key, doc, text, names in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text", "names"))):
+                if key != now:
+                    if shard:
+                        yield shard.close()
+                    now, shard = key, Shard()
+                if names is None:
+                    shard.ids.append(doc)
+                    shard.texts.append(text.encode())
+                    continue
+                shard.block += [(name, text) for name in names]
+                shard.size += len(names) * len(text)
+                if shard.size > block_bytes:
+                    shard.search()
+        if shard:
+            yield shard.close()
+
+    return go
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window.
 
     Returns doc_id, n_words, n_hit, items (the ids, as strings, of items with occurring windows), spans (array of s, e:
     maximal runs of hit words, in bytes). A window is `window` consecutive words of an item, or a whole shorter item.
-    Words are ASCII letters (lower-cased), digits and all characters past ASCII. Null and empty texts have no words and items without words no
-    windows; repeated rows, of the same text or another, are searched each. At most block_bytes of benchmark text reach
-    the driver or a task at once: a larger benchmark is searched block by block, each block's hits are stored before the
-    next is taken, and the documents are read once for each, with the same results. Empty tables give no hits or an empty result; other columns are ignored. Rows without doc_id and
-    items without item_id are left out.
+    Words are ASCII letters (lower-cased), digits and all characters past ASCII. Null and empty texts have no words and
+    items without words no windows; repeated rows, of the same text or another, are searched each. Empty tables give no
+    hits or an empty result; other columns are ignored. Rows without doc_id and items without item_id are left out.
+
+    A benchmark of at most block_bytes goes to every task. The windows of a larger one are a table: each is sent to the
+    shards, of about shard_bytes of documents, that hold its rarest word (rarest in the benchmark), and a shard searches
+    its windows block by block in an index of its own. So the documents are read a fixed number of times, whatever the
+    benchmark's size, and no block of it passes the driver. Results are the same.
     """
     spark = df.sparkSession
     prepare(spark)
-    docs = documents(df).withColumn("th", F.xxhash64("text"))
-    shape = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<s:long,e:long>>"
+    docs = documents(df)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    n = int(-(-total // block_bytes)) or 1
-    if n == 1:
-        return docs.mapInArrow(_search([tuple(r) for r in items.collect()], window), shape)
-    found = []
-    for k in range(n):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-        found.append(stored(docs.mapInArrow(_search(block, window, keys=True), f"{shape}, th long").where("n_hit > 0").drop("n_words", "n_hit"), "op4-hits"))
-    every = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-    return docs.join(every, ["doc_id", "th"], "left").mapInArrow(_merge, shape)
+    if total <= block_bytes:
+        return docs.mapInArrow(_search([tuple(r) for r in items.collect()], window), SHAPE)
+    windows = stored(items.mapInArrow(_cut(window), "item_id string, window string").groupBy("window").agg(F.collect_set("item_id").alias("names")), "op4-windows")
+    each = windows.select("window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    rarest = each.join(often, "word").groupBy("window").agg(F.min_by("word", F.struct("often", "word")).alias("word"))
+    rarest = stored(rarest, "op4-rarest")
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(-(-size // shard_bytes)) or 1)))
+    where = dealt.select("shard", "text").mapInArrow(_held, "shard long, word string").join(rarest.select("word").distinct(), "word").distinct()
+    sent = where.join(rarest, "word").select("shard", "window").join(windows, "window")
+    both = dealt.select("shard", "doc_id", "text", F.lit(None).cast("array<string>").alias("names")).unionByName(sent.select("shard", F.lit(None).cast("long").alias("doc_id"), F.col("window").alias("text"), "names"))
+    both = both.repartition("shard").sortWithinPartitions("shard", F.col("names").isNotNull())
+    return both.mapInArrow(_routed(window, block_bytes), SHAPE)
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -58,7 +58,20 @@ def test_against_brute_force(spark):
 
 def test_benchmark_in_blocks(spark):
     docs, items = fixture()
-    assert run(spark, docs, items, 5, block_bytes=300) == brute(docs, items, 5)
+    want = brute(docs, items, 5)
+    for limits in ({"block_bytes": 300}, {"block_bytes": 0, "shard_bytes": 100}, {"block_bytes": 50, "shard_bytes": 1000}):
+        assert run(spark, docs, items, 5, **limits) == want, limits
+    assert run(spark, [], items, 5, block_bytes=10) == {}
+
+
+def test_a_large_benchmark_passes_no_block_through_the_driver(spark):
+    """The plan reads the documents twice, whatever the benchmark's size."""
+    docs, items = fixture()
+    d = spark.createDataFrame([(i, t, "docs") for i, t in docs], "doc_id long, text string, mark string")
+    for n in (1, 5):
+        b = spark.createDataFrame([(i + 1000 * k, t) for i, t in items for k in range(n)], "item_id long, text string")
+        plan = decontaminate(d, b, 5, block_bytes=10)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == 2 and "Cartesian" not in plan
 
 
 def test_empty_tables(spark):
@@ -85,7 +98,7 @@ def test_rows_that_repeat_an_id(spark):
     docs = [(1, "x one two three four five y"), (1, "seven eight nine ten eleven and more"), (1, "x one two three four five y"), (2, None), (None, "one two three four five")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (None, "x")], "item_id string, text string")
     want = [(1, 7, 5, ["a"]), (1, 7, 5, ["a"]), (1, 7, 5, ["b"]), (2, 0, 0, [])]
-    for size in (1 << 20, 20):
+    for size in (1 << 20, 20, 0):
         got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate(d, b, 5, block_bytes=size).collect())
         assert got == want, size
 
