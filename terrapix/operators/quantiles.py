@@ -9,8 +9,9 @@ bucket and task; no buffer, window or task holds a group's values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import release, stored
@@ -24,54 +25,71 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: DataFrame,
     any usual values; their number is bounded by the digits of the largest interval over those of the smallest gap.
     Keys may be null. Each round is stored, and reads df again, which should therefore be stored or narrow.
     """
-    keys = [f"_k{n}" for n in range(len(by))]
-    named = lambda d: d.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), *(c for c in d.columns if c not in by))
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    values = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("v"))
+    keys = _keys(by)
+    values = df.select(*_named(by), F.col(value).cast("double").alias("v"))
     whole = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    state = named(ranks).alias("r").join(whole.alias("w"), same("r", "w") or F.lit(True)).select(*(F.col(f"r.{k}") for k in keys), "k", F.col("k").alias("left"), "lo", "hi")
-    state, found = stored(state, "ranks"), []
+    wanted = ranks.select(*_named(by), "k")
+    state = wanted.alias("r").join(whole.alias("w"), _same(keys, "r", "w")).select(*(F.col(f"r.{k}") for k in keys), "k", F.col("k").alias("left"), "lo", "hi")
+    return _renamed(_narrow(values, keys, stored(state, "ranks"), buckets), by)
+
+
+def _keys(by: list[str]) -> list[str]:
+    return [f"_k{n}" for n in range(len(by))]
+
+
+def _named(by: list[str]) -> list[Column]:
+    return [F.col(b).alias(k) for b, k in zip(by, _keys(by), strict=True)]
+
+
+def _renamed(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(_keys(by), by, strict=True)))
+
+
+def _same(keys: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
+
+
+def _narrow(values: DataFrame, keys: list[str], state: DataFrame, buckets: int) -> DataFrame:
+    """(keys, k, v) of a stored table of ranks (keys, k, left, lo, hi): left is the rank among the values from lo to hi."""
+    found = []
     while True:
         found.append(state.where("lo = hi").select(*keys, "k", F.col("lo").alias("v")))
         rest = state.where("lo < hi")
         if rest.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found)
         spans = rest.select(*keys, "lo", "hi").distinct()
-        within = values.alias("x").join(spans.alias("s"), [*same("x", "s"), F.col("v").between(F.col("lo"), F.col("hi"))])
+        within = values.alias("x").join(spans.alias("s"), _same(keys, "x", "s") & F.col("v").between(F.col("lo"), F.col("hi")))
         # Half the difference twice, as the difference of large numbers of both signs passes what a double holds.
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         bucket = F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1))
         counts = within.select(*(F.col(f"s.{k}") for k in keys), "lo", "hi", "v", bucket.alias("bucket")).groupBy(*keys, "lo", "hi", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-        upto = F.sum("n").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        counts = counts.withColumn("upto", upto)
-        hit = [*same("r", "c"), F.col("r.lo") == F.col("c.lo"), F.col("r.hi") == F.col("c.hi"), F.col("left") < F.col("upto"), F.col("left") >= F.col("upto") - F.col("n")]
+        counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+        hit = _same(keys, "r", "c") & (F.col("r.lo") == F.col("c.lo")) & (F.col("r.hi") == F.col("c.hi")) & (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n"))
         state = rest.alias("r").join(counts.alias("c"), hit).select(*(F.col(f"r.{k}") for k in keys), "k", (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"), F.col("least").alias("lo"), F.col("most").alias("hi"))
         state = stored(state, "ranks")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select(*(F.col(k).alias(b) for b, k in zip(by, keys, strict=True)), "k", "v")
 
 
-def group_quantiles(df: DataFrame, by: list[str], value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
+def group_quantiles(df: DataFrame, by: list[str], value: str, shares: Sequence[float], buckets: int = 1024, keep: bool = True) -> DataFrame:
     """(by, q): an array of exact quantiles of each group, linear between neighbours.
 
     Nulls and NaN don't count; a group without values has none and is left out. Without `by`, one row, whose quantiles
-    are null where there are no values.
+    are null where there are no values. keep: store the values first; not needed where df is a stored table.
     """
-    values = stored(df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("v")), "values")
-    n = values.groupBy(*by).agg(F.count("*").alias("n"))
+    keys = _keys(by)
+    values = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*_named(by), F.col(value).cast("double").alias("v"))
+    values = stored(values, "values") if keep else values
+    whole = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(shares)))
-    places = stored(n.where("n > 0").select(*by, F.explode(wanted).alias("w")).select(*by, "w.*").withColumns({"k": F.floor("at"), "up": F.ceil("at")}), "places")
-    ranks = places.select(*by, "k").unionByName(places.select(*by, F.col("up").alias("k"))).distinct()
-    exact = order_statistics(values, by, "v", ranks, buckets)
-    match = lambda k: [*(F.col(f"p.{b}").eqNullSafe(F.col(f"e.{b}")) for b in by), F.col(f"p.{k}") == F.col("e.k")]
-    low = places.alias("p").join(exact.alias("e"), match("k")).select("p.*", F.col("e.v").alias("a"))
-    both = low.alias("p").join(exact.alias("e"), match("up")).select("p.*", F.col("e.v").alias("b"))
-    cut = F.col("a") + (F.col("at") - F.col("k")) * (F.col("b") - F.col("a"))
-    out = both.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", cut.alias("v")))).alias("q")).select(*by, F.transform("q", lambda s: s["v"]).alias("q"))
-    out = stored(out, "quantiles")  # a row for each group
-    release(values, places)
+    places = stored(whole.select(*keys, "lo", "hi", F.explode(wanted).alias("w")).select(*keys, "lo", "hi", "w.*"), "places")  # a row for each group and share
+    ends = F.explode(F.array(F.floor("at"), F.ceil("at")))
+    ranks = places.select(*keys, ends.alias("k"), "lo", "hi").distinct()
+    exact = _narrow(values, keys, ranks.select(*keys, "k", F.col("k").alias("left"), "lo", "hi"), buckets)
+    near = places.alias("p").join(exact.alias("e"), _same(keys, "p", "e") & F.col("e.k").isin(F.floor("p.at"), F.ceil("p.at")))
+    part = near.groupBy(*(F.col(f"p.{k}").alias(k) for k in keys), "i", "at").agg(F.min("e.v").alias("a"), F.max("e.v").alias("b"))
+    cut = F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))
+    out = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", cut.alias("v")))).alias("q")).select(*keys, F.transform("q", lambda s: s["v"]).alias("q"))
+    out = stored(_renamed(out, by), "quantiles")  # a row for each group
+    release(places, *([values] if keep else []))
     if by:
         return out
     empty = F.array(*(F.lit(None).cast("double") for _ in shares))

@@ -62,14 +62,13 @@ def pixel_id() -> Column:
 
 
 def roots(picks: DataFrame) -> DataFrame:
-    """(u, root, w) of picks (u, v, w) that form trees: each u points at one v; pointers double until they end at roots."""
-    at = stored(picks.select("u", F.col("v").alias("root"), "w"), "pointers")
+    """(u, root, w) of a stored table of picks (u, v, w) that form trees: each u points at one v; pointers double until they end at roots."""
+    at = picks.select("u", F.col("v").alias("root"), "w")
     while True:
         ahead = at.select(F.col("u").alias("root"), F.col("root").alias("beyond"))
         if at.join(ahead, "root", "left_semi").isEmpty():
             return at
-        last, at = at, stored(at.join(ahead, "root", "left").select("u", F.coalesce("beyond", "root").alias("root"), "w"), "pointers")
-        release(last)
+        at = stored(at.join(ahead, "root", "left").select("u", F.coalesce("beyond", "root").alias("root"), "w"), "pointers")
 
 
 def contract(nodes: DataFrame, edges: DataFrame, allowed: Column, picker: Column) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -90,17 +89,16 @@ def contract(nodes: DataFrame, edges: DataFrame, allowed: Column, picker: Column
     if picks.isEmpty():
         release(picks)
         return None
-    found = roots(picks)
     # Regions that meet at a root are one, named by their least number.
-    joined = nodes.join(found.select(F.col("u").alias("region"), "root", "w"), "region", "left").withColumn("root", F.coalesce("root", "region"))
-    joined = stored(joined, "meeting")
-    merged = stored(joined.groupBy("root").agg(F.min("region").alias("region"), F.sum("size").alias("size"), F.greatest(F.max("inner"), F.max("w")).alias("inner")), "merged")
-    names = stored(joined.join(merged.select("root", F.col("region").alias("into")), "root").select("region", "into"), "names")
+    found = roots(picks).select(F.col("u").alias("region"), "root", "w")
+    joined = stored(nodes.join(found, "region", "left").withColumn("root", F.coalesce("root", "region")), "meeting")
+    merged = joined.groupBy("root").agg(F.min("region").alias("into"), F.sum("size").alias("size"), F.greatest(F.max("inner"), F.max("w")).alias("inner"))
+    names = joined.select("region", "root").join(merged.select("root", "into"), "root").select("region", "into")
     left, right = names.select(F.col("region").alias("a"), F.col("into").alias("x")), names.select(F.col("region").alias("b"), F.col("into").alias("y"))
     between = edges.join(left, "a").join(right, "b").where("x <> y")
     lighter = stored(between.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("w").alias("w")), "edges")
-    release(picks, found, joined)
-    return merged.select("region", "size", "inner"), lighter, names
+    release(picks, edges)
+    return merged.select(F.col("into").alias("region"), "size", "inner"), lighter, names
 
 
 def merge_regions(df: DataFrame, bands: list[str], scale: float, sigma: float = 0.0, min_size: int = 1, within: str | None = None) -> DataFrame:
