@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,3 +96,34 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, shares: Sequence[f
     empty = F.array(*(F.lit(None).cast("double") for _ in shares))
     one = df.sparkSession.range(1)
     return one.join(out.where(F.size("q") > 0), F.lit(True), "left").select(F.coalesce("q", empty).alias("q"))
+
+
+def table_quantiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """One row, q: exact quantiles of a whole table by the same rounds; null where it has no values.
+
+    A round is one aggregation, whose counts (a row for each bucket and open interval, two intervals for each share at
+    most) come to the driver, so nothing is written. df is read in each round, and when this is called.
+    """
+    v = F.col(value).cast("double")
+    values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    places = [p * (n - 1) for p in shares]
+    ranks = {k: (k, low, high) for at in places for k in (floor(at), ceil(at))} if n else {}
+    while spans := sorted({(lo, hi) for _, lo, hi in ranks.values() if lo < hi}):
+        span = F.coalesce(*(F.when(F.col("v").between(lo, hi), F.lit(k)) for k, (lo, hi) in enumerate(spans)))
+        share = F.coalesce(*(F.when(F.col("v").between(lo, hi), (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)) for lo, hi in spans))
+        some = values.select("v", span.alias("span"), F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1)).alias("bucket")).where("span is not null")
+        counts = sorted(tuple(r) for r in some.groupBy("span", "bucket").agg(F.count("*"), F.min("v"), F.max("v")).collect())
+        upto = dict.fromkeys(spans, 0)
+        found = []
+        for k, _, c, lo, hi in counts:
+            found.append((spans[k], upto[spans[k]], c, lo, hi))
+            upto[spans[k]] += c
+        for k, (left, lo, hi) in ranks.items():
+            for own, before, c, least, most in found if lo < hi else ():
+                if own == (lo, hi) and before <= left < before + c:
+                    ranks[k] = left - before, least, most
+                    break
+    at = lambda k: ranks[k][1]
+    q = [at(floor(p)) + (p - floor(p)) * (at(ceil(p)) - at(floor(p))) for p in places] if n else [None] * len(places)
+    return df.sparkSession.createDataFrame([(q,)], "q array<double>")

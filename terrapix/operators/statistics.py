@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import broadcast_row
-from .quantiles import group_quantiles
+from .quantiles import table_quantiles
 from .windows import average_ranks
 
 
@@ -70,7 +70,7 @@ def glint_apply(df: DataFrame, sample: DataFrame, bands: list[str], nir: str, la
 
 def iqr_filter(df: DataFrame, band: str, k: float = 1.5, exact: bool = True) -> DataFrame:
     """Rows within k interquartile ranges of the quartiles; exact=False takes sketched quartiles, in one pass."""
-    one = group_quantiles(df, [], band, [0.25, 0.75]) if exact else df.agg(F.percentile_approx(band, [0.25, 0.75], 10000).alias("q"))
+    one = table_quantiles(df, band, [0.25, 0.75]) if exact else df.agg(F.percentile_approx(band, [0.25, 0.75], 10000).alias("q"))
     cuts = one.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     span = k * (F.col("q3") - F.col("q1"))
     return broadcast_row(df, cuts).where(F.col(band).between(F.col("q1") - span, F.col("q3") + span)).drop("q1", "q3")

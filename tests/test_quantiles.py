@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from terrapix.operators.quantiles import group_quantiles, order_statistics
+from terrapix.operators.quantiles import group_quantiles, order_statistics, table_quantiles
 
 SHARES = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -49,3 +49,12 @@ def test_of_a_whole_table_and_of_none(spark):
     assert group_quantiles(df, [], "v", [0.5, 0.95]).collect()[0].q == [5.0, 9.5]
     assert group_quantiles(df.limit(0), [], "v", [0.5, 0.95]).collect()[0].q == [None, None]
     assert group_quantiles(df.limit(0).selectExpr("v", "1 as g"), ["g"], "v", [0.5]).collect() == []
+
+
+@pytest.mark.parametrize("buckets", [2, 1024])
+def test_of_a_table_without_writing(spark, buckets):
+    for name, vs in groups(3).items():
+        if buckets > 2 or name in ("even", "one", "two", "same", "ties"):
+            df = spark.createDataFrame([(v,) for v in [*vs, None, float("nan")]], "v double")
+            assert table_quantiles(df, "v", SHARES, buckets).first().q == pytest.approx(np.quantile(vs, SHARES).tolist(), rel=1e-9)
+    assert table_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).first().q == [None]
