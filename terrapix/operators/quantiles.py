@@ -126,4 +126,4 @@ def table_quantiles(df: DataFrame, value: str, shares: Sequence[float], buckets:
                     break
     at = lambda k: ranks[k][1]
     q = [at(floor(p)) + (p - floor(p)) * (at(ceil(p)) - at(floor(p))) for p in places] if n else [None] * len(places)
-    return df.sparkSession.createDataFrame([(q,)], "q array<double>")
+    return df.sparkSession.range(1).select(F.array(*(F.lit(x).cast("double") for x in q)).alias("q"))

@@ -158,7 +158,7 @@ def mean_prediction(spark, d):
 )
 def percentile_area(spark, d):
     mean = stored(proba_stack(spark, d).groupBy("row", "col", "class").agg(F.avg("proba").alias("proba")), "mean")
-    cuts = table_quantiles(mean, "proba", [0.75, 0.8, 0.85, 0.9]).select(F.posexplode("q").alias("k", "t"))
+    cuts = table_quantiles(mean, "proba", [0.75, 0.8, 0.85, 0.9], buckets=1 << 14).select(F.posexplode("q").alias("k", "t"))
     cuts = cuts.select((75 + 5 * F.col("k")).alias("p"), "t")
     hit = mean.where("class = 'A'").join(F.broadcast(cuts)).groupBy("p", "t").agg(F.count_if(F.col("proba") >= F.col("t")).alias("cells"))
     return hit.select("p", F.round("t", 9).alias("threshold"), "cells", F.round(F.col("cells") * 100 / 10000.0, 9).alias("hectares"))
