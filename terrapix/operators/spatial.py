@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .places import blocks, unfold
+
 
 def buffer_join(left: DataFrame, right: DataFrame, lid: str, rid: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs (lid, rid) of points within `radius`. Each right point is listed under its own cell and the eight around."""
+    """Pairs (lid, rid) of points within `radius`. Each right place is listed under its own cell and the eight around.
+
+    Distances are those of distinct places; the points at two places that are near each other meet in blocks.
+    """
     key = lambda v: F.floor(v / radius).cast("long")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = right.select(F.col(rid).alias("rid"), F.col(x).alias("rx"), F.col(y).alias("ry"))
-    b = b.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": key(F.col("rx")) + F.col("dx"), "gy": key(F.col("ry")) + F.col("dy")})
-    a = left.select(F.col(lid).alias("lid"), F.col(x).alias("lx"), F.col(y).alias("ly")).withColumns({"gx": key(F.col("lx")), "gy": key(F.col("ly"))})
+    r = right.select(F.col(rid).alias("rid"), F.col(x).alias("rx"), F.col(y).alias("ry"))
+    p = left.select(F.col(lid).alias("lid"), F.col(x).alias("lx"), F.col(y).alias("ly"))
+    b = r.select("rx", "ry").distinct().withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": key(F.col("rx")) + F.col("dx"), "gy": key(F.col("ry")) + F.col("dy")})
+    a = p.select("lx", "ly").distinct().withColumns({"gx": key(F.col("lx")), "gy": key(F.col("ly"))})
     close = (F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2 <= radius * radius
-    return a.join(b, ["gx", "gy"]).where(close).select("lid", "rid")
+    pairs = a.join(b, ["gx", "gy"]).where(close).select("lx", "ly", "rx", "ry")
+    out = unfold(pairs, blocks(p, ["lx", "ly"], F.col("lid")), blocks(r, ["rx", "ry"], F.col("rid")), ["lx", "ly"], ["rx", "ry"])
+    return out.select(F.col("l").alias("lid"), F.col("r").alias("rid"))
 
 
 def few(df: DataFrame, key: str, most: int) -> DataFrame:
