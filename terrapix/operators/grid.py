@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import blocks, shapes, unfold, with_shape
+
 
 def raster_bounds(meta: DataFrame) -> DataFrame:
     """Adds minx, miny, maxx, maxy from the affine terms a (cell width), e (negative height), c, f (origin)."""
@@ -93,22 +95,46 @@ def candidates(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: flo
     return points.withColumns({"gx": key(F.col(x)), "gy": key(F.col(y))}).join(b, ["gx", "gy"]).drop("gx", "gy")
 
 
+def place_hits(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", cell: float = 16.0) -> DataFrame:
+    """(x, y, shape, ring): distinct places of points and the distinct rings they lie in."""
+    places = points.select(x, y).distinct()
+    return candidates(places, shapes(polygons), x, y, cell).where(in_ring(F.col(x), F.col(y), F.col("ring"))).select(x, y, "shape", "ring")
+
+
 def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", cell: float = 16.0) -> DataFrame:
-    """Pairs of points and the polygons they lie in."""
-    inside = in_ring(F.col(x), F.col(y), F.col("ring"))
-    return candidates(points, polygons, x, y, cell).where(inside).drop("minx", "maxx", "miny", "maxy")
+    """Pairs of points and the polygons they lie in.
+
+    Places and rings are compared once each; the points and polygons that share them meet in blocks.
+    """
+    return _unfold_hits(place_hits(points, polygons, x, y, cell), points, polygons, x, y)
+
+
+def _unfold_hits(hits: DataFrame, points: DataFrame, polygons: DataFrame, x: str, y: str) -> DataFrame:
+    own, theirs = [c for c in points.columns if c not in (x, y)], [c for c in polygons.columns if c != "ring"]
+    item = lambda columns: F.struct(*columns) if columns else F.struct(F.lit(0).alias("_"))
+    out = unfold(hits, blocks(points, [x, y], item(own)), blocks(with_shape(polygons), ["shape"], item(theirs)), [x, y], ["shape"])
+    taken = [F.col(c) if c in (x, y) else F.col(f"l.{c}").alias(c) for c in points.columns]
+    return out.select(*taken, *(F.col(c) if c == "ring" else F.col(f"r.{c}").alias(c) for c in polygons.columns))
 
 
 def spatial_join_left(points: DataFrame, polygons: DataFrame, unique: list[str], x: str = "x", y: str = "y", cell: float = 16.0) -> DataFrame:
-    """As spatial_join, with points in no polygon kept once, without one."""
-    hits = spatial_join(points.select(*dict.fromkeys([*unique, x, y])), polygons, x, y, cell).drop(*({x, y} - set(unique)))
-    return points.join(hits, unique, "left")
+    """As spatial_join, with points in no polygon kept once, without one. Ids are unique; rows are told apart by place."""
+    hits = place_hits(points, polygons, x, y, cell)
+    inside = _unfold_hits(hits, points, polygons, x, y)
+    return inside.unionByName(points.join(hits.select(x, y).distinct(), [x, y], "left_anti"), allowMissingColumns=True)
 
 
 def clip(points: DataFrame, polygons: DataFrame, unique: list[str], x: str = "x", y: str = "y", invert: bool = False) -> DataFrame:
-    """Points in any polygon, or in none."""
-    hit = spatial_join(points.select(*unique, x, y) if {x, y}.isdisjoint(unique) else points.select(*{*unique, x, y}), polygons, x, y).select(*unique).distinct()
-    return points.join(hit, unique, "left_anti" if invert else "left_semi")
+    """Points in any polygon, or in none. Ids are unique; rows are told apart by place, so no pair is made."""
+    hit = place_hits(points, polygons, x, y).select(x, y).distinct()
+    return points.join(hit, [x, y], "left_anti" if invert else "left_semi")
+
+
+def points_in(points: DataFrame, polygons: DataFrame, poly_id: str, x: str = "x", y: str = "y", cell: float = 16.0) -> DataFrame:
+    """(poly_id, points): the number of points in each polygon that holds any, from counts of places."""
+    counts = points.groupBy(x, y).agg(F.count("*").alias("points"))
+    held = place_hits(counts, polygons, x, y, cell).drop("ring").join(counts, [x, y]).groupBy("shape").agg(F.sum("points").alias("points"))
+    return with_shape(polygons).select(poly_id, "shape").join(held, "shape").groupBy(poly_id).agg(F.sum("points").alias("points"))
 
 
 def downsample(df: DataFrame, factor: int, bands: list[str]) -> DataFrame:
