@@ -287,7 +287,7 @@ def gap_clusters_all(spark, d):
 
 @query("gap_polygons", sql("select poly_id, count(*) as points from pts, polys where len(list_filter(range(1, len(ring) + 1), lambda k: ((ring[k].y > y) <> (ring[k % len(ring) + 1].y > y)) and x < (ring[k % len(ring) + 1].x - ring[k].x) * (y - ring[k].y) / nullif(ring[k % len(ring) + 1].y - ring[k].y, 0) + ring[k].x)) % 2 = 1 group by poly_id", "pts", "polys"))
 def gap_polygons(spark, d):
-    return grid.spatial_join(pts(spark, d), polys(spark, d)).groupBy("poly_id").agg(F.count("*").alias("points"))
+    return grid.points_in(pts(spark, d), polys(spark, d), "poly_id")
 
 
 # ---- models: no SQL has these fits ----
