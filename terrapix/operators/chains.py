@@ -15,6 +15,7 @@ from . import aggregates as ag
 from . import folds as fo
 from . import grid, models
 from . import polygons as po
+from .places import with_shape
 from .regions import merge_regions
 from .windows import dedupe_majority, label_codes
 
@@ -77,8 +78,11 @@ def polygon_gaps(pixels: DataFrame, polygons: DataFrame, points: DataFrame, labe
     A polygon takes the label of the last of the points in it; labels are coded in order from 1; polygons are burnt with
     every cell they touch, later ones over earlier ones.
     """
-    pairs = grid.spatial_join(points.select(unique, "x", "y", label), polygons.select("poly_id", "ring"), cell=4.0)
-    named = pairs.groupBy("poly_id").agg(F.max_by(label, unique).alias(label)).join(label_codes(pairs, label), label)
+    hits = grid.place_hits(points, polygons, cell=4.0).drop("ring")
+    codes = label_codes(points.join(hits.select("x", "y").distinct(), ["x", "y"], "left_semi").select(label).distinct(), label)
+    last = [F.max_by(label, unique).alias(label), F.max(unique).alias(unique)]  # of a place, of a ring, of a polygon
+    held = hits.join(points.groupBy("x", "y").agg(*last), ["x", "y"]).groupBy("shape").agg(*last)
+    named = with_shape(polygons).select("poly_id", "shape").join(held, "shape").groupBy("poly_id").agg(*last).select("poly_id", label).join(codes, label)
     named = polygons.select("poly_id", "ring").join(named, "poly_id")
     burnt = po.rasterise(named, "code", "poly_id", all_touched=True)
     means = pixels.join(burnt, ["row", "col"]).groupBy("code").agg(F.count("*").alias("cells"), *(F.avg(mask(F.col(b))).alias(b) for b in bands))
