@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .components import components
 
 
@@ -22,7 +23,7 @@ def segment_regions(df: DataFrame, bands: list[str], width: float, min_size: int
     w = Window.partitionBy("row", F.floor(F.col("col") / 4096)).orderBy("col")  # a wide raster's rows are cut into stretches
     new = F.coalesce((F.lag("k").over(w) != F.col("k")) | (F.lag("col").over(w) != F.col("col") - 1), F.lit(True))
     node = F.shiftleft(F.col("row").cast("long"), 32) + F.col("col") + 1
-    pixels = pixels.withColumn("node", F.last(F.when(new, node), True).over(w))
+    pixels = stored(pixels.withColumn("node", F.last(F.when(new, node), True).over(w)), "pixels")  # read five times
     below = pixels.select((F.col("row") - 1).alias("row"), "col", F.col("k").alias("k2"), F.col("node").alias("v"))
     right = pixels.select("row", (F.col("col") - 1).alias("col"), F.col("k").alias("k2"), F.col("node").alias("v"))
     touch = lambda other: pixels.join(other, ["row", "col"]).where("k = k2 and node <> v").select(F.col("node").alias("u"), "v")
@@ -42,6 +43,7 @@ def borders(seg: DataFrame) -> DataFrame:
 
 def merge_small(seg: DataFrame, min_size: int) -> DataFrame:
     """Small segments take the id of the neighbour they share most edges with."""
+    seg = stored(seg, "segments")  # read five times
     sizes = seg.groupBy("segment_id").agg(F.count("*").alias("size"))
     best = borders(seg).join(sizes.where(F.col("size") < min_size).select(F.col("segment_id").alias("a")), "a", "left_semi")
     best = best.join(sizes.where(F.col("size") >= min_size).select(F.col("segment_id").alias("b")), "b", "left_semi")
@@ -54,8 +56,9 @@ def refine_segments(df: DataFrame, seg: DataFrame, points: DataFrame, bands: lis
 
     points: (row, col) of each point.
     """
+    seg = stored(seg, "segments")
     crowded = points.join(seg, ["row", "col"]).groupBy("segment_id").agg(F.count("*").alias("n")).where("n > 1 and segment_id <> 0")
-    again = df.join(seg, ["row", "col"]).join(crowded.select("segment_id"), "segment_id", "left_semi")
+    again = stored(df.join(seg, ["row", "col"]).join(crowded.select("segment_id"), "segment_id", "left_semi"), "crowded")
     finer = segment_regions(again, bands, width / 2, within="segment_id").withColumnRenamed("segment_id", "finer")
     return seg.join(finer, ["row", "col"], "left").select("row", "col", F.coalesce("finer", "segment_id").alias("segment_id"))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terrapix.operators import chains, grid, places
+from terrapix.operators import chains, grid, places, segments
 from terrapix.operators import polygons as po
 from terrapix.operators import spatial as sp
 
@@ -108,3 +108,12 @@ def test_folds_of_polygons(points, areas):
     rows, most = joined(po.buffered_polygon_folds(points, areas, "fold", "point_id", "poly_id", 0.6))
     want = [("point", i, f, "test" if i % 3 < 2 else "train") for i in range(N) for f in range(5)] + [("polygon", k, k % 5, "test") for k in range(K)]
     assert sorted(map(tuple, rows)) == sorted(want) and most < 3000
+
+
+def test_segments_are_worked_out_once(spark):
+    """What is read again is a stored table, so no plan holds the numbering of runs."""
+    df = spark.range(40).selectExpr("id div 8 as row", "id % 8 as col", "(id % 3) / 3.0D as b")
+    seg = segments.segment_regions(df, ["b"], 0.2, min_size=2)
+    fine = segments.refine_segments(df, seg, df.select("row", "col"), ["b"], 0.2)
+    for made in (seg, fine):
+        assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 40
