@@ -14,10 +14,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import release, stored
 from .aggregates import balanced_weights
 from .models import at_once, predict, train
 from .spatial import few
 
+#: Bytes of features in a partition that fits read: each iteration is a job, so small tables take few tasks.
+FIT_BYTES = 1 << 26
+#: Machines fitted side by side; each holds the features in blocks of its own, in memory or on disk.
+MACHINES = 10
+
 
 @dataclass
 class RadialModel:
@@ -45,27 +51,37 @@ def train_radial(df: DataFrame, bands: list[str], cls: str, gamma: float | None
 
     gamma: of the standardised bands, 1 / number of bands by default. A logistic curve over each machine's margins gives
     its probability. Classes are weighed so that all count alike; more than `most` of them are an error. Waves and phases
-    follow from the seed alone. Rows with nulls are left out.
+    follow from the seed alone. Rows with nulls are left out. Rows, features and margins are stored once for all fits, as
+    each iteration is a job.
     """
-    rows = balanced_weights(df.dropna(subset=[*bands, cls]).select(*bands, cls), cls)
+    rows = stored(balanced_weights(df.dropna(subset=[*bands, cls]).select(*bands, cls), cls), "rows")
     labels = [x[cls] for x in few(rows, cls, most).orderBy(cls).collect()]
-    fit = rows.agg(*(F.avg(b).alias(f"m{k}") for k, b in enumerate(bands)), *(F.stddev_pop(b).alias(f"s{k}") for k, b in enumerate(bands))).first()
+    fit = rows.agg(F.count("*").alias("n"), *(F.avg(b).alias(f"m{k}") for k, b in enumerate(bands)), *(F.stddev_pop(b).alias(f"s{k}") for k, b in enumerate(bands))).first()
     centre = [(fit[f"m{k}"] or 0.0, fit[f"s{k}"] or 1.0) for k in range(len(bands))]
     rng = np.random.default_rng(seed)
     waves = (rng.standard_normal((features, len(bands))) * sqrt(2 * (gamma or 1 / len(bands)))).tolist()
     phases = (rng.random(features) * 2 * np.pi).tolist()
-    wide = rows.select("weight", F.col(cls).alias("cls"), fourier(bands, centre, waves, phases).alias("features")).persist()
-
-    def one(label) -> tuple[LinearSVCModel, tuple[float, float]]:
-        own = wide.withColumn("label", (F.col("cls") == label).cast("double"))
-        svc = LinearSVC(regParam=reg, maxIter=50, weightCol="weight", standardization=False).fit(own)
-        margins = svc.transform(own).select("label", "weight", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
-        curve = LogisticRegression(regParam=1e-4, weightCol="weight").fit(margins)
-        return svc, (float(curve.coefficients[0]), float(curve.intercept))
-
-    found = at_once(one, labels)
-    wide.unpersist()
-    return RadialModel(list(bands), labels, centre, waves, phases, [x for x, _ in found], [x for _, x in found])
+    parts = max(1, -(-fit["n"] * features * 8 // FIT_BYTES))
+    wide = stored(rows.select("weight", F.col(cls).alias("cls"), fourier(bands, centre, waves, phases).alias("features")), "waves")
+
+    def machine(label) -> LinearSVCModel:
+        own = wide.coalesce(parts).withColumn("label", (F.col("cls") == label).cast("double"))
+        return LinearSVC(regParam=reg, maxIter=50, weightCol="weight", standardization=False).fit(own)
+
+    margins = at_once(machine, labels, MACHINES)
+    out = wide
+    for k, svc in enumerate(margins):
+        out = svc.copy().setRawPredictionCol(f"_raw{k}").setPredictionCol(f"_pred{k}").transform(out)
+    flat = stored(out.select("weight", "cls", *(vector_to_array(f"_raw{k}")[1].alias(f"m{k}") for k in range(len(labels)))), "margins")
+
+    def curve(k: int) -> tuple[float, float]:
+        own = flat.coalesce(parts).select("weight", (F.col("cls") == labels[k]).cast("double").alias("label"), array_to_vector(F.array(f"m{k}")).alias("features"))
+        found = LogisticRegression(regParam=1e-4, weightCol="weight").fit(own)
+        return float(found.coefficients[0]), float(found.intercept)
+
+    scales = at_once(curve, range(len(labels)), MACHINES)
+    release(rows, wide, flat)
+    return RadialModel(list(bands), labels, centre, waves, phases, margins, scales)
 
 
 def predict_radial(model: RadialModel, df: DataFrame) -> DataFrame:

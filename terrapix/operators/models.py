@@ -27,9 +27,9 @@ T, R = TypeVar("T"), TypeVar("R")
 PARALLEL = 4
 
 
-def at_once(f: Callable[[T], R], cases: Iterable[T]) -> list[R]:
-    """f of every case, in their order, PARALLEL at a time: the cluster's work overlaps where one fit leaves it idle."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
+def at_once(f: Callable[[T], R], cases: Iterable[T], width: int = PARALLEL) -> list[R]:
+    """f of every case, in their order, `width` at a time: the cluster's work overlaps where one fit leaves it idle."""
+    with ThreadPoolExecutor(width) as pool:
         return list(pool.map(f, cases))
 
 

@@ -2,12 +2,17 @@
 
 import math
 import random
+from pathlib import Path
+from statistics import median
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrapix.operators import kernels as ke
 from terrapix.operators import models
+from terrapix.operators.aggregates import balanced_weights
+from terrapix.sources.shared import shared_dir
 
 BANDS = ["x", "y"]
 
@@ -33,6 +38,25 @@ def test_rings_that_no_line_parts(spark):
     assert ke.train_radial(fit, BANDS, "cls").waves == ke.train_radial(fit, BANDS, "cls").waves
 
 
+def test_fits_take_few_tasks_and_are_those_by_hand(spark):
+    """A table in many parts; an iteration is a job, and takes one task where all features fit into a partition."""
+    from pyspark.ml.classification import LinearSVC
+
+    df, tracker = two_rings(spark, 200).repartition(32).cache(), spark.sparkContext.statusTracker()
+    assert df.count() == 200
+    old = set(tracker.getJobIdsForGroup())
+    model = ke.train_radial(df, BANDS, "cls", features=32)
+    jobs = [x for x in map(tracker.getJobInfo, set(tracker.getJobIdsForGroup()) - old) if x]
+    tasks = [sum(s.numTasks for s in map(tracker.getStageInfo, x.stageIds) if s) for x in jobs]
+    assert len(jobs) > 50 and median(tasks) == 1
+    assert not [x for name in ("rows", "waves", "margins") for x in Path(urlparse(shared_dir(spark)).path).glob(f"{name}-*")]
+    wide = balanced_weights(df.select(*BANDS, "cls"), "cls").withColumn("features", ke.fourier(BANDS, model.centre, model.waves, model.phases))
+    for label, svc in zip(model.labels, model.margins, strict=True):
+        own = wide.withColumn("label", (F.col("cls") == label).cast("double"))
+        hand = LinearSVC(regParam=1e-3, maxIter=50, weightCol="weight", standardization=False).fit(own)
+        assert svc.coefficients.toArray() == pytest.approx(hand.coefficients.toArray(), abs=1e-2) and svc.intercept == pytest.approx(hand.intercept, abs=1e-2)
+
+
 def test_features_near_the_kernel(spark):
     import numpy as np
 
