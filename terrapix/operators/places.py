@@ -25,8 +25,11 @@ def blocks(df: DataFrame, keys: list[str], item: Column, most: int = 1024) -> Da
 def unfold(pairs: DataFrame, left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
     """(pairs, l, r): every item l of the left blocks with every item r of the right ones whose keys a row of pairs holds."""
     met = pairs.join(left.withColumnRenamed("items", "ls"), left_keys).join(right.withColumnRenamed("items", "rs"), right_keys)
-    dealt = met.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # evenly: a few blocks make many rows
-    return dealt.withColumn("l", F.explode("ls")).withColumn("r", F.explode("rs")).drop("ls", "rs")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(parts)  # evenly: a few blocks make many rows
+    # As many partitions as before, so nothing moves; but two explodes in one step would hold all rows of two blocks at once.
+    lone = dealt.withColumn("l", F.explode("ls")).drop("ls").coalesce(parts)
+    return lone.withColumn("r", F.explode("rs")).drop("rs")
 
 
 def with_shape(polygons: DataFrame) -> DataFrame:
