@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from terrapix.operators import places
 from terrapix.operators import spatial as sp
+from terrapix.plans.catalog import QUERIES
 
 N = 300
 
@@ -42,3 +43,12 @@ def test_unfolded_blocks_are_whole(spark):
     rows = places.unfold(met, left, right, ["k"], ["j"]).collect()
     want = {(k, j, a, b) for k, j in ((0, 1), (1, 1), (2, 0)) for a in range(k, 500, 3) for b in range(j, 500, 3)}
     assert {(r.k, r.j, r.l, r.r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_first_pairs_of_the_query(spark, tmp_path):
+    """Keys that are multiples of 100 all have one place."""
+    spark.range(N).selectExpr("id * 100 as c_custkey", "1.0D as c_acctbal", "'a' as c_mktsegment", "1 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    pairs = QUERIES["buffer_join_all"](spark, str(tmp_path))
+    some = pairs.limit(10)
+    assert len(some.collect()) == 10 and made(some) < 5 * N
+    assert pairs.distinct().count() == N * N
