@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from .places import blocks, unfold
 
 
+def near_places(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """Rows of left (lx, ly) with rows of right (rx, ry) within `radius`. Each right row is listed under its own cell and the eight around."""
+    key = lambda v: F.floor(v / radius).cast("long")
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    b = right.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": key(F.col("rx")) + F.col("dx"), "gy": key(F.col("ry")) + F.col("dy")})
+    a = left.withColumns({"gx": key(F.col("lx")), "gy": key(F.col("ly"))})
+    close = (F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2 <= radius * radius
+    return a.join(b, ["gx", "gy"]).where(close).drop("gx", "gy", "dx", "dy")
+
+
 def buffer_join(left: DataFrame, right: DataFrame, lid: str, rid: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs (lid, rid) of points within `radius`. Each right place is listed under its own cell and the eight around.
+    """Pairs (lid, rid) of points within `radius`.
 
     Distances are those of distinct places; the points at two places that are near each other meet in blocks.
     """
-    key = lambda v: F.floor(v / radius).cast("long")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     r = right.select(F.col(rid).alias("rid"), F.col(x).alias("rx"), F.col(y).alias("ry"))
     p = left.select(F.col(lid).alias("lid"), F.col(x).alias("lx"), F.col(y).alias("ly"))
-    b = r.select("rx", "ry").distinct().withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": key(F.col("rx")) + F.col("dx"), "gy": key(F.col("ry")) + F.col("dy")})
-    a = p.select("lx", "ly").distinct().withColumns({"gx": key(F.col("lx")), "gy": key(F.col("ly"))})
-    close = (F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2 <= radius * radius
-    pairs = a.join(b, ["gx", "gy"]).where(close).select("lx", "ly", "rx", "ry")
+    pairs = near_places(p.select("lx", "ly").distinct(), r.select("rx", "ry").distinct(), radius)
     out = unfold(pairs, blocks(p, ["lx", "ly"], F.col("lid")), blocks(r, ["rx", "ry"], F.col("rid")), ["lx", "ly"], ["rx", "ry"])
     return out.select(F.col("l").alias("lid"), F.col("r").alias("rid"))
 
@@ -43,11 +48,11 @@ def leave_one_out(points: DataFrame, key: str, unique: str, most: int = 1000) ->
     return every.select(unique, "fold", F.when(F.col(key) == F.col("fold"), "test").otherwise("train").alias("role"))
 
 
-def blocked_cells(points: DataFrame, tests: DataFrame, fold: str, unique: str, radius: float) -> DataFrame:
-    """(unique, fold) of points within `radius` of a test point of that fold; equal places of one fold are one."""
-    places = tests.select(fold, "x", "y").distinct()
-    pairs = buffer_join(points, places.withColumn("place", F.struct(fold, "x", "y")), unique, "place", radius)
-    return pairs.select(F.col("lid").alias(unique), F.col(f"rid.{fold}").alias(fold)).distinct()
+def blocked_places(points: DataFrame, tests: DataFrame, fold: str, radius: float) -> DataFrame:
+    """(x, y, fold): places of points within `radius` of a test point of that fold; points of a place are looked at once."""
+    places = points.select(F.col("x").alias("lx"), F.col("y").alias("ly")).distinct()
+    others = tests.select(F.col("x").alias("rx"), F.col("y").alias("ry"), fold).distinct()
+    return near_places(places, others, radius).select(F.col("lx").alias("x"), F.col("ly").alias("y"), fold).distinct()
 
 
 def buffered_folds(points: DataFrame, fold: str, unique: str, radius: float, most: int = 1000) -> DataFrame:
@@ -57,6 +62,6 @@ def buffered_folds(points: DataFrame, fold: str, unique: str, radius: float, mos
     """
     folds = few(points, fold, most)
     test = points.select(unique, fold, F.lit("test").alias("role"))
-    every = points.select(unique).join(F.broadcast(folds))  # folds are few by construction: the caller sets their number
-    train = every.join(blocked_cells(points, points, fold, unique, radius), [unique, fold], "left_anti")
-    return test.unionByName(train.withColumn("role", F.lit("train")))
+    every = points.select(unique, "x", "y").join(F.broadcast(folds))  # folds are few by construction: the caller sets their number
+    train = every.join(blocked_places(points, points, fold, radius), ["x", "y", fold], "left_anti")
+    return test.unionByName(train.select(unique, fold, F.lit("train").alias("role")))
